@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import neardup, quality
 from .common import table
 
 
@@ -14,8 +14,34 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": rf"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM words
+        ), items AS (
+            SELECT doc_id, len(g) AS n, unnest(g) AS h FROM sets
+        ), links AS (
+            SELECT x.doc_id AS a, y.doc_id AS b FROM items x JOIN items y ON x.h = y.h AND x.doc_id <> y.doc_id
+            GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 75 * (max(x.n) + max(y.n) - count(*))
+        ), reach(doc_id, node) AS (
+            SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.node = links.a
+        ), tops AS (
+            SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN tops USING (doc_id)
+    """,
+}
