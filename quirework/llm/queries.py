@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, licenses, neardup, packing, pii, quality
+from . import chat, decontam, embdedup, langid, licenses, neardup, packing, pii, quality, shards
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(table(spark, sf_dir, "documents"), arrivals=4, target=64 << 20)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
@@ -48,8 +56,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
+    "op7_sharding": op7_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_chat_format": op9_chat_format,
     "op10_pii_surrogates": op10_pii_surrogates,
@@ -58,6 +68,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op4_embedding_near_dedup": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0
+                AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+        ), links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+            WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+        ), reach(vec_id, node) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.node = links.a
+        ), tops AS (
+            SELECT vec_id, min(node) AS component_id FROM reach GROUP BY vec_id
+        ), counts AS (
+            SELECT a, count(*) AS n FROM links GROUP BY a
+        )
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN tops USING (vec_id) LEFT JOIN counts ON a = vec_id
+    """,
     "op2_minhash_near_dedup": rf"""
         WITH RECURSIVE words AS (
             SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
