@@ -15,6 +15,7 @@ occur; an empty table gives no rows; only the id and the text are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,47 +25,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import portions, written
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A letter or digit, one stop and a blank: the tokenizer ends a word before the stop anyway.
+_STOP = re.compile(rb"(?<=[a-z0-9])([,.])(?=[ \n])")
+#: Letters alone, which the tokenizer keeps as one word.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, separator: int = 0, cache_words: int = 400_000) -> DataFrame:
-    """The pieces of all documents: ids of the whole text and a separator, cut only where longer than the capacity.
+class WordEncoder:
+    """Ids of whole texts, as little-endian 32-bit numbers.
 
-    The tokenizer never joins across white space, so words between ASCII blanks are encoded once each and kept; the number kept
-    is bounded. `tokenizer` is a path on the executors; by default the file of the installed package.
+    The tokenizer ignores case and never joins across white space, so words between ASCII blanks are encoded once each and kept in
+    two dictionaries of bounded size: when the newer is full it becomes the older, and words still in use move back. Texts with the start of a special token are encoded as they are.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str | None, most_words: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        path = tokenizer
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        encoder = Tokenizer.from_file(path)
-        known: dict[bytes, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.most = most_words
+
+    @classmethod
+    def of_worker(cls, path: str | None, most_words: int) -> WordEncoder:
+        """The encoder of this worker process: it keeps its words for the worker's next tasks."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_quirework_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path, most_words)
+        return kept[path]
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if _LETTERS(w)]
+        rows = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for row, ids in zip(rows, self._whole([b" ".join(r).decode() for r in rows]), strict=True):
+            ids = np.array(ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            raw = ids.tobytes()
+            if len(cuts) != len(row):  # not one end for each word after all
+                self.known.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(row, self._whole([w.decode() for w in row]), strict=True))
+                continue
+            low = 0
+            for w, high in zip(row, cuts.tolist(), strict=True):
+                self.known[w] = raw[low:high]
+                low = high
+        other = [w for w in words if w not in self.known]
+        self.known.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(other, self._whole([w.decode() for w in other]), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        raw = [(text or "").encode() for text in texts]
+        special = {i for i, x in enumerate(raw) if b"<|" in x}
+        words = [[] if i in special else _STOP.sub(rb" \1", x.lower()).split() for i, x in enumerate(raw)]
+        if len(self.known) > self.most:
+            self.known, self.before = {}, self.known
+        new: set[bytes] = set()
+        for w in words:
+            new.update(w)
+        new.difference_update(self.known.keys())
+        again = new & self.before.keys()
+        self.known.update((w, self.before[w]) for w in again)
+        self._learn(sorted(new - again))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, w)) for w in words]
+        for i in special:
+            out[i] = np.array(self._whole([texts[i]])[0], "<u4").tobytes()
+        return out
+
+
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, separator: int = 0, cache_words: int = 200_000) -> DataFrame:
+    """The pieces of all documents: ids of the whole text and a separator, cut only where longer than the capacity.
+
+    `tokenizer` is a path on the executors; by default the file of the installed package.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = WordEncoder.of_worker(tokenizer, cache_words)
         end = np.array([separator], "<u4").tobytes()
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                new = list({w for w in words if w not in known})
-                for at in range(0, len(new), 20_000):
-                    some = new[at : at + 20_000]
-                    for w, x in zip(some, encoder.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                        known[w] = np.array(x.ids, "<u4").tobytes()
-                ids = b"".join([known[w] for w in words]) + end
-                if len(known) > cache_words:
-                    known.clear()
-                for k, low in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[low : low + 4 * capacity]
-                    out.append((doc_id, k, low // 4, len(part) // 4, zlib.crc32(part)))
-            columns = zip(*out, strict=True) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in portions(batch, "text", 2 << 20):
+                out: list[tuple] = []
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
+                    ids += end
+                    for k, low in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[low : low + 4 * capacity]
+                        out.append((doc_id, k, low // 4, len(piece) // 4, zlib.crc32(piece)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
