@@ -1,8 +1,8 @@
 """Near-duplicate embeddings: a forest of random-projection trees with spill overlap.
 
 Vectors become unit vectors in double precision, and equal ones of one label a class. Every class gets a pool of random
-projections. A tree splits a node of too many classes at the medians of a few projections of the pool, drawn for the node, and classes closer to a
-median than a margin go to both sides. Nodes of all trees are split at once, one distributed round after another, until they are small or
+projections. A tree splits a node of too many classes at quantiles of a few projections of the pool, drawn for the node, and classes closer to a
+cut than a margin go to both sides. Nodes of all trees are split at once, one distributed round after another, until they are small or
 splitting no longer helps (many vectors at one place); such leaves are compared in blocks, so no task holds more than two blocks.
 
 Within a leaf a matrix product gives all cosines. A pair that meets in several leaves counts in the smallest of their common leaves
@@ -60,7 +60,7 @@ def _units(vectors: DataFrame) -> DataFrame:
     return usable.withColumn("label", F.col("label").cast("long")).mapInArrow(run, "vec_id long, label long, dim int, unit binary, proj array<float>")
 
 
-def leaves(classes: DataFrame, distance: float, trees: int, leaf_size: int, margin: float, cuts: int = 3, most_rounds: int = 24) -> DataFrame:
+def leaves(classes: DataFrame, distance: float, trees: int, leaf_size: int, margin: float, cuts: int = 3, most_shared: float = 0.3, most_rounds: int = 24) -> DataFrame:
     """(rep, leaf, n, blocks): the leaves of every class, with their numbers of classes and of blocks."""
     start = classes.select("rep", "label", "dim", "proj", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     state = start.select("rep", "dim", "proj", F.xxhash64(F.lit("root"), "tree", "label", "dim").alias("node"), F.lit(None).cast("long").alias("parent"))
@@ -76,12 +76,22 @@ def leaves(classes: DataFrame, distance: float, trees: int, leaf_size: int, marg
         # `cuts` projections of the pool for each node, one from each stretch of it.
         picks = [F.pmod(F.xxhash64("node", F.lit(c)), F.lit(POOL // cuts)).cast("int") + F.lit(1 + c * (POOL // cuts)) for c in range(cuts)]
         going = state.join(sizes.where("NOT stop").select("node", "n"), "node").select("rep", "dim", "proj", "node", "n", *[F.element_at("proj", p).alias(f"p{c}") for c, p in enumerate(picks)])
-        medians = going.groupBy("node").agg(*[F.percentile_approx(f"p{c}", 0.5, 1000).alias(f"m{c}") for c in range(cuts)])
+        # Of three quantiles of each projection the one with the fewest classes around it; none where many stand at one place.
+        quantiles = going.groupBy("node").agg(*[F.percentile_approx(f"p{c}", [0.25, 0.5, 0.75], 1000).alias(f"q{c}") for c in range(cuts)])
         near = F.lit(margin * distance) / F.sqrt("dim")
-        sides = [F.filter(F.array(F.when(F.col(f"p{c}") < F.col(f"m{c}") + near, 0), F.when(F.col(f"p{c}") >= F.col(f"m{c}") - near, 1)), lambda s: s.isNotNull()) for c in range(cuts)]
-        split = going.join(medians, "node")
+        beside = going.join(quantiles, "node").withColumn("near", near)
+        crowd = beside.groupBy("node").agg(*[F.struct(F.avg((F.abs(F.col(f"p{c}") - F.col(f"q{c}")[k]) < F.col("near")).cast("double")).alias("share"), F.lit(k).alias("k")).alias(f"o{c}{k}") for c in range(cuts) for k in range(3)])
+        best = [F.least(*[F.col(f"o{c}{k}") for k in (1, 0, 2)]) for c in range(cuts)]
+        chosen = crowd.select("node", *[F.when(b["share"] <= most_shared, b["k"]).alias(f"k{c}") for c, b in enumerate(best)])
+        at = written(quantiles.join(chosen, "node").select("node", *[F.get(f"q{c}", F.col(f"k{c}")).alias(f"m{c}") for c in range(cuts)]), "cuts")
+        split = going.withColumn("near", near).join(at, "node")
+        stuck = F.coalesce(*[F.col(f"m{c}") for c in range(cuts)]).isNull()
+        done.append(split.where(stuck).select("rep", F.col("node").alias("leaf"), "n"))
+        split = split.where(~stuck)
         for c in range(cuts):
-            split = split.withColumn(f"s{c}", F.explode(sides[c]))
+            p, m = F.col(f"p{c}"), F.col(f"m{c}")
+            sides = F.array_compact(F.array(F.when(p < m + F.col("near"), 0), F.when(p >= m - F.col("near"), 1)))
+            split = split.withColumn(f"s{c}", F.explode(F.when(m.isNull(), F.array(F.lit(2))).otherwise(sides)))
         state = split.select("rep", "dim", "proj", F.xxhash64("node", *[f"s{c}" for c in range(cuts)]).alias("node"), F.col("n").alias("parent"))
     out = done[0]
     for more in done[1:]:
