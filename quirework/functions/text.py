@@ -22,8 +22,11 @@ def decode_entities(html: Column) -> Column:
 
 
 def clean_text(html: Column) -> Column:
-    """Text nodes of a page; scripts and styles are dropped, navigation is not."""
-    return decode_entities(F.regexp_replace(html, MARKUP, " "))
+    """Text nodes of a page; scripts and styles are dropped, navigation is not.
+
+    The run of markup is possessive: long runs need no deep stack.
+    """
+    return decode_entities(F.regexp_replace(html, MARKUP + "+", " "))
 
 
 def emails(text: Column) -> Column:
