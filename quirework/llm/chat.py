@@ -93,24 +93,26 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
 
 
 def read_back(formatted: Column, template: Template | None = None) -> Column:
-    """The turns (role, text) that a formatted string holds."""
+    """The turns (role, text) that a formatted string holds.
+
+    A turn ends where "</s>" meets "<s>": inside texts the escape stands between them. No pattern repeats a group with
+    backtracking, so long texts need no deep stack.
+    """
     template = template or Template()
-    free = f"((?s:(?:{MARK}.|[^{MARK}])*?))"
-    shapes = [(name, _quoted(template.before[name]) + free + _quoted(template.after[name])) for name in template.before]
-    head, tail = map(_quoted, template.other_before.split("{role}"))
-    shapes.append((None, head + free + tail + free + _quoted(template.other_after)))
-    whole = "|".join(f"(?:{s})" for _, s in shapes)
-    turns = F.regexp_extract_all(formatted, F.lit(whole), F.lit(0))
+    head, tail = template.other_before.split("{role}")
+    role_shape = f"^{_quoted(head)}((?:[^{MARK}\\]]|(?s:{MARK}.))*+){_quoted(tail)}"
 
     def turn(t: Column) -> Column:
-        role, text = F.regexp_extract(t, f"^{shapes[-1][1]}$", 1), F.regexp_extract(t, f"^{shapes[-1][1]}$", 2)
-        for name, shape in shapes[:-1]:
-            is_it = t.startswith(template.before[name])
+        own = F.regexp_extract(t, role_shape, 1)
+        role = unescaped(own)
+        low, high = F.length(own) + (len(head) + len(tail)), F.lit(len(template.other_after))
+        for name, before in template.before.items():
+            is_it = t.startswith(before)
             role = F.when(is_it, F.lit(name)).otherwise(role)
-            text = F.when(is_it, F.substr(t, F.lit(len(template.before[name]) + 1), F.length(t) - len(template.before[name]) - len(template.after[name]))).otherwise(text)
-        return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"))
+            low, high = F.when(is_it, F.lit(len(before))).otherwise(low), F.when(is_it, F.lit(len(template.after[name]))).otherwise(high)
+        return F.struct(role.alias("role"), unescaped(F.substr(t, low + 1, F.length(t) - low - high)).alias("text"))
 
-    return F.transform(turns, turn)
+    return F.transform(F.split(formatted, "(?<=</s>)(?=<s>)"), turn)
 
 
 def digest(turns: DataFrame, template: Template | None = None) -> DataFrame:
