@@ -79,3 +79,14 @@ def retried(error: Column) -> Column:
 def backoff_seconds(attempt: Column) -> Column:
     """Delay after the attempt of a number from 1: it doubles up to a cap."""
     return F.least(F.lit(rules.BACKOFF_CAP), F.lit(rules.BACKOFF_BASE) * F.pow(F.lit(2.0), attempt - 1))
+
+
+def parts(url: Column) -> Column:
+    """Scheme, host, port, user and password, empty where absent; null parts never fail a row."""
+    own = authority(url)
+    login = F.when(own.contains("@"), F.substring_index(own, "@", 1)).otherwise(F.lit(""))
+    host = F.substring_index(own, "@", -1)
+    return F.struct(
+        F.regexp_extract(F.lower(url), r"^([a-z][a-z0-9+.-]*):", 1).alias("scheme"), F.regexp_replace(host, r":\d*$", "").alias("host"), F.regexp_extract(host, r":(\d+)$", 1).alias("port"),
+        F.substring_index(login, ":", 1).alias("user"), F.when(login.contains(":"), F.regexp_replace(login, "^[^:]*:", "")).otherwise(F.lit("")).alias("password"),
+    )

@@ -146,9 +146,22 @@ def udf_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("p_brand").agg(spread("taxed").alias("s")).select("p_brand", F.round("s", 4).alias("spread"))
 
 
+def udtf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function that gives a row for each part of a name."""
+    @F.udtf(returnType="part string, place int")
+    class Parts:
+        def eval(self, name: str):
+            for i, part in enumerate((name or "").split()):
+                yield part, i
+
+    spark.udtf.register("quirework_parts", Parts)
+    table(spark, sf_dir, "part").select("p_name").createOrReplaceTempView("quirework_names")
+    return spark.sql("SELECT place, count(*) AS n, count(DISTINCT w.part) AS words FROM quirework_names, LATERAL quirework_parts(p_name) w GROUP BY place")
+
+
 QUERIES = {f.__name__: f for f in (
     join_inner, join_full, join_semi_anti, join_range, join_asof, join_interval, pricing_summary, revenue_by_nation, grouping_cube, grouping_rollup, grouping_sets, distinct_counts,
-    distinct_approximate, window_functions, top_per_group, set_operations, json_fields, array_norms, sliding_windows, pivot_counts, udf_kinds,
+    distinct_approximate, window_functions, top_per_group, set_operations, json_fields, array_norms, sliding_windows, pivot_counts, udf_kinds, udtf_words,
 )}
 
 SQL = {
@@ -171,5 +184,6 @@ SQL = {
     "array_norms": "SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 5) AS norm FROM embeddings GROUP BY label",
     "sliding_windows": "SELECT strftime(day, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS day FROM events) GROUP BY 1, 2",
     "pivot_counts": "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY user_id",
+    "udtf_words": "SELECT CAST(i - 1 AS INT) AS place, count(*) AS n, count(DISTINCT w[i]) AS words FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT list_filter(string_split_regex(p_name, '\\s+'), lambda x: x <> '') AS w FROM part)) GROUP BY i",
     "udf_kinds": "SELECT p_brand, round(max(p_retailprice * 1.1) - min(p_retailprice * 1.1), 4) AS spread FROM part GROUP BY p_brand",
 }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import text
-from ..operators import jobs
+from ..functions import text, urls
+from ..operators import jobs, views
 from ..streaming import lifecycle
 from .tables import table
 
@@ -80,6 +80,29 @@ def conversation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.sum(F.length("text")).alias("chars"))
 
 
+def lean_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as jobs: sizes instead of heavy columns, failed ones with their error text."""
+    p = table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("string").alias("job_id"), "url", "html", F.col("html").alias("text"), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)).alias("links"),
+        F.lit(None).cast("array<binary>").alias("screenshots"), F.when(F.col("page_id") % 7 == 0, views.error_text(F.lit("NotFound"), F.col("url"))).alias("error"),
+    )
+    return views.lean(p)
+
+
+def batch_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as batches: names, session and pages in order, as one JSON answer each."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("batch_id"), F.col("turn").cast("int").alias("page_idx"), "role")
+    pages = c.select("batch_id", "page_idx", views.page_id(F.col("batch_id"), F.col("page_idx")).alias("job_id"), "role")
+    out = views.nested(c.select("batch_id").distinct(), pages)
+    ids = F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["job_id"], p["role"])), ",")
+    return out.select("batch_id", views.session_name(F.lit(""), F.col("batch_id")).alias("session"), views.envelope(ids, F.lit(None).cast("string"), F.col("batch_id")).alias("answer"))
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([("http://u:p@h.test:8080/x",), ("https://h.test",), ("socks5://u@h.test:1/",), ("nothing",), ("//h.test:99",)], "url string")
+    return own.unionByName(table(spark, sf_dir, "pages").select("url")).select("url", urls.parts(F.col("url")).alias("p")).select("url", "p.*").distinct()
+
+
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.drained(lifecycle.daily_counts(lifecycle.event_stream(spark, sf_dir)), f"daily_{uuid.uuid4().hex}", "complete")
 
@@ -105,7 +128,7 @@ def stream_job_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "batch_status_by_user": batch_status_by_user, "batch_rollup": batch_rollup, "source_lead_union": source_lead_union, "recent_jobs": recent_jobs, "latest_status": latest_status,
     "lru_kept": lru_kept, "ttl_new_sessions": ttl_new_sessions, "unexpired_outputs": unexpired_outputs, "consecutive_failures": consecutive_failures, "orphan_submissions": orphan_submissions,
-    "conversation_roles": conversation_roles, "stream_daily_counts": stream_daily_counts, "stream_sessions": stream_sessions, "stream_distinct_events": stream_distinct_events, "stream_job_moves": stream_job_moves,
+    "conversation_roles": conversation_roles, "lean_jobs": lean_jobs, "batch_view": batch_view, "url_parts": url_parts, "stream_daily_counts": stream_daily_counts, "stream_sessions": stream_sessions, "stream_distinct_events": stream_distinct_events, "stream_job_moves": stream_job_moves,
 }
 
 _B = "(VALUES ('all', 'completed', ['b@x.y', 'a@x.y'], NULL, ['https://x.com/a'], 1.005), ('all', 'completed', ['a@x.y'], ['1234567'], [], 2.0), ('some', 'completed', ['z@x.y'], [], NULL, 1.0), ('some', 'failed', NULL, NULL, NULL, 0.0), ('some', 'completed', NULL, [], [], 4.25), ('none', 'failed', ['lost@x.y'], NULL, NULL, 0.0)) b(batch_id, status, emails, phones, links, ms)"
@@ -124,6 +147,13 @@ SQL = {
     "consecutive_failures": "SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS failures FROM (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events) WHERE event_type = 'error' GROUP BY user_id, g HAVING count(*) >= 3",
     "orphan_submissions": "SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
     "conversation_roles": "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role",
+    "lean_jobs": """SELECT CAST(page_id AS VARCHAR) AS job_id, url, CASE WHEN page_id % 7 = 0 THEN 'NotFound: ' || url END AS error, CAST(len(regexp_extract_all(html, 'href="([^"]*)"')) AS INT) AS link_count, CAST(length(html) AS INT) AS text_length, false AS has_screenshot FROM pages""",
+    "batch_view": """SELECT b AS batch_id, 'batch_' || b AS session, '{"status":"success","data":"' || string_agg(b || '_page_' || turn || ':' || role, ',' ORDER BY turn, role) || '","request_id":"' || b || '"}' AS answer
+        FROM (SELECT CAST(conv_id AS VARCHAR) AS b, turn, role FROM conversations) GROUP BY b""",
+    "url_parts": """SELECT DISTINCT url, regexp_extract(lower(url), '^([a-z][a-z0-9+.-]*):', 1) AS scheme, regexp_replace(h, ':\\d*$', '') AS host, regexp_extract(h, ':(\\d+)$', 1) AS port, split_part(l, ':', 1) AS user,
+        CASE WHEN contains(l, ':') THEN regexp_replace(l, '^[^:]*:', '') ELSE '' END AS password
+        FROM (SELECT url, split_part(a, '@', -1) AS h, CASE WHEN contains(a, '@') THEN split_part(a, '@', 1) ELSE '' END AS l FROM (SELECT url, regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1) AS a FROM
+        (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES ('http://u:p@h.test:8080/x'), ('https://h.test'), ('socks5://u@h.test:1/'), ('nothing'), ('//h.test:99')) v(url))))""",
     "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_sessions": "SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT *, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 2 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events)) GROUP BY user_id, s",
     "stream_distinct_events": "SELECT DISTINCT event_id, event_type FROM events",
