@@ -91,8 +91,16 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK)
     return s, e, np.searchsorted(s, offsets)
 
 
-def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word: differences of a running polynomial, then mixed."""
+def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word: differences of a running polynomial, then mixed.
+
+    The hash doesn't depend on a word's place, so runs of words of about `most` bytes are done one after another.
+    """
+    if len(s) > 1 and e[-1] - s[0] > most:
+        cuts = [0]
+        while cuts[-1] < len(s):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(e, s[cuts[-1]] + most, "right"))))
+        return np.concatenate([word_hashes(raw[s[i] : e[j - 1]], s[i:j] - s[i], e[i:j] - s[i], max(most, int(e[j - 1] - s[i]))) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
     n = len(raw)
     with np.errstate(over="ignore"):
         power = np.full(n + 1, _BASE, np.uint64)
@@ -104,3 +112,9 @@ def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
         return mix64((total[e] - total[s]) * back[s] ^ (e - s).astype(np.uint64))
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all written tables of this library in the shared folder. Results that still read them must have been consumed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quirework")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -97,6 +97,21 @@ def superminhash(elements: np.ndarray, offsets: np.ndarray, size: int) -> np.nda
     return out
 
 
+def signatures(elements: np.ndarray, offsets: np.ndarray, size: int, most: int = 1 << 20) -> np.ndarray:
+    """superminhash() of sets of any size: a large set's signature is the minimum over those of its parts."""
+    out = np.full((len(offsets) - 1, size), np.inf)
+    large = np.diff(offsets) > most
+    small = np.repeat(~large, np.diff(offsets))
+    if not large.any():
+        return superminhash(elements, offsets, size)
+    out[~large] = superminhash(elements[small], np.concatenate([[0], np.cumsum(np.diff(offsets)[~large])]), size)
+    for i in np.flatnonzero(large):
+        for low in range(offsets[i], offsets[i + 1], most):
+            part = elements[low : min(low + most, offsets[i + 1])]
+            out[i] = np.minimum(out[i], superminhash(part, np.array([0, len(part)]), size)[0])
+    return out
+
+
 def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     """One signed 64-bit key for each band of `rows` values; different bands have different keys."""
     with np.errstate(over="ignore"):
@@ -105,15 +120,20 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
         return mix64(keys + mix64(np.arange(bits.shape[1], dtype=np.uint64))).view(np.int64)
 
 
+def fingerprints(sets: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64-bit fingerprint of each set: a sum of mixed elements."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sets ^ _WEIGHTS[40 + k]))])
+        return np.diff(total[offsets]).view(np.int64)
+
+
 def _signed(docs: DataFrame, ngram: int, size: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, "text"):
                 sets, offsets = shingle_sets(part.column("text"), ngram)
-                with np.errstate(over="ignore"):
-                    both = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sets ^ _WEIGHTS[40 + k]))])[offsets] for k in (0, 1)]
-                    prints = [np.diff(x).view(np.int64) for x in both]
-                keys = band_keys(superminhash(sets, offsets, size), rows)
+                prints = [fingerprints(sets, offsets, k) for k in (0, 1)]
+                keys = band_keys(signatures(sets, offsets, size), rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(prints[0]), pa.array(prints[1]), lists], ["doc_id", "n_shingles", "print_a", "print_b", "bands"])
 
@@ -126,9 +146,9 @@ def _sets(docs: DataFrame, ngram: int) -> DataFrame:
             for part in portions(batch, "text"):
                 sets, offsets = shingle_sets(part.column("text"), ngram)
                 whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets * 8), pa.py_buffer(sets)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), whole.cast(pa.binary())], ["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(sets, offsets, 0)), whole.cast(pa.binary())], ["rep", "print_a", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, print_a long, shingles binary")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
@@ -171,15 +191,14 @@ def _forest(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _joined(blocks: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that span what each block joins. blocks: block, side (0 or 1), rep, shingles.
+    """Links (a, b) that span what each block joins. blocks: block, side (0 or 1), rep, print_a, shingles.
 
-    A block with one side is compared within itself; one with two sides compares side 0 with side 1, and each item of
-    side 0 with the others of side 0 where the block's `inner` says so.
+    A block with one side is compared within itself, one with two sides across.
     """
     percent = round(100 * threshold)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("rep").sort_values(["side", "rep"])
+        rows = rows.drop_duplicates(["side", "rep", "print_a"]).sort_values(["side", "rep"])
         ids, side = rows["rep"].to_numpy(), rows["side"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
         sizes = np.array([len(x) for x in sets], float)
@@ -198,7 +217,7 @@ def _joined(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.groupBy("block").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.75, size: int = 128, rows: int = 4, block_rows: int = 192, block_shingles: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.75, size: int = 128, rows: int = 4, block_rows: int = 192, block_shingles: int = 1_000_000, broadcast_ids: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
     `size` signature values in bands of `rows`. A block has about block_rows classes and block_shingles shingles.
@@ -207,29 +226,32 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.75, si
     signed = written(_signed(docs, ngram, size, rows), "signed")
     classes = signed.where("n_shingles > 0").groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = written(classes, "classes")
-    band = classes.where("rep is not null").select("rep", "n_shingles", F.explode("bands").alias("key"))
+    band = classes.where("rep is not null").select("rep", "print_a", "n_shingles", F.explode("bands").alias("key"))
     buckets = band.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = written(band.join(buckets, "key").select("hub", "rep", "n_shingles").distinct(), "members")
-    groups = member.groupBy("hub").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    member = written(band.join(buckets, "key").select("hub", "rep", "print_a", "n_shingles").distinct(), "members")
+    # Grouped sides are written before they are joined: both sides of the joins then are plain shuffles, whose hot keys Spark can split.
+    groups = written(member.groupBy("hub").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")), "groups")
     n_blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_shingles)).cast("int")
     member = written(member.join(groups.select("hub", n_blocks.alias("n_blocks")), "hub"), "grouped")
-    sets = written(_sets(docs.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), ngram).dropDuplicates(["rep"]), "sets")
+    # Texts are read again for classes in groups only. Up to a checked number their ids go to the texts, beyond it both are shuffled.
+    ids = written(member.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    sets = written(_sets(docs.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc_id", "left_semi"), ngram), "sets")
 
     salt = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
-    inside = member.select(F.struct("hub", salt.alias("i"), F.lit(-1).alias("j")).alias("block"), F.lit(0).alias("side"), "rep")
-    links = written(_joined(inside.join(sets, "rep"), threshold), "links")
+    inside = member.select(F.struct("hub", salt.alias("i"), F.lit(-1).alias("j")).alias("block"), F.lit(0).alias("side"), "rep", "print_a")
+    links = written(_joined(inside.join(sets, ["rep", "print_a"]), threshold), "links")
 
     if not member.where("n_blocks > 1").isEmpty():
         known = components(links).select(F.col("node").alias("rep"), "component")
         large = member.where("n_blocks > 1").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        main = large.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        large = written(large.join(main, "hub").select("hub", "rep", "n_blocks", (F.col("component") == F.col("main")).alias("done"), salt.alias("i")), "large")
+        main = written(large.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "main")
+        large = written(large.join(main, "hub").select("hub", "rep", "print_a", "n_blocks", (F.col("component") == F.col("main")).alias("done"), salt.alias("i")), "large")
         rest = large.where("not done").select("hub", "i", "n_blocks")
         open_blocks = rest.distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         # A remaining class meets the classes of each other block, and the finished ones of its own block are already compared.
-        left = large.where("not done").join(open_blocks.select("hub", "i", "j"), ["hub", "i"]).where("i <> j").select(F.struct("hub", "i", "j").alias("block"), F.lit(0).alias("side"), "rep")
-        right = large.withColumnRenamed("i", "j").join(open_blocks.select("hub", "i", "j"), ["hub", "j"]).where("i <> j").select(F.struct("hub", "i", "j").alias("block"), F.lit(1).alias("side"), "rep")
-        links = links.unionByName(written(_joined(left.unionByName(right).join(sets, "rep"), threshold), "links"))
+        left = large.where("not done").join(open_blocks.select("hub", "i", "j"), ["hub", "i"]).where("i <> j").select(F.struct("hub", "i", "j").alias("block"), F.lit(0).alias("side"), "rep", "print_a")
+        right = large.withColumnRenamed("i", "j").join(open_blocks.select("hub", "i", "j"), ["hub", "j"]).where("i <> j").select(F.struct("hub", "i", "j").alias("block"), F.lit(1).alias("side"), "rep", "print_a")
+        links = links.unionByName(written(_joined(left.unionByName(right).join(sets, ["rep", "print_a"]), threshold), "links"))
 
     joined = components(links)
     named = classes.select("rep", "n_shingles", "print_a", "print_b").join(joined, F.col("rep") == F.col("node"), "left")

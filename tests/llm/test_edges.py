@@ -57,6 +57,7 @@ def test_near_duplicates(odd, none):
     assert {r.component_id for r in by[4] + by[5]} == {4} and by[7][0].component_id == 6 and by[10][0].component_id == 9
     assert by[None][0].component_id == 8 and by[8][0].kept
     assert neardup.near_duplicates(none).count() == 0
+    assert sorted(neardup.near_duplicates(odd, broadcast_ids=0).collect(), key=str) == sorted(rows, key=str)
 
 
 def test_near_duplicates_in_large_groups(spark):
