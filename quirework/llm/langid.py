@@ -26,23 +26,22 @@ from .quality import slices
 ORDERS = (1, 2, 3)
 
 
-def buckets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the texts, and which text each is from. n-grams don't cross texts."""
+def buckets(texts: list[str], size: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all n-grams of the texts and which text each is from, some `most` at a time. n-grams don't cross texts."""
     texts = [t.lower() for t in texts]
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    out, of = [], []
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) for t in texts])
     for n in ORDERS:
-        if len(code) < n:
-            continue
-        with np.errstate(over="ignore"):
-            gram = np.full(len(code) - n + 1, n, np.uint64)
-            for k in range(n):
-                gram = gram * np.uint64(0x100000001B3) + code[k : len(code) - n + 1 + k]
-        within = owner[n - 1 :] == owner[: len(code) - n + 1]
-        out.append((mix64(gram)[within] % np.uint64(size)).astype(np.int64))
-        of.append(owner[n - 1 :][within])
-    return (np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for low in range(0, len(code) - n + 1, most):
+            high = min(low + most, len(code) - n + 1)
+            with np.errstate(over="ignore"):
+                gram = np.full(high - low, n, np.uint64)
+                for k in range(n):
+                    gram = gram * np.uint64(0x100000001B3) + code[low + k : high + k]
+            at = np.arange(low, high)
+            owner = np.searchsorted(ends, at, "right")
+            within = at + n <= ends[owner]
+            yield (mix64(gram)[within] % np.uint64(size)).astype(np.int64), owner[within]
 
 
 def has_letter(text: str | None) -> bool:
@@ -59,8 +58,8 @@ def counts(docs: DataFrame, size: int) -> DataFrame:
             for lang in set(langs):
                 own = batch.filter(pa.array([x == lang for x in langs]))
                 for part in slices(own.column("text")):
-                    found, _ = buckets(part.to_pylist(), size)
-                    total[lang] = total.get(lang, 0) + np.bincount(found, minlength=size)
+                    for found, _ in buckets(part.to_pylist(), size):
+                        total[lang] = total.get(lang, 0) + np.bincount(found, minlength=size)
         for lang, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
@@ -100,13 +99,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 readable = np.array([has_letter(t) for t in texts])
                 total = np.zeros((len(texts), len(langs)))
                 if len(langs):
-                    found, of = buckets([t or "" for t in texts], size)
-                    key, n = np.unique(of * size + found, return_counts=True)
-                    if len(key):
-                        rows = weights[key % size] * n[:, None]
-                        text = key // size
-                        first = np.flatnonzero(np.diff(text, prepend=-1))
-                        total[text[first]] = np.add.reduceat(rows.astype(float), first)
+                    for found, of in buckets([t or "" for t in texts], size):
+                        key, n = np.unique(of * size + found, return_counts=True)
+                        if len(key):
+                            rows = weights[key % size] * n[:, None]
+                            text = key // size
+                            first = np.flatnonzero(np.diff(text, prepend=-1))
+                            total[text[first]] += np.add.reduceat(rows.astype(float), first)
                     best = total.argmax(1)
                     score = 1 / np.exp(np.clip(total - total.max(1, keepdims=True), -700, 0)).sum(1)
                 for i, ok in enumerate(readable):

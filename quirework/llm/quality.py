@@ -40,15 +40,13 @@ def features(texts: pa.Array) -> np.ndarray:
     if not len(raw):
         return out
     kind = _KIND[raw]
-    counts = np.stack([np.concatenate([[0], np.cumsum(kind == k)])[offsets] for k in range(1, 7)], 1)
-    counts = np.diff(counts, axis=0).astype(float)
+    counts = np.array([sum((np.bincount(kind[low : min(low + (1 << 20), b)], minlength=7)[1:] for low in range(a, b, 1 << 20)), np.zeros(6)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
     s, e, at = word_spans(raw, offsets)
     h = word_hashes(LOWER[raw], s, e)
     last = kind[e - 1] if len(e) else kind[:0]
     starts = kind[s] == 2 if len(s) else np.zeros(0, bool)
     odd = (last == 5) | (kind[s] == 5) if len(s) else starts
-    breaks = np.concatenate([[0], np.cumsum(raw == 10)])
-    line = breaks[s] if len(s) else np.zeros(0, np.int64)
+    line = np.searchsorted(np.flatnonzero(raw == 10), s)
     with np.errstate(over="ignore"):
         triple = mix64(h[2:] + h[1:-1] * np.uint64(3) + h[:-2] * np.uint64(5)) if len(h) > 2 else h[:0]
     visible = np.maximum(counts.sum(1), 1)
