@@ -136,13 +136,13 @@ def plan(shards: tuple[Shard, ...], target: int, ratio: float, least: int) -> li
     return [sorted(t, key=lambda s: s.path) for _, t in sorted(tiers.items()) if len(t) >= least or (len(t) > 1 and sum(s.bytes for s in t) >= target / 2)]
 
 
-def sharded(docs: DataFrame, arrivals: int = 4, target: int = 32 << 20, root: str | None = None) -> DataFrame:
-    """Bring docs in by `arrivals` appends, compact, and read the store back: doc_id, shard, shard_rows, shard_bytes,
-    level and version of every row of docs."""
-    spark = docs.sparkSession
+def sharded(arrivals: list[DataFrame], target: int = 32 << 20, root: str | None = None) -> DataFrame:
+    """Append each of the arrivals, compact, and read the store back: doc_id, shard, shard_rows, shard_bytes, level and
+    version of every row that arrived."""
+    spark = arrivals[0].sparkSession
     store = Store(spark, root or f"{shared_dir(spark)}/quirework/store-{uuid.uuid4().hex}")
-    for k in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
+    for some in arrivals:
+        store.append(some)
     version = store.compact(target)
     store.vacuum()
     listed = spark.createDataFrame([(s.path.rsplit("/", 1)[1], k, s.rows, s.bytes, s.level, version.number) for k, s in enumerate(version.shards)], "name string, shard int, shard_rows long, shard_bytes long, level int, version int")
