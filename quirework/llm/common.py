@@ -91,7 +91,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK)
     return s, e, np.searchsorted(s, offsets)
 
 
-def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, most: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of the bytes of each word: differences of a running polynomial, then mixed.
 
     The hash doesn't depend on a word's place, so runs of words of about `most` bytes are done one after another.

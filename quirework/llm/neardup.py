@@ -89,7 +89,7 @@ def superminhash(elements: np.ndarray, offsets: np.ndarray, size: int) -> np.nda
                 keep = np.isin(owner, left) if len(left) < len(alive) else slice(None)
                 if places is None:  # after the first rank: the slot taken now holds what stood in front
                     own, owner, k = own[keep], owner[keep], k[keep]
-                    places = np.tile(np.arange(size, dtype=np.uint16), (len(own), 1))
+                    places = np.tile(np.arange(size, dtype=np.uint8 if size <= 256 else np.uint16), (len(own), 1))
                     places[np.arange(len(own)), k] = 0
                 else:
                     own, owner, places = own[keep], owner[keep], places[keep]
