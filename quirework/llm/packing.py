@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import portions, written
 
-#: A letter or digit, one stop and a blank: the tokenizer ends a word before the stop anyway.
-_STOP = re.compile(rb"(?<=[a-z0-9])([,.])(?=[ \n])")
+#: A letter or digit, marks other than apostrophes, and a blank: the tokenizer ends a word before the marks anyway.
+_STOP = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[ \n])")
 #: Letters alone, which the tokenizer keeps as one word.
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
@@ -54,7 +54,18 @@ class WordEncoder:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
-        self.most = most_words
+        self.most, self.longest = most_words, 1 << 21
+
+    def _parts(self, text: bytes) -> Iterator[str]:
+        """A long text in parts that end after a blank, each no longer than `longest` but for longer words."""
+        low = 0
+        while low < len(text):
+            high = len(text)
+            if high - low > self.longest:
+                last = text.rfind(b" ", low, low + self.longest)
+                high = (last if last >= 0 else text.find(b" ", low + self.longest)) + 1 or len(text)  # find gives -1 where there is none
+            yield text[low:high].decode()
+            low = high
 
     @classmethod
     def of_worker(cls, path: str | None, most_words: int) -> WordEncoder:
@@ -87,6 +98,12 @@ class WordEncoder:
         self.known.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(other, self._whole([w.decode() for w in other]), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        long = [len(text or "") * 4 > self.longest and len((text or "").encode()) > self.longest and "<|" not in text for text in texts]
+        if not any(long):
+            return self._short(texts)
+        return [b"".join(self._short([part])[0] for part in self._parts(text.encode())) if cut else self._short([text])[0] for text, cut in zip(texts, long, strict=True)]
+
+    def _short(self, texts: list[str | None]) -> list[bytes]:
         raw = [(text or "").encode() for text in texts]
         special = {i for i, x in enumerate(raw) if b"<|" in x}
         words = [[] if i in special else _STOP.sub(rb" \1", x.lower()).split() for i, x in enumerate(raw)]
@@ -98,7 +115,7 @@ class WordEncoder:
         new.difference_update(self.known.keys())
         again = new & self.before.keys()
         self.known.update((w, self.before[w]) for w in again)
-        self._learn(sorted(new - again))
+        self._learn(list(new - again))
         get = self.known.__getitem__
         out = [b"".join(map(get, w)) for w in words]
         for i in special:
