@@ -6,7 +6,7 @@ decontam     documents that overlap a benchmark item go
 pii          entities in the text give way to surrogates; n_chars follows the text
 packing      the remaining documents, cut and packed into token sequences
 
-All stages but the last return the columns of documents. Null ids, repeated rows, null, empty and very long texts take
+All stages but the last return the columns of documents. Of rows that repeat id and text one stays; rows without an id stay. Null ids, repeated rows, null, empty and very long texts take
 the results that the operators define; an empty table passes through. SQL cannot express the trained classifier or the packing, so
 ORACLE_SQL is None and the stages are tested against brute-force versions.
 """
@@ -31,7 +31,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
