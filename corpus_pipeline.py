@@ -25,8 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, "_score").where(F.col("_score") >= 0.3).select(docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

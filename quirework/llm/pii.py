@@ -206,17 +206,17 @@ def moved(docs: DataFrame, key: str, most_rounds: int = 20) -> DataFrame | None:
 def replace_entities(docs: DataFrame, key: str = "surrogates", count_into: str | None = None) -> DataFrame:
     """docs with surrogates in text; count_into names a column for the number of entities replaced."""
     exceptions = moved(docs, key)
-    text, found = F.col("text"), F.col("_found")
-    inner = docs.withColumn("_found", entities(text))
+    text, found = F.col("text"), F.col("__pii_found")
+    inner = docs.withColumn("__pii_found", entities(text))
     attempts = None
     if exceptions is not None:
         hit = inner.select("doc_id", F.explode(F.flatten(F.transform(found, lambda e: e["parts"]))).alias("e")).select("doc_id", "e.*").distinct()
-        by_doc = hit.join(exceptions, ["kind", "canon"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_attempts"))
-        inner = inner.alias("d").join(by_doc.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left").select("d.*", "x._attempts")
-        attempts = F.col("_attempts")
+        by_doc = hit.join(exceptions, ["kind", "canon"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__pii_attempts"))
+        inner = inner.alias("d").join(by_doc.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left").select("d.*", "x.__pii_attempts")
+        attempts = F.col("__pii_attempts")
     stand_ins = F.concat(F.transform(found, lambda e: _rendered(e, attempts, key)), F.array(F.lit("")))
     parts = F.zip_with(F.split(text, ANY, -1), stand_ins, lambda s, m: F.concat(s, m))
     count = F.coalesce(F.size(F.filter(found, lambda e: e["kind"].isNotNull())), F.lit(0))
-    out = inner.select("*", F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text).alias("_text"), count.alias("_count"))
-    columns = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*columns, *([F.col("_count").alias(count_into)] if count_into else []))
+    out = inner.select("*", F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text).alias("__pii_text"), count.alias("__pii_count"))
+    columns = [F.col("__pii_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return out.select(*columns, *([F.col("__pii_count").alias(count_into)] if count_into else []))

@@ -204,19 +204,24 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> Addit
     return fit(x, (rows["_label"].to_numpy(float) >= 0.5).astype(float))
 
 
-def scored(docs: DataFrame, model: AdditiveModel, into: str = "score") -> DataFrame:
-    """docs with the model's score of each whole text; the model's tables have a fixed size."""
+def score_column(model: AdditiveModel, text: str = "text"):
+    """The model's score of each whole text, as a column; the model's tables have a fixed size."""
 
     @F.arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             yield pa.array(np.concatenate([model.score(features(p)) for p in slices(part)]) if len(part) else np.zeros(0))
 
-    return docs.withColumn(into, score("text"))
+    return score(F.col(text))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.3, train_rows: int = 20_000) -> DataFrame:
+    """The rows of docs whose score reaches `least`, with all their columns."""
+    return docs.where(score_column(train(docs, labels, train_rows)) >= least)
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3, train_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score and predicted (1 where the score reaches `least`) of every row of docs."""
-    return scored(docs.select("doc_id", "text"), train(docs, labels, train_rows)).select(
+    return docs.select("doc_id", "text").withColumn("score", score_column(train(docs, labels, train_rows))).select(
         "doc_id", F.coalesce(id_crc() % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted")
     )

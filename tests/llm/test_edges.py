@@ -241,3 +241,21 @@ def test_pii_collisions_are_resolved(spark):
         pii.surrogate = forced
     new = [t.split()[1] for t in out]
     assert len(set(new)) == 900 and len({t.split()[-1] for t in out}) == 1 and not set(new) & set(real) and new[0] == out[5].split()[-1]
+
+
+def test_pipeline_stages_on_odd_rows(odd, none, spark, tmp_path):
+    """Columns pass through every stage but the last whatever they are called; empty tables pass."""
+    import corpus_pipeline
+
+    sf_dir = str(tmp_path)
+    spark.createDataFrame([(6, 1, 0), (8, 1, 0), (9, 1, 0), (10, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    spark.createDataFrame([(1, prose(2, 50)), (2, None)], "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    clash = odd.withColumns({"_score": F.lit("mine"), "_found": F.lit("mine"), "_text": F.lit("mine"), "component_id": F.lit("mine"), "hash": F.lit("mine")})
+    for rows, counts in ((clash, (14, 10, 9, 9)), (none, (0, 0, 0, 0))):
+        for (name, stage), n in zip(corpus_pipeline.STAGES[:-1], counts, strict=True):
+            columns = rows.columns
+            rows = corpus_pipeline.written(stage(spark, rows, sf_dir), name)
+            assert rows.columns == columns and rows.count() == n, name
+            assert "_score" not in columns or rows.where("_score <> 'mine' OR _found <> 'mine' OR _text <> 'mine' OR hash <> 'mine'").isEmpty()
+        ids = {r.doc_id for r in rows.collect()}
+        assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).collect()} == ids
