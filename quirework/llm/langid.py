@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, mix64
+from .common import id_crc, mix64, small_batches
 from .quality import slices
 
 ORDERS = (1, 2, 3)
@@ -69,6 +69,7 @@ def counts(docs: DataFrame, size: int) -> DataFrame:
 
 def train(docs: DataFrame, per_language: int = 3000, size: int = 1 << 15, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the matrix of log-probabilities with a row for each bucket. Ids whose crc32 leaves 2 by 4 are never read."""
+    small_batches(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(id_crc() % 4 != 2, F.lit(True)))
     share = {r["lang"]: per_language / r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1e6

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, portions, text_bytes, word_hashes, word_spans, written
+from .common import LOWER, mix64, portions, small_batches, text_bytes, word_hashes, word_spans, written
 from .components import components
 
 _WEIGHTS = mix64(np.arange(1, 65, dtype=np.uint64))
@@ -222,6 +222,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.75, si
 
     `size` signature values in bands of `rows`. A block has about block_rows classes and block_shingles shingles.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = written(_signed(docs, ngram, size, rows), "signed")
     classes = signed.where("n_shingles > 0").groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))

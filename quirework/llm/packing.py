@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import portions, written
+from .common import portions, small_batches, written
 
 #: A letter or digit, marks other than apostrophes, and a blank: the tokenizer ends a word before the marks anyway.
 _STOP = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[ \n])")
@@ -259,6 +259,7 @@ def slots(bins: list[tuple[Pattern, int]]) -> np.ndarray:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048) -> DataFrame:
     """Each piece with its sequence_id and its offset there."""
+    small_batches(docs.sparkSession)
     cut = written(pieces(docs, tokenizer, capacity), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = slots(plan(counts, capacity))

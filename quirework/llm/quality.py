@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_crc, mix64, text_bytes, word_hashes, word_spans
+from .common import LOWER, id_crc, mix64, small_batches, text_bytes, word_hashes, word_spans
 
 FEATURES = (
     "log_words", "word_length", "upper_share", "digit_share", "symbol_share", "stop_share", "wide_share", "distinct_words",
@@ -192,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> Addit
 
     The bound makes the sample fit for a broadcast and for the driver. Documents with several labels count by the mean.
     """
+    small_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col("quality").isNotNull() & (id_crc() % 5 != 0)).groupBy("doc_id").agg(F.avg("quality").alias("_label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
