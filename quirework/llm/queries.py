@@ -70,7 +70,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_CHAT = chat.Template()
+_HEADS = "|".join([chat.MARK, *("".join(x if x.isalnum() else "\\" + x for x in c) for c in _CHAT.controls())])
+_AROUND = "CASE role " + " ".join(f"WHEN '{r}' THEN {len(b) + len(_CHAT.after[r])}" for r, b in _CHAT.before.items())
+
 SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+        WITH d AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM (SELECT doc_id, {_WORDS} AS w FROM documents)
+        ), items AS (
+            SELECT min(item_id) AS item_id, w FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 8 GROUP BY w
+        ), i AS (
+            SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM items
+        ), same AS (
+            SELECT doc_id, item_id, n, d.p - i.p AS shift, i.p AS p FROM d JOIN i USING (word)
+        ), enough AS (
+            SELECT doc_id, item_id, shift FROM same GROUP BY doc_id, item_id, shift, n HAVING count(*) >= ceil(least(n, 13) * 0.8)
+        ), windows AS (
+            SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS c
+            FROM same SEMI JOIN enough USING (doc_id, item_id, shift)
+        ), best AS (
+            SELECT doc_id, item_id, shift, CAST(ceil(least(n, 13) * 0.8) AS INT) AS needed, max(c) AS matched FROM windows GROUP BY doc_id, item_id, shift, n
+        )
+        SELECT doc_id, item_id, CAST(shift AS INT) AS at, CAST(matched AS INT) AS matched, needed FROM best WHERE matched >= needed
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, shift) = 1
+    """,
+    "op9_chat_format": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(length(text) + len(regexp_extract_all(text, '{_HEADS}')) + {_AROUND} ELSE {len(_CHAT.other_before) - 6 + len(_CHAT.other_after)} + length(role) + len(regexp_extract_all(role, '{_HEADS}|\\]')) END) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
     "op4_embedding_near_dedup": """
         WITH RECURSIVE usable AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
