@@ -1,10 +1,11 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is the hash of a window of words seen through a fixed mask, so words at the ignored places may differ. Benchmark items are
-hashed at every word, documents at every `stride`-th word: an intact passage of span + stride - 1 words
-holds such a place wherever it stands. Hashes join; each hit fixes how an item lies on a document, and along that diagonal
+A seed is the hash of a window of words seen through a fixed mask, so words at the ignored places may differ. Benchmark items and
+documents are hashed at every word. Hashes join; each hit fixes how an item lies on a document, and along that diagonal
 the words are compared one by one. A document overlaps an item if some `window` consecutive aligned words (all words of a shorter item)
-agree in at least `agree` of their number, whichever words were substituted.
+agree in at least `agree` of their number, whichever words were substituted. No overlap is missed: the masks for a length are
+such that each choice of substituted words that leaves enough agreement leaves all words of some mask alone (covers()). Masks for
+short items are used only where the benchmark has such items.
 
 Benchmarks are small against corpora, but that is checked: up to `broadcast_rows` seeds the hashes are broadcast and the texts
 are never shuffled; beyond it the hashes are joined by a shuffle, and only hit documents come back for their words.
@@ -17,13 +18,16 @@ give no rows.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: 1: the word counts, 0: it is ignored.
-MASKS = ("11011011", "10110111", "11101101")
+#: 1: the word counts, 0: it is ignored. The first of these that covers a length is used for it; each mask starts and ends with 1.
+MASKS = (("11010011",), ("1111", "11101"))
 
 
 def words_of(text: Column) -> Column:
@@ -31,19 +35,34 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(words: Column, stride: int) -> Column:
-    """(at, hash) of all masks at every stride-th word; null for texts with fewer words than a mask."""
-    span = len(MASKS[0])
-    def at(i: Column) -> Column:
-        picked = [F.xxhash64(F.lit(k), *[F.get(words, i + j) for j, c in enumerate(mask) if c == "1"]) for k, mask in enumerate(MASKS)]
-        return F.struct(i.cast("int").alias("at"), *[h.alias(f"h{k}") for k, h in enumerate(picked)])
+def covers(masks: tuple[str, ...], size: int, needed: int) -> bool:
+    """Whether any `needed` agreeing words among `size` hold all words of some mask."""
+    places = [{k + j for j, c in enumerate(mask) if c == "1"} for mask in masks for k in range(size - len(mask) + 1)]
+    return all(any(p.isdisjoint(gone) for p in places) for gone in combinations(range(size), size - needed))
+
+
+def masks_for(size: int, needed: int) -> tuple[str, ...]:
+    """Masks that cover a length: known ones for lengths that can be enumerated, else the run of words that always stays whole."""
+    known = (masks for masks in MASKS if size <= 16 and covers(masks, size, needed))
+    return next(known, ("1" * max(1, math.ceil(needed / (size - needed + 1))),))
+
 
-    return F.when(F.size(words) >= span, F.transform(F.sequence(F.lit(0), F.size(words) - span, F.lit(stride)), at))
+def _hash(words: Column, at: Column, mask: str) -> Column:
+    return F.xxhash64(F.lit(mask), *[F.get(words, at + j) for j, c in enumerate(mask) if c == "1"])
 
 
-def _one_each(row: str) -> Column:
-    """The hashes of the masks as an array of one hash each."""
-    return F.array(*[F.col(f"{row}.h{k}") for k in range(len(MASKS))])
+def _item_seeds(words: Column, mask: str) -> Column:
+    """(at, hash) at every word where the mask fits; null for items with fewer words than the mask."""
+    return F.when(F.size(words) >= len(mask), F.transform(F.sequence(F.lit(0), F.size(words) - len(mask)), lambda i: F.struct(i.alias("at"), _hash(words, i, mask).alias("hash"))))
+
+
+def _seeds(words: Column, masks: list[str]) -> Column:
+    """(at, h0, h1, ...) at every word where the shortest mask fits; null for texts with fewer words."""
+    span = min(map(len, masks))
+    def at(i: Column) -> Column:
+        return F.struct(i.cast("int").alias("at"), *[_hash(words, i, mask).alias(f"h{k}") for k, mask in enumerate(masks)])
+
+    return F.when(F.size(words) >= span, F.transform(F.sequence(F.lit(0), F.size(words) - span), at))
 
 
 def _run(doc: Column, item: Column, shift: Column, window: int) -> Column:
@@ -55,27 +74,35 @@ def _run(doc: Column, item: Column, shift: Column, window: int) -> Column:
     return F.when(high > low, best).otherwise(0)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, agree: float = 0.8, least_words: int = 8, stride: int = 2, broadcast_rows: int = 2_000_000) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, agree: float = 0.8, least_words: int = 8, broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, at (the document's word over the item's first), matched (agreeing words in the best window)
     and needed, of every document and item that overlap: the place of the most agreement for each."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("item")).where(F.size("item") >= least_words).groupBy("item").agg(F.min("item_id").alias("item_id"))
     items = written(items, "items")
-    seeds = items.select("item_id", F.explode(_seeds(F.col("item"), 1)).alias("s")).select("item_id", F.col("s.at").alias("item_at"), F.posexplode(_one_each("s")).alias("mask", "hash"))
-    seeds = written(seeds.select("item_id", "item_at", "hash"), "seeds")
+    lengths = [r.n for r in items.select(F.least(F.size("item"), F.lit(window)).alias("n")).distinct().collect()]
+    lengths_of: dict[str, list[int]] = {}
+    for n in sorted(lengths):
+        for mask in masks_for(n, math.ceil(n * agree)):
+            lengths_of.setdefault(mask, []).append(n)
+    masks = list(lengths_of) or list(MASKS[0])
+    own = lambda mask: F.when(F.least(F.size("item"), F.lit(window)).isin(lengths_of.get(mask, [])), _item_seeds(F.col("item"), mask))
+    seeds = items.select("item_id", F.explode(F.array(*map(own, masks))).alias("s")).select("item_id", F.explode("s").alias("s"))
+    seeds = written(seeds.select("item_id", F.col("s.at").alias("item_at"), "s.hash"), "seeds")
     size = F.least(F.size("item"), F.lit(window))
     needed = F.ceil(size * agree).cast("int")
 
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     # With the seeds as a plain column, the explosion and the broadcast join are one generated loop that never copies the words.
     # The outer forms keep the optimizer from inferring filters, below which all words would be split again for each seed.
-    found = words.withColumn("seeds", _seeds(F.col("words"), stride)).select("doc_id", "words", F.explode_outer("seeds").alias("s"))
-    found = found.withColumn("hash", F.explode_outer(_one_each("s")))
+    found = words.withColumn("seeds", _seeds(F.col("words"), masks)).select("doc_id", "words", F.explode_outer("seeds").alias("s"))
+    found = found.withColumn("hash", F.explode_outer(F.array(*[F.col(f"s.h{k}") for k in range(len(masks))])))
     if seeds.count() <= broadcast_rows:
         hits = found.join(F.broadcast(seeds), "hash").select("doc_id", "words", "item_id", (F.col("s.at") - F.col("item_at")).alias("shift"))
         hits = hits.join(F.broadcast(items), "item_id")
     else:
         near = found.select("doc_id", F.col("s.at").alias("at"), "hash").join(seeds, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-        hits = words.join(near, "doc_id").join(items, "item_id")
+        near = near.withColumnRenamed("doc_id", "hit_id")
+        hits = words.join(near, F.col("doc_id").eqNullSafe(F.col("hit_id"))).join(items, "item_id")
     score = F.struct("shift", _run(F.col("words"), F.col("item"), F.col("shift"), window).alias("matched"), needed.alias("needed"))
     matched = hits.select("doc_id", "item_id", F.explode_outer(F.filter(F.array(score), lambda x: x["matched"] >= x["needed"])).alias("b")).where("b IS NOT NULL")
     best = matched.groupBy("doc_id", "item_id").agg(F.max_by("b", F.struct("b.matched", -F.col("b.shift"))).alias("b"))

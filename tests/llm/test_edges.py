@@ -149,6 +149,27 @@ def test_decontamination(odd, none, spark):
     assert decontam.decontaminate(odd, items).count() == 14
 
 
+def test_decontamination_misses_no_overlap(spark):
+    """Every choice of substituted words that the rule allows, at even and odd places, in items of 8 to 14 words; rows without an id."""
+    from itertools import combinations
+
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in range(8, 15)]
+    docs = []
+    for n, item in items:
+        size = min(n, 13)
+        for gone in combinations(range(size), size - -(-size * 4 // 5)):
+            for before in (2, 3):
+                docs.append((len(docs), " ".join(["x"] * before + ["swapped" if k in gone else w for k, w in enumerate(item)] + ["y"] * 2), n))
+    docs += [(None, "x " + " ".join(items[0][1]), 8), (-1, " ".join(items[-1][1][:11]), 14), (-2, " ".join(items[-1][1][4:] + ["z"]), None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, item long")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    for most in (2_000_000, 0):
+        got = [(r.doc_id, r.item_id) for r in decontam.overlaps(rows, bench, broadcast_rows=most).collect()]
+        assert sorted(got, key=str) == sorted([(i, n) for i, _, n in docs if n], key=str)
+    for size in range(1, 60):
+        assert all(decontam.covers(decontam.masks_for(size, k), size, k) for k in (size, size - 1) if k)
+
+
 def test_shards(odd, none, tmp_path, spark):
     store = shards.Store(spark, str(tmp_path / "s"))
     for _ in range(3):
