@@ -2,8 +2,8 @@ r"""License scans by ordered signature rules.
 
 Text becomes a line of lower-case words (runs of digits, a-z and characters beyond ASCII) between single blanks. A rule is a
 regular expression over such a line with a label, a priority and a keyword; names of licenses in four kinds of context (an SPDX line,
-a grant, a reference to terms, a bare mention) give the rules. A text goes on only if a cheap expression finds any keyword's
-stem, and a rule is tried only where its own keyword stands. Detections contained in a longer one, or in an equal one of higher
+a grant, a reference to terms, a bare mention) give the rules. A text goes on only if a cheap expression finds what every
+name needs, and a rule is tried only where its own keyword stands; no match of a rule fails either. Detections contained in a longer one, or in an equal one of higher
 priority, are suppressed; of partial overlaps the detection of lower priority goes.
 
 Besides, three base phrases are counted wherever their words stand consecutively; their labels are always reported.
@@ -24,51 +24,51 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 
 #: label | keyword | name in running text | SPDX identifier, both over lower-case words.
 NAMES = r"""
-mit | mit | (?:the )?(?:mit|expat)(?: x11)?(?: style)? licen[sc]e | mit
+mit | mit|expat | (?:the )?(?:mit|expat)(?: x11)?(?: style)? licen[sc]e | mit
 mit-0 | mit | (?:the )?mit no attribution licen[sc]e | mit 0
 x11 | x11 | (?:the )?x11 licen[sc]e | x11
 apache-2 | apache | (?:the )?apache (?:software )?licen[sc]e(?: v| version)? ?2(?: 0)? | apache 2 0
 apache-1.1 | apache | (?:the )?apache (?:software )?licen[sc]e(?: version)? 1 1 | apache 1 1
 apache-1.0 | apache | (?:the )?apache (?:software )?licen[sc]e(?: version)? 1 0 | apache 1 0
-gpl-3 | g(?:pl|nu) | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?:v)?3(?: 0)?(?: of the licen[sc]e)?(?: only)? | gpl 3 0(?: only)?
-gpl-3-or-later | g(?:pl|nu) | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?:v)?3(?: 0)?(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)? | gpl 3 0 or later
-gpl-2 | g(?:pl|nu) | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?:v)?2(?: 0)?(?: of the licen[sc]e)?(?: only)? | gpl 2 0(?: only)?
-gpl-2-or-later | g(?:pl|nu) | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?:v)?2(?: 0)?(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)? | gpl 2 0 or later
-gpl-1 | g(?:pl|nu) | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl) (?:version |v)1 | gpl 1 0(?: only| or later)?
-gpl | g(?:pl|nu) | (?:the )?gnu (?:general public licen[sc]e|gpl) | gpl
+gpl-3 | g(?:pl|nu|eneral) | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?:v)?3(?: 0)?(?: of the licen[sc]e)?(?: only)? | gpl 3 0(?: only)?
+gpl-3-or-later | g(?:pl|nu|eneral) | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?:v)?3(?: 0)?(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)? | gpl 3 0 or later
+gpl-2 | g(?:pl|nu|eneral) | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?:v)?2(?: 0)?(?: of the licen[sc]e)?(?: only)? | gpl 2 0(?: only)?
+gpl-2-or-later | g(?:pl|nu|eneral) | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?:v)?2(?: 0)?(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)? | gpl 2 0 or later
+gpl-1 | g(?:pl|nu|eneral) | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl) (?:version |v)1 | gpl 1 0(?: only| or later)?
+gpl | g(?:pl|nu|eneral) | (?:the )?gnu (?:general public licen[sc]e|gpl) | gpl
 lgpl-3 | l(?:gpl|esser) | (?:the )?(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version| v)? ?(?:v)?3(?: 0)? | lgpl 3 0(?: only| or later)?
 lgpl-2.1 | l(?:gpl|esser) | (?:the )?(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version| v)? ?(?:v)?2 1 | lgpl 2 1(?: only| or later)?
 lgpl-2 | l(?:gpl|ibrary) | (?:the )?(?:gnu )?(?:library general public licen[sc]e|lgpl)(?: version| v)? ?(?:v)?2(?: 0)? | lgpl 2 0(?: only| or later)?
 lgpl | l(?:gpl|esser) | (?:the )?gnu (?:lesser general public licen[sc]e|lgpl) | lgpl
 agpl-3 | a(?:gpl|ffero) | (?:the )?(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: version| v)? ?(?:v)?3(?: 0)? | agpl 3 0(?: only| or later)?
 agpl | a(?:gpl|ffero) | (?:the )?gnu (?:affero general public licen[sc]e|agpl) | agpl
-gfdl | fdl|documentation | (?:the )?gnu free documentation licen[sc]e(?: version 1 [0-9])? | gfdl 1 [0-9](?: only| or later)?
+gfdl | g?fdl|documentation | (?:the )?gnu free documentation licen[sc]e(?: version 1 [0-9])? | gfdl 1 [0-9](?: only| or later)?
 bsd-3 | bsd | (?:the )?(?:3 clause|three clause|new|modified|revised) bsd licen[sc]e | bsd 3 clause
 bsd-3 | bsd | (?:the )?bsd 3 clause(?: new| modified| revised)?(?: licen[sc]e)? | bsd 3 clause clear
 bsd-2 | bsd | (?:the )?(?:(?:2 clause|two clause|simplified|freebsd) bsd|bsd (?:2|two) clause) licen[sc]e | bsd 2 clause
 bsd-4 | bsd | (?:the )?(?:(?:4 clause|four clause|original) bsd|bsd (?:4|four) clause) licen[sc]e | bsd 4 clause
-bsd-0 | bsd | (?:the )?(?:zero clause bsd|bsd zero clause|0bsd) licen[sc]e | 0bsd
+bsd-0 | 0?bsd | (?:the )?(?:zero clause bsd|bsd zero clause|0bsd) licen[sc]e | 0bsd
 bsd | bsd | (?:the |a )?bsd(?: style| type)? licen[sc]e | bsd
 isc | isc | (?:the )?isc licen[sc]e | isc
 mpl-2 | m(?:pl|ozilla) | (?:the )?(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?(?:v)?2(?: 0)? | mpl 2 0
 mpl-1.1 | m(?:pl|ozilla) | (?:the )?(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?(?:v)?1 1 | mpl 1 1
 epl-2 | e(?:pl|clipse) | (?:the )?(?:eclipse public licen[sc]e|epl)(?: version| v)? ?2(?: 0)? | epl 2 0
 epl-1 | e(?:pl|clipse) | (?:the )?(?:eclipse public licen[sc]e|epl)(?: version| v)? ?1(?: 0)? | epl 1 0
-edl-1 | eclipse | (?:the )?eclipse distribution licen[sc]e(?: version| v)? ?1(?: 0)? | edl 1 0
+edl-1 | e(?:dl|clipse) | (?:the )?eclipse distribution licen[sc]e(?: version| v)? ?1(?: 0)? | edl 1 0
 eupl-1.2 | eupl|european | (?:the )?(?:european union public licen[sc]e|eupl)(?: version| v)? ?1 2 | eupl 1 2
 eupl-1.1 | eupl|european | (?:the )?(?:european union public licen[sc]e|eupl)(?: version| v)? ?1 1 | eupl 1 1
 cddl-1.1 | cddl|common | (?:the )?(?:common development and distribution licen[sc]e|cddl)(?: version| v)? ?1 1 | cddl 1 1
 cddl-1 | cddl|common | (?:the )?(?:common development and distribution licen[sc]e|cddl)(?: version| v)? ?1(?: 0)? | cddl 1 0
-cpl-1 | common | (?:the )?common public licen[sc]e(?: version| v)? ?1(?: 0)? | cpl 1 0
+cpl-1 | c(?:pl|ommon) | (?:the )?common public licen[sc]e(?: version| v)? ?1(?: 0)? | cpl 1 0
 artistic-2 | artistic | (?:the )?artistic licen[sc]e(?: version| v)? ?2(?: 0)? | artistic 2 0
 artistic-1 | artistic | (?:the )?artistic licen[sc]e(?: version| v)? ?1(?: 0)? | artistic 1 0
 artistic | artistic | (?:the )?(?:perl )?artistic licen[sc]e | artistic 1 0 perl
 zlib | zlib | (?:the )?zlib(?: libpng)? licen[sc]e | zlib
-libpng | libpng | (?:the )?(?:lib)?png licen[sc]e | libpng(?: 2 0)?
+libpng | (?:lib)?png | (?:the )?(?:lib)?png licen[sc]e | libpng(?: 2 0)?
 boost-1 | boost|bsl | (?:the )?boost software licen[sc]e(?: version| v)?(?: 1(?: 0)?)? | bsl 1 0
 unlicense | unlicense | (?:the )?unlicense | unlicense
 wtfpl | wtfpl|what | (?:the )?(?:wtfpl|do what the f[a-z]* you want to public licen[sc]e) | wtfpl
-public-domain | domain | (?:in|into|to) the public domain | cc pddc
+public-domain | domain|cc pddc | (?:in|into|to) the public domain | cc pddc
 cc0-1 | cc0|zero | (?:the )?(?:creative commons (?:cc0|zero)|cc0)(?: 1 0)?(?: universal)? | cc0 1 0
 cc-by-4 | cc|commons | (?:the )?(?:creative commons attribution|cc by) 4 0(?: international)? | cc by 4 0
 cc-by-3 | cc|commons | (?:the )?(?:creative commons attribution|cc by) 3 0(?: unported)? | cc by 3 0
@@ -106,7 +106,7 @@ mulan-2 | mulan | (?:the )?mulan (?:psl|permissive software licen[sc]e)(?: v2| v
 elastic-2 | elastic | (?:the )?elastic licen[sc]e(?: 2 0)? | elastic 2 0
 sspl-1 | sspl|server | (?:the )?(?:server side public licen[sc]e|sspl)(?: v?1)? | sspl 1 0
 busl-1.1 | busl|business | (?:the )?(?:business source licen[sc]e|busl)(?: 1 1)? | busl 1 1
-openrail | rail | (?:the )?(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)? | openrail(?: m)?
+openrail | open ?rail | (?:the )?(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)? | openrail(?: m)?
 all-rights-reserved | reserved | all rights reserved | all rights reserved
 proprietary | proprietary | (?:proprietary and confidential|proprietary licen[sc]e) | licenseref proprietary
 """
@@ -117,8 +117,13 @@ CONTEXTS = (
     (2, 0.9, "(?:under|subject to|pursuant to|in accordance with)(?: the)? (?:terms|conditions|provisions)(?: and conditions)? of {name}"),
     (1, 0.6, "{name}"),
 )
-#: What a text must hold to go on; most places fail at their first letter.
-STEM = r"(?i)(?=[lscgprowmb])(?:licen[sc]|spdx|cc[^0-9A-Za-z]+by|cc0|gpl|public[^0-9A-Za-z]+domain|rights[^0-9A-Za-z]+reserved|creative[^0-9A-Za-z]+commons|open ?rail|proprietary|odbl|pddl|wtfpl|ms[^0-9A-Za-z]+[pr]l|bsd[^0-9A-Za-z]+3)"
+_GAP = "[^0-9A-Za-z]+"
+#: What a text must hold to go on: something of every name and identifier. Most places fail at their first letter; abbreviations
+#: stand as words, or before a version.
+STEM = (
+    rf"(?i)(?=[lscgprowmbeau])(?:licen[sc]|spdx|cc{_GAP}by|cc0|gpl|public{_GAP}domain|rights{_GAP}reserved|creative{_GAP}commons|open(?:{_GAP})?rail|proprietary|odbl|pddl|wtfpl|ms{_GAP}[pr]l|bsd{_GAP}3"
+    rf"|(?<![0-9A-Za-z])(?:(?:[me]pl|eupl|cddl|[oa]fl|osl|ecl|upl|sspl|busl)(?![a-uw-z])|mulan{_GAP}psl|odc{_GAP}by))"
+)
 
 
 def rules() -> list[tuple[str, int, float, str, str]]:

@@ -134,6 +134,16 @@ def test_licenses(odd, none, spark):
     assert not got[1] & {"gpl-3", "gpl"}  # contained detections are suppressed
 
 
+def test_licenses_named_by_few_words(spark):
+    texts = {
+        "MPL-2.0": "mpl-2", "EPL-2.0": "epl-2", "EUPL 1.2": "eupl-1.2", "CDDL 1.1": "cddl-1.1", "SIL OFL 1.1": "ofl-1.1", "OSL 3.0": "osl-3", "AFL 3.0": "afl-3", "ECL 2.0": "ecl-2", "UPL 1.0": "upl-1", "SSPL v1": "sspl-1",
+        "BUSL 1.1": "busl-1.1", "Mulan PSL v2": "mulan-2", "ODC-BY 1.0": "odc-by-1", "CreativeML Open-RAIL": "openrail", "CreativeML OpenRAIL-M": "openrail", "0BSD license": "bsd-0", "SPDX-License-Identifier: 0BSD": "bsd-0",
+        "General Public License version 3": "gpl-3", "the expat license": "mit", "SPDX-License-Identifier: GFDL-1.3-only": "gfdl", "SPDX-License-Identifier: CPL-1.0": "cpl-1", "an upload of samples for Oslo": "",
+    }
+    got = [r.labels for r in licenses.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == list(texts.values())
+
+
 def test_decontamination(odd, none, spark):
     passage = prose(20, 30)
     swapped = passage.split()

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from llm import brute
-from quirework.llm import neardup, packing, quality
+from quirework.llm import licenses, neardup, packing, quality
 from quirework.llm.common import LOWER, text_bytes, word_hashes, word_spans
 
 ALPHABET = st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(list(" \t\n.,'’!?<|>endoftx019aAéÉΣİß́—")))
@@ -71,3 +71,41 @@ def test_plans_place_every_piece(lengths):
     assert held == lengths
     slots = packing.slots(packing.plan(dict(lengths), 64))
     assert len(slots) == 0 or (slots[:, 4] < 64).all()
+
+
+def spelled(tree):
+    """All strings of a parsed pattern; of a class its first member, of a repeat its fewest and, up to one more, its most."""
+    out = [""]
+    for kind, arg in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        elif name == "BRANCH":
+            more = [s for part in arg[1] for s in spelled(part)]
+        elif name == "SUBPATTERN":
+            more = spelled(arg[3])
+        elif name == "MAX_REPEAT":
+            more = [s * n for s in spelled(arg[2]) for n in {arg[0], min(arg[1], arg[0] + 1)}]
+        else:
+            raise NotImplementedError(name)
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+def test_no_license_rule_is_lost_at_a_gate():
+    """Every spelling of every name and identifier, written with blanks and with hyphens and capitals."""
+    import re
+    from re import _parser
+
+    stem, n = re.compile(licenses.STEM), 0
+    for line in licenses.NAMES.strip().splitlines():
+        label, keyword, name, spdx = licenses._fields(line)
+        keyword = re.compile(f" (?:{keyword})")
+        for text, spdx_line in [(s, False) for s in spelled(_parser.parse(name))] + [(s, True) for s in spelled(_parser.parse(spdx))]:
+            n += 1
+            assert keyword.search(f" {text} "), (label, text)
+            for raw in (text, text.upper().replace(" ", "-"), f"é {text}."):
+                assert stem.search("SPDX-License-Identifier: " + raw if spdx_line else raw), (label, raw)
+    assert n > 1000
