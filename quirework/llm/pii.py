@@ -6,7 +6,8 @@ form decides its surrogate: addresses without case, digits without layout, name
 reads the same everywhere, and the original layout and case are laid over the surrogate.
 
 A first pass gathers the distinct canonical forms of the corpus and checks that no two share a surrogate and that no
-surrogate is itself someone's real value; the losers of a collision move to their next attempt until none is left. The second pass
+surrogate is itself someone's real value; the losers of a collision move to their next attempt, in a space that grows, until none is left; numbers
+that attempts leave over are ranked into unused values. The second pass
 rewrites texts in place. Attempt 0 is a pure function of key and value, so only entities that had to move are joined.
 
 Everything is made of DataFrame functions. Defined results: null and empty texts stay as they are; repeated rows are
@@ -31,7 +32,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Alternatives in order of precedence at one place.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?i:token|secret|api[_-]?key|passwd|password)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)[A-Za-z0-9+/_-]{16,}",
+    "secret": r"(?<=(?i:token|secret|api[_-]?key|passwd|password)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{16,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
@@ -118,12 +119,17 @@ def _shaped(value: Column, h: Column, letters: int = 26) -> Column:
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def _email(canon: Column, h: Column, key: str) -> Column:
-    """One site stays one site, and its top-level domain stays."""
+def _more(n: Column, h: Column, letters: int = 26) -> Column:
+    """n letters (none below 1), from the end of a hash."""
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.char(F.lit(97) + _number(h, 31 - i % 31, letters))), "")).otherwise("")
+
+
+def _email(canon: Column, h: Column, key: str, attempt: Column) -> Column:
+    """One site stays one site, and its top-level domain stays; each further attempt makes the mailbox a letter longer."""
     site = F.substring_index(canon, "@", -1)
     top = F.substring_index(site, ".", -1)
     domain = _let(F.sha2(F.concat_ws("|", F.lit(key), F.lit("site"), site), 512), lambda hs: _shaped(F.substr(site, F.lit(1), F.length(site) - F.length(top) - 1), hs))
-    return F.concat(_shaped(F.substring_index(canon, "@", 1), h), F.lit("@"), domain, F.lit("."), top)
+    return F.concat(_shaped(F.substring_index(canon, "@", 1), h), _more(attempt, h), F.lit("@"), domain, F.lit("."), top)
 
 
 def _card(canon: Column, h: Column) -> Column:
@@ -132,13 +138,14 @@ def _card(canon: Column, h: Column) -> Column:
     return _let(body, lambda b: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(b, d.cast("string"))), lambda x: F.call_function("luhn_check", x))[0])
 
 
-def _name(kind: Column, canon: Column, h: Column) -> Column:
-    """A name word of the script of canon, with an ending for its gender or for a surname."""
+def _name(kind: Column, canon: Column, h: Column, attempt: Column) -> Column:
+    """A name word of the script of canon, with an ending for its gender or for a surname; a syllable longer with each further attempt."""
     def word(script: str) -> Column:
         parts = F.array(*map(F.lit, _SYLLABLES[script]))
         end = {k: F.array(*map(F.lit, v)) for k, v in _ENDINGS[script].items()}
         ending = reduce(lambda c, k: c.when(kind == f"given-{k}", end[k][_number(h, 3, 3)]), ("male", "female", "any"), F.when(kind == "surname", end["surname"][_number(h, 3, 3)]))
-        return F.concat(*[parts[_number(h, i, 65)] for i in range(3)], ending)
+        more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda i: F.get(parts, _number(h, i + 3, 65))), "")).otherwise("")
+        return F.concat(*[parts[_number(h, i, 65)] for i in range(3)], more, ending)
 
     return F.when(canon.rlike(r"^\p{IsCyrillic}"), word("cyrillic")).when(canon.rlike(r"^\p{IsGreek}"), word("greek")).otherwise(word("latin"))
 
@@ -148,10 +155,11 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     def of(h: Column) -> Column:
         ip = F.concat_ws(".", *[(_number(h, i, 254) + 1).cast("string") for i in range(4)])
         number = F.when(canon.rlike("^1[0-9]{10}$"), F.concat(F.lit("1"), _shaped(F.substr(canon, F.lit(2), F.lit(10)), h))).otherwise(_shaped(canon, h))
-        secret = F.when(canon.rlike("^[0-9a-fA-F]+$"), _shaped(canon, h, 6)).otherwise(_shaped(canon, h))
+        longer = attempt - 3
+        secret = F.when(canon.rlike("^[0-9a-fA-F]+$"), F.concat(_shaped(canon, h, 6), _more(longer, h, 6))).otherwise(F.concat(_shaped(canon, h), _more(longer, h)))
         return (
-            F.when(kind == "email", _email(canon, h, key)).when(kind == "card", _card(canon, h)).when(kind == "ip", ip)
-            .when(kind.isin("phone", "ssn"), number).when(kind == "secret", secret).otherwise(_name(kind, canon, h))
+            F.when(kind == "email", _email(canon, h, key, attempt)).when(kind == "card", _card(canon, h)).when(kind == "ip", ip)
+            .when(kind.isin("phone", "ssn"), number).when(kind == "secret", secret).otherwise(_name(kind, canon, h, attempt))
         )
 
     return _let(F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), canon), 512), of)
@@ -164,15 +172,16 @@ def _laid(original: Column, digits: Column) -> Column:
 
 
 def _cased(original: Column, word: Column) -> Column:
-    """word (an address, as long as original) in the case of original."""
-    return F.array_join(F.transform(F.split(word, ""), lambda ch, i: F.when(F.substr(original, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(ch)).otherwise(ch)), "")
+    """word (an address) in the case of original, mailbox and site each from their first letter."""
+    like = lambda o, w: F.array_join(F.transform(F.split(w, ""), lambda ch, i: F.when(F.substr(o, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(ch)).otherwise(ch)), "")
+    return F.concat_ws("@", *[like(F.substring_index(original, "@", k), F.substring_index(word, "@", k)) for k in (1, -1)])
 
 
-def _rendered(e: Column, attempts: Column | None, key: str) -> Column:
+def _rendered(e: Column, moves: Column | None, key: str) -> Column:
     """What stands in the text for an element of entities()."""
     def of(part: Column) -> Column:
-        attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws("|", part["kind"], part["canon"])), F.lit(0))
-        return surrogate(part["kind"], part["canon"], attempt, key)
+        first = surrogate(part["kind"], part["canon"], F.lit(0), key)
+        return first if moves is None else F.coalesce(F.try_element_at(moves, F.concat_ws("|", part["kind"], part["canon"])), first)
 
     m, kind = e["m"], e["kind"]
 
@@ -185,22 +194,79 @@ def _rendered(e: Column, attempts: Column | None, key: str) -> Column:
     return F.when(kind.isNull(), m).otherwise(_let(F.transform(e["parts"], of), laid))
 
 
+#: Kinds whose stand-ins keep their length.
+_NUMBERS = ("card", "ip", "phone", "ssn")
+
+
+def _form(kind: Column, canon: Column) -> Column:
+    """What a stand-in of a number keeps besides its kind: its length, and whether it is one of eleven digits after 1."""
+    return F.when(kind == "ip", "ip").otherwise(F.concat(F.length(canon).cast("string"), F.when((kind == "phone") & canon.rlike("^1[0-9]{10}$"), "+1").otherwise("")))
+
+
+def _nth(kind: str, form: str, n: Column) -> tuple[Column, int]:
+    """The n-th value of a form, and how many there are."""
+    if kind == "ip":
+        return F.concat_ws(".", *[(F.floor(n / 254**k) % 254 + 1).cast("string") for k in (3, 2, 1, 0)]), 254**4
+    length = int(form.split("+")[0])
+    head, tail = ("4", 1) if kind == "card" else ("1", 0) if "+" in form else ("", 0)
+    free = length - len(head) - tail
+    body = F.concat(F.lit(head), F.lpad(n.cast("string"), free, "0"))
+    if kind == "card":
+        body = _let(body, lambda b: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(b, d.cast("string"))), lambda x: F.call_function("luhn_check", x))[0])
+    return body, 10**free
+
+
+def _ranked(df: DataFrame, order: str) -> DataFrame:
+    """df with its rank from 0, counted in parts."""
+    part = written(df.repartitionByRange(order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("i")), "parts")
+    counts = sorted(map(tuple, part.groupBy("part").count().collect()))
+    before = {p: sum(n for q, n in counts if q < p) for p, _ in counts}
+    starts = F.create_map(*[F.lit(x) for p in before.items() for x in p]) if before else F.create_map().cast("map<int,long>")
+    return part.select(*df.columns, (starts[F.col("part")] + F.col("i")).alias("rank"))
+
+
+def _rest(state: DataFrame, losers: DataFrame) -> DataFrame:
+    """losers (kind, canon) of numbers with stand-ins that nobody has: the n-th of a form takes the n-th unused value.
+    state: kind, canon and stand_in of all entities. Of as many values as are lost or in use, enough are unused."""
+    losers = written(losers.withColumn("form", _form(F.col("kind"), F.col("canon"))), "losers")
+    kept = state.join(losers.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", F.col("stand_in").alias("used"))
+    used = written(kept.unionByName(state.select("kind", F.col("canon").alias("used"))).distinct(), "used")
+    out = []
+    for g in losers.groupBy("kind", "form").count().collect():
+        mine = losers.where((F.col("kind") == g["kind"]) & (F.col("form") == g["form"]))
+        taken = used.where((F.col("kind") == g["kind"]) & (_form(F.col("kind"), F.col("used")) == g["form"]))
+        value, most = _nth(g["kind"], g["form"], F.col("id"))
+        free = losers.sparkSession.range(min(most, g["count"] + taken.count())).select(value.alias("stand_in"))
+        free = written(free.join(taken.select(F.col("used").alias("stand_in")), "stand_in", "left_anti"), "free")
+        if free.count() < g["count"]:
+            raise ValueError(f"more than half of all numbers of form {g['kind']} {g['form']} are in the texts: no others are left to stand in for them")
+        out.append(_ranked(mine.select("kind", "canon"), "canon").join(_ranked(free, "stand_in"), "rank").select("kind", "canon", "stand_in"))
+    return written(reduce(DataFrame.unionByName, out), "rest")
+
+
 def moved(docs: DataFrame, key: str, most_rounds: int = 20) -> DataFrame | None:
-    """(kind, canon, attempt) of the entities whose first surrogate collided, or None if none did."""
+    """(kind, canon, stand_in) of the entities whose first surrogate collided, or None if none did. Names, addresses and secrets
+    get longer with their attempts until none collides; numbers, whose length is fixed, that still do after most_rounds take unused values."""
     found = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(entities(F.col("text")), lambda e: e["parts"])))).alias("e")).select("e.*").distinct()
     state = written(found.withColumn("attempt", F.lit(0)), "entities")
     real = state.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
-    for turn in range(most_rounds):
+    turn = 0
+    while True:
         now = state.withColumn("stand_in", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
         first = now.groupBy("kind", "stand_in").agg(F.count("*").alias("n"), F.min_by("canon", F.struct("attempt", F.xxhash64("canon"), "canon")).alias("owner"))
         known = first.join(real, (F.col("kind") == F.col("k")) & (F.col("stand_in") == F.col("c")), "left")
         clash = written(known.where("n > 1 OR c IS NOT NULL").select("kind", "stand_in", F.when(F.col("c").isNull(), F.col("owner")).alias("owner")), "clashes")
+        moves = now.where("attempt > 0").select("kind", "canon", "stand_in")
         if clash.isEmpty():
-            return state.where("attempt > 0") if turn else None
-        loses = F.col("clashing") & ~F.col("canon").eqNullSafe(F.col("owner"))
-        state = now.join(clash.withColumn("clashing", F.lit(True)), ["kind", "stand_in"], "left")
-        state = written(state.select("kind", "canon", (F.col("attempt") + F.when(loses, 1).otherwise(0)).alias("attempt")), "entities")
-    raise RuntimeError(f"collisions remain after {most_rounds} rounds")
+            return moves if turn else None
+        loses = F.coalesce(F.col("clashing") & ~F.col("canon").eqNullSafe(F.col("owner")), F.lit(False))
+        now = now.join(clash.withColumn("clashing", F.lit(True)), ["kind", "stand_in"], "left").select("kind", "canon", "attempt", "stand_in", loses.alias("loses"))
+        if turn >= most_rounds and clash.where(~F.col("kind").isin(*_NUMBERS)).isEmpty():
+            now = written(now, "entities")
+            rest = _rest(now, now.where("loses").select("kind", "canon"))
+            return now.where("attempt > 0 AND NOT loses").select("kind", "canon", "stand_in").unionByName(rest)
+        turn += 1
+        state = written(now.select("kind", "canon", (F.col("attempt") + F.col("loses").cast("int")).alias("attempt")), "entities")
 
 
 def replace_entities(docs: DataFrame, key: str = "surrogates", count_into: str | None = None) -> DataFrame:
@@ -208,13 +274,13 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", count_into: str |
     exceptions = moved(docs, key)
     text, found = F.col("text"), F.col("__pii_found")
     inner = docs.withColumn("__pii_found", entities(text))
-    attempts = None
+    moves = None
     if exceptions is not None:
         hit = inner.select("doc_id", F.explode(F.flatten(F.transform(found, lambda e: e["parts"]))).alias("e")).select("doc_id", "e.*").distinct()
-        by_doc = hit.join(exceptions, ["kind", "canon"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__pii_attempts"))
-        inner = inner.alias("d").join(by_doc.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left").select("d.*", "x.__pii_attempts")
-        attempts = F.col("__pii_attempts")
-    stand_ins = F.concat(F.transform(found, lambda e: _rendered(e, attempts, key)), F.array(F.lit("")))
+        by_doc = hit.join(exceptions, ["kind", "canon"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "stand_in"))).alias("__pii_moves"))
+        inner = inner.alias("d").join(by_doc.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left").select("d.*", "x.__pii_moves")
+        moves = F.col("__pii_moves")
+    stand_ins = F.concat(F.transform(found, lambda e: _rendered(e, moves, key)), F.array(F.lit("")))
     parts = F.zip_with(F.split(text, ANY, -1), stand_ins, lambda s, m: F.concat(s, m))
     count = F.coalesce(F.size(F.filter(found, lambda e: e["kind"].isNotNull())), F.lit(0))
     out = inner.select("*", F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text).alias("__pii_text"), count.alias("__pii_count"))

@@ -274,6 +274,30 @@ def test_pii_collisions_are_resolved(spark):
     assert len(set(new)) == 900 and len({t.split()[-1] for t in out}) == 1 and not set(new) & set(real) and new[0] == out[5].split()[-1]
 
 
+def test_pii_settles_dense_and_shapeless_values(spark):
+    """Rules without a letter are no secrets; one-letter mailboxes, nearly shapeless secrets and numbers without luck all settle."""
+    rules = ["Password: ____________________", "secret = --------------------"]
+    real = [f"{c}@dense.example.com" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"_______________{d}" for d in range(10)]
+    texts = rules + [x if "@" in x else f"token = {x}" for x in real]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in pii.replace_entities(df).orderBy("doc_id").collect()]
+    new = [t.removeprefix("token = ") for t in out[2:]]
+    assert out[:2] == rules and len(set(new)) == len(real) and not set(new) & set(real)
+
+    for kind, real in (("ssn", [f"{i:03d}-10-{1000 + i}" for i in range(30)]), ("card", ["4539148803436467", "4111111111111111", "5500000000000004"]), ("ip", ["10.0.0.1", "10.0.0.2", "1.1.1.1"]), ("phone", ["+1 555-123-4567", "+1 555-123-4568"])):
+        df = spark.createDataFrame(list(enumerate(real)), "doc_id long, text string")
+        forced = pii.surrogate
+        try:
+            pii.surrogate = lambda k, canon, attempt, key: F.lit("1" * 9)  # noqa: B023  no attempt helps: all but one are ranked
+            got = pii.moved(df, "k", most_rounds=1).collect()
+        finally:
+            pii.surrogate = forced
+        canon = {"".join(c for c in x if c.isdigit()) if kind != "ip" else x for x in real}
+        assert {r.kind for r in got} == {kind} and len({r.stand_in for r in got}) == len(got) >= len(real) - 1 and not {r.stand_in for r in got} & canon
+        ranked = [r for r in got if r.stand_in != "1" * 9]
+        assert all(kind == "ip" or len(r.stand_in) == len(r.canon) for r in ranked) and (kind != "card" or all(brute.luhn(r.stand_in) for r in ranked))
+
+
 def test_pipeline_stages_on_odd_rows(odd, none, spark, tmp_path):
     """Columns pass through every stage but the last whatever they are called; empty tables pass."""
     import corpus_pipeline
