@@ -108,20 +108,20 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.drained(lifecycle.user_sessions(lifecycle.event_stream(spark, sf_dir)), f"sessions_{uuid.uuid4().hex}", "complete")
+    return lifecycle.replayed(lifecycle.user_sessions(lifecycle.event_stream(spark, sf_dir), late=lifecycle.whole_span(spark, sf_dir)), f"sessions_{uuid.uuid4().hex}", "complete")
 
 
 def stream_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = lifecycle.without_repeats(lifecycle.event_stream(spark, sf_dir)).select("event_id", "event_type")
-    return lifecycle.drained(e, f"distinct_{uuid.uuid4().hex}", "append")
+    e = lifecycle.without_repeats(lifecycle.event_stream(spark, sf_dir), late=None).select("event_id", "event_type")
+    return lifecycle.replayed(e, f"distinct_{uuid.uuid4().hex}", "append")
 
 
 def stream_job_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as job histories: a user's sign-ups, views and purchases submit, start and complete, errors fail."""
+    """events as job histories: a user's sign-ups, views and purchases submit, start and complete, errors fail. One step: moves depend on time order, files need have none."""
     status = F.create_map(*[F.lit(x) for p in (("signup", "pending"), ("view", "running"), ("purchase", "completed"), ("error", "failed")) for x in p])
-    e = lifecycle.event_stream(spark, sf_dir).where("event_type <> 'click'")
+    e = lifecycle.event_stream(spark, sf_dir, max_files=None).where("event_type <> 'click'")
     e = e.select(F.col("user_id").cast("string").alias("job_id"), F.element_at(status, F.col("event_type")).alias("status"), "ts")
-    moves = lifecycle.drained(lifecycle.job_states(e), f"moves_{uuid.uuid4().hex}", "append")
+    moves = lifecycle.replayed(lifecycle.job_states(e), f"moves_{uuid.uuid4().hex}", "append")
     return moves.select("job_id", "status", F.unix_micros("ts").alias("ts_us"))
 
 

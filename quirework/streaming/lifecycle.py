@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,15 +14,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.jobs import latest
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 16) -> DataFrame:
-    """events as a stream of bounded steps; ts becomes a timestamp of the session's zone, as watermarks need."""
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = 16) -> DataFrame:
+    """events as a stream of bounded steps, or with None of one; ts becomes a timestamp of the session's zone, as watermarks need."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     # A file source reads folders: the glob stands for one file or for the files of a folder of that name.
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{sf_dir}/event[s].parquet")
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(f"{sf_dir}/event[s].parquet")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def whole_span(spark: SparkSession, sf_dir: str) -> str:
+    """The lateness that covers all of events: no order of its files makes a row late."""
+    ts = F.col("ts").cast("timestamp")
+    days = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.ceil((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 86_400_000_000)).first()[0]
+    return f"{(days or 0) + 1} days"
+
+
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
@@ -30,8 +39,9 @@ def user_sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day")
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
-def without_repeats(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+def without_repeats(events: DataFrame, key: str = "event_id", late: str | None = "1 day") -> DataFrame:
+    """One event of each key; with late=None, for bounded replays, however far apart repeats are."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if late else events.dropDuplicates([key])
 
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
@@ -41,6 +51,21 @@ def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
     return stream.sparkSession.table(name)
 
 
+def replayed(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """All that a bounded stream gives, written by the executors to the folder named by spark.checkpoint.dir and read again."""
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return drained(stream, name, mode)
+    path = f"{shared.rstrip('/')}/quirework/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, step: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/all" if mode == "complete" else f"{path}/out/step={step}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
+
+
 #: Status to the statuses it may move to.
 JOB_MOVES = {None: ("pending",), "pending": ("running", "failed"), "running": ("completed", "failed")}
 

@@ -143,3 +143,18 @@ def test_job_moves_follow_the_machine(spark, sf_dir):
         seen.setdefault(r.job_id, []).append(r.status)
     for moves in seen.values():
         assert moves[0] == "pending" and all(b in lifecycle.JOB_MOVES[a] for a, b in zip(moves, moves[1:], strict=False))
+
+
+def test_streams_of_many_shuffled_files(spark, sf_dir, tmp_path):
+    """Twenty files in no order of time, with repeats over a day apart, give what one file gives; nothing passes the driver's memory sink."""
+    from quirework.plans import stores
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.unionByName(e.limit(50).withColumn("ts", F.col("ts") + F.expr("INTERVAL 3 DAYS")))
+    e.coalesce(1).write.parquet(str(tmp_path / "one" / "events.parquet"))
+    e.repartition(20, "event_id").write.option("maxRecordsPerFile", 40).parquet(str(tmp_path / "many" / "events.parquet"))
+    for query in (stores.stream_distinct_events, stores.stream_job_moves, stores.stream_sessions):
+        one, many = (query(spark, str(tmp_path / d)) for d in ("one", "many"))
+        assert "MemoryPlan" not in many._jdf.queryExecution().analyzed().toString() and many.inputFiles()
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and many.count() > 0
+    assert stores.stream_distinct_events(spark, str(tmp_path / "many")).count() == e.select("event_id").distinct().count()
