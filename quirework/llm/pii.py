@@ -35,11 +35,12 @@ PATTERNS = {
     "secret": r"(?<=(?i:token|secret|api[_-]?key|passwd|password)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{16,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "phone": r"(?<![\p{L}\d.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\+\d{9,14})(?![\p{L}\d-])",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
+    "phone": r"(?<![\p{L}\d.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})|(?=\+(?:[ .-]?\d){7,15}(?![ .-]?\d))\+\d{1,3}(?:[ .-]\d{1,8}){2,6}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\+\d{9,14}|(?=0(?:[ .-]?\d){8,11}(?![ .-]?\d))(?!\d\d[ .-]\d\d[ .-]\d{4}(?!\d))0\d{1,4}(?:(?<by>[ .-])\d{2,4}(?:\k<by>\d{2,4}){1,4}|[ -]\d{6,8}))(?![\p{L}\d-])",
     "person": rf"(?<![\p{{L}}]){_TITLE}\.? {_NAME}(?: {_NAME})?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Group 1 is a secret, whose form may be that of another type.
+ANY = "|".join(f"({p})" if kind == "secret" else f"(?:{p})" for kind, p in PATTERNS.items())
 _GATE_TITLE = rf"(?=[MHDPSFгкκ])(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}"
 
 
@@ -100,7 +101,13 @@ def canonical(m: Column, kind: Column) -> Column:
 def entities(text: Column) -> Column:
     """All matches of a text in order as (m, kind, parts); null where there can be none."""
     matches = F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    kinds = F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+
+    def typed(ms: Column) -> Column:
+        # Only matches that could be numbers as well as secrets need the rule that found them.
+        secrets = F.when(F.exists(ms, lambda m: m.rlike("^[0-9+-]{13,}$")), F.regexp_extract_all(text, F.lit(ANY), F.lit(1)))
+        return _let(secrets, lambda own: F.transform(ms, lambda m, i: F.struct(m.alias("m"), F.when(F.get(own, i) != "", "secret").otherwise(kind_of(m)).alias("kind"))))
+
+    kinds = _let(matches, typed)
     return F.transform(kinds, lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), canonical(e["m"], e["kind"]).alias("parts")))
 
 
@@ -154,7 +161,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form that stands in for (kind, canon) at an attempt."""
     def of(h: Column) -> Column:
         ip = F.concat_ws(".", *[(_number(h, i, 254) + 1).cast("string") for i in range(4)])
-        number = F.when(canon.rlike("^1[0-9]{10}$"), F.concat(F.lit("1"), _shaped(F.substr(canon, F.lit(2), F.lit(10)), h))).otherwise(_shaped(canon, h))
+        led = canon.rlike("^1[0-9]{10}$") | ((kind == "phone") & canon.startswith("0"))
+        number = F.when(led, F.concat(F.substr(canon, F.lit(1), F.lit(1)), _shaped(F.substr(canon, F.lit(2), F.length(canon) - 1), h))).otherwise(_shaped(canon, h))
         longer = attempt - 3
         secret = F.when(canon.rlike("^[0-9a-fA-F]+$"), F.concat(_shaped(canon, h, 6), _more(longer, h, 6))).otherwise(F.concat(_shaped(canon, h), _more(longer, h)))
         return (
@@ -199,8 +207,8 @@ _NUMBERS = ("card", "ip", "phone", "ssn")
 
 
 def _form(kind: Column, canon: Column) -> Column:
-    """What a stand-in of a number keeps besides its kind: its length, and whether it is one of eleven digits after 1."""
-    return F.when(kind == "ip", "ip").otherwise(F.concat(F.length(canon).cast("string"), F.when((kind == "phone") & canon.rlike("^1[0-9]{10}$"), "+1").otherwise("")))
+    """What a stand-in of a number keeps besides its kind: its length, and a leading 0 or, of eleven digits, 1."""
+    return F.when(kind == "ip", "ip").otherwise(F.concat(F.length(canon).cast("string"), F.when((kind == "phone") & canon.rlike("^1[0-9]{10}$"), "+1").when((kind == "phone") & canon.startswith("0"), "+0").otherwise("")))
 
 
 def _nth(kind: str, form: str, n: Column) -> tuple[Column, int]:
@@ -208,7 +216,7 @@ def _nth(kind: str, form: str, n: Column) -> tuple[Column, int]:
     if kind == "ip":
         return F.concat_ws(".", *[(F.floor(n / 254**k) % 254 + 1).cast("string") for k in (3, 2, 1, 0)]), 254**4
     length = int(form.split("+")[0])
-    head, tail = ("4", 1) if kind == "card" else ("1", 0) if "+" in form else ("", 0)
+    head, tail = ("4", 1) if kind == "card" else (form[-1], 0) if "+" in form else ("", 0)
     free = length - len(head) - tail
     body = F.concat(F.lit(head), F.lpad(n.cast("string"), free, "0"))
     if kind == "card":

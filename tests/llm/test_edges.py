@@ -274,6 +274,16 @@ def test_pii_collisions_are_resolved(spark):
     assert len(set(new)) == 900 and len({t.split()[-1] for t in out}) == 1 and not set(new) & set(real) and new[0] == out[5].split()[-1]
 
 
+def test_pii_types_come_from_the_rule_that_matched(spark):
+    numbers = ["+33 1 23 45 67 89", "020 7946 0958", "01 23 45 67 89", "030 1234567", "+49 30 123456", "+1 22 33"]
+    texts = ["api_key=4827164920174625", "token: 1234-5678-1234-5678", *[f"call {x}, or" for x in numbers], "on 01-02-2024 or 01.02.2024 10:30 at 0.123 and +1 2 3", "card 4827164920174625"]
+    out = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count_into="n").orderBy("doc_id").collect()
+    shape = lambda t: "".join("9" if c.isdigit() else c for c in t)
+    assert [r.n for r in out] == [1] * (2 + len(numbers)) + [0, 0]
+    assert all((r.text != t) == (r.n > 0) and shape(r.text) == shape(t) for r, t in zip(out, texts, strict=True))
+    assert out[3].text.startswith("call 0") and out[4].text.startswith("call 0")
+
+
 def test_pii_settles_dense_and_shapeless_values(spark):
     """Rules without a letter are no secrets; one-letter mailboxes, nearly shapeless secrets and numbers without luck all settle."""
     rules = ["Password: ____________________", "secret = --------------------"]
