@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a local session (tests) gets a folder of its own; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(spark, "_quirework_dir", None) or tempfile.mkdtemp(prefix="quirework-")
         spark._quirework_dir = path
     return path.rstrip("/")
@@ -25,7 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirework/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quirework_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that written() returned as df, once nothing reads it any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quirework_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -1,21 +1,22 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full shingle sets, union-find.
 
 1. One pass over the texts gives each document the size of its set of word shingles, a 128-bit fingerprint of that set
-   and the band keys of its SuperMinHash signature. Documents with one fingerprint are one class; only its smallest id goes on.
+   and the band keys of its SuperMinHash signature. Documents with one fingerprint are one class, under its smallest id.
 2. Classes that share a band key share a bucket. Every bucket is named by its smallest class, and buckets of one
    name are one group, which a class joins once however many bands it shares. Buckets of one class are left.
 3. The full sets of classes in groups are compared inside blocks of bounded size, by a matrix product of set
    membership. A task says which classes its union-find joined, never all pairs of a group.
 4. In groups of several blocks, classes that this joined to the group's main component need no further comparison with each
-   other. The remaining classes, in blocks, meet all other blocks of the group. Thus every pair in a bucket is
-   compared or known to be in one component.
+   other. The open ones are dealt to blocks of their own, which meet all blocks of the group. Thus every pair in a bucket is
+   compared or known to be in one component, and a group is sent once for each block of open classes, not for each of its blocks.
 5. Components of the joined classes, by joins, then hand back to every document.
 
 Two documents are linked if 100 * |intersection| >= 100 * threshold * |union|. With 128 values in bands of four, a pair at
 0.75 shares no band with a probability of 5e-6, a pair at 0.8 of 5e-8.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; repeated rows and ties are one class; the
-smallest id of a component is its name. An empty table gives no rows; columns other than the id and the text are never read.
+smallest id of a component is its name. Very long texts are worked through alone, their signature in parts. An empty table gives no rows; columns
+other than the id and the text are never read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -217,6 +218,26 @@ def _joined(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.groupBy("block").applyInPandas(run, "a long, b long")
 
 
+def _sized(member: DataFrame, by: list[str], block_rows: int, block_shingles: int, name: str = "n_blocks") -> DataFrame:
+    """The number of blocks of each group of member."""
+    groups = member.groupBy(*by).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    return groups.select(*by, F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_shingles)).cast("int").alias(name))
+
+
+def _across(large: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """Blocks of two sides for groups of several blocks: open classes, dealt anew to as few blocks as hold them, meet every block of their group.
+
+    So a group of n classes is sent once for each block of open classes it has, and its open ones once for each of its blocks.
+    """
+    opened = written(_sized(large.where("open"), ["hub"], block_rows, block_shingles, "n_open"), "opened")
+    large = large.join(opened, "hub")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block, again = F.pmod(F.xxhash64("print_a", "rep"), F.col("n_blocks")).cast("int"), F.pmod(F.xxhash64("rep", "print_a"), F.col("n_open")).cast("int")
+    left = large.where("open").select("hub", again.alias("i"), "rep", "print_a", other("n_blocks").alias("j"), F.lit(0).alias("side"))
+    right = large.select("hub", block.alias("j"), "rep", "print_a", other("n_open").alias("i"), F.lit(1).alias("side"))
+    return left.unionByName(right).select(F.struct("hub", "i", "j").alias("block"), "side", "rep", "print_a")
+
+
 def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.75, size: int = 128, rows: int = 4, block_rows: int = 192, block_shingles: int = 1_000_000, broadcast_ids: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
@@ -225,34 +246,32 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.75, si
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = written(_signed(docs, ngram, size, rows), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = written(classes, "classes")
-    band = classes.where("rep is not null").select("rep", "print_a", "n_shingles", F.explode("bands").alias("key"))
-    buckets = band.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = written(band.join(buckets, "key").select("hub", "rep", "print_a", "n_shingles").distinct(), "members")
+    classes = written(signed.where("n_shingles > 0").groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep")), "classes")
+    # All rows of bands are shuffled twice: first as minima, for which copies and hot keys combine before, then as key and fingerprint, no more.
+    band = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "print_a", F.explode("bands").alias("key"))
+    buckets = band.groupBy("key").agg(F.min("doc_id").alias("hub"), F.min("print_a").alias("first"), F.max("print_a").alias("last")).where("first <> last").select("key", "hub")
+    member = band.select("key", "print_a").join(buckets.hint("merge"), "key").select("hub", "print_a").distinct()
+    member = written(member.join(classes.where("rep IS NOT NULL").select("print_a", "rep", "n_shingles"), "print_a"), "members")
     # Grouped sides are written before they are joined: both sides of the joins then are plain shuffles, whose hot keys Spark can split.
-    groups = written(member.groupBy("hub").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")), "groups")
-    n_blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_shingles)).cast("int")
-    member = written(member.join(groups.select("hub", n_blocks.alias("n_blocks")), "hub"), "grouped")
-    # Texts are read again for classes in groups only. Up to a checked number their ids go to the texts, beyond it both are shuffled.
-    ids = written(member.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    sets = written(_sets(docs.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc_id", "left_semi"), ngram), "sets")
+    groups = written(_sized(member, ["hub"], block_rows, block_shingles), "groups")
+    member = written(member.join(groups, "hub"), "grouped")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Full sets of the documents of the ids. Up to a checked number the ids go to the texts, beyond it both are shuffled."""
+        ids = written(ids.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+        return _sets(docs.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc_id", "left_semi"), ngram)
 
-    salt = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
-    inside = member.select(F.struct("hub", salt.alias("i"), F.lit(-1).alias("j")).alias("block"), F.lit(0).alias("side"), "rep", "print_a")
-    links = written(_joined(inside.join(sets, ["rep", "print_a"]), threshold), "links")
+    block = F.pmod(F.xxhash64("print_a", "rep"), F.col("n_blocks")).cast("int")
+    inside = member.select(F.struct("hub", block.alias("i"), F.lit(-1).alias("j")).alias("block"), F.lit(0).alias("side"), "rep", "print_a")
+    links = written(_joined(inside.join(sets_of(member), ["rep", "print_a"]), threshold), "links")
 
     if not member.where("n_blocks > 1").isEmpty():
         known = components(links).select(F.col("node").alias("rep"), "component")
         large = member.where("n_blocks > 1").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         main = written(large.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "main")
-        large = written(large.join(main, "hub").select("hub", "rep", "print_a", "n_blocks", (F.col("component") == F.col("main")).alias("done"), salt.alias("i")), "large")
-        rest = large.where("not done").select("hub", "i", "n_blocks")
-        open_blocks = rest.distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        # A remaining class meets the classes of each other block, and the finished ones of its own block are already compared.
-        left = large.where("not done").join(open_blocks.select("hub", "i", "j"), ["hub", "i"]).where("i <> j").select(F.struct("hub", "i", "j").alias("block"), F.lit(0).alias("side"), "rep", "print_a")
-        right = large.withColumnRenamed("i", "j").join(open_blocks.select("hub", "i", "j"), ["hub", "j"]).where("i <> j").select(F.struct("hub", "i", "j").alias("block"), F.lit(1).alias("side"), "rep", "print_a")
-        links = links.unionByName(written(_joined(left.unionByName(right).join(sets, ["rep", "print_a"]), threshold), "links"))
+        large = written(large.join(main, "hub").select("hub", "rep", "print_a", "n_shingles", "n_blocks", (F.col("component") != F.col("main")).alias("open")), "large")
+        blocks = written(_across(large, block_rows, block_shingles), "across")
+        links = links.unionByName(written(_joined(blocks.join(sets_of(large), ["rep", "print_a"]), threshold), "links"))
 
     joined = components(links)
     named = classes.select("rep", "n_shingles", "print_a", "print_b").join(joined, F.col("rep") == F.col("node"), "left")

@@ -76,6 +76,21 @@ def test_near_duplicates_in_large_groups(spark):
     assert len({c for _, c in want.values()}) > 1
 
 
+def test_large_groups_are_sent_in_proportion(spark):
+    """Rows sent for the second comparison of one group of many blocks with a few open classes, and all pairs of an open class with another."""
+    sent = {}
+    for n in (400, 800, 1600):
+        large = spark.range(n).select(F.lit(0).cast("long").alias("hub"), F.col("id").alias("rep"), F.col("id").alias("print_a"), F.lit(10).cast("long").alias("n_shingles"), F.lit(-(-n // 16)).alias("n_blocks"), (F.col("id") % (n // 5) == 0).alias("open"))
+        rows = neardup._across(large, 16, 1000).collect()
+        sent[n] = len(rows)
+        sides = {}
+        for r in rows:
+            sides.setdefault(r.block, ({r.rep} if r.side == 0 else set(), {r.rep} if r.side else set()))[r.side].add(r.rep)
+        met = {(a, b) for left, right in sides.values() for a in left for b in right}
+        assert met == {(k * (n // 5), b) for k in range(5) for b in range(n)} and max(len(x) for pair in sides.values() for x in pair) <= 40
+    assert sent[800] <= 2.2 * sent[400] and sent[1600] <= 2.2 * sent[800]
+
+
 def test_superminhash_estimates_and_varies_less():
     rng = np.random.default_rng(1)
     errors = []
