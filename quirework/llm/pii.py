@@ -1,18 +1,21 @@
 """Personal data: detected entities receive keyed surrogates of the same type, format, script and gender.
 
-One regular expression, with an alternative for each type, finds e-mail addresses, IPv4 addresses, payment cards
-(with a valid check digit), national numbers of the form 3-2-4, telephone numbers, named secrets and titled names. An entity's canonical
-form decides its surrogate: addresses without case, digits without layout, name words one by one. So one person or number
-reads the same everywhere, and the original layout and case are laid over the surrogate.
-
-A first pass gathers the distinct canonical forms of the corpus and checks that no two share a surrogate and that no
-surrogate is itself someone's real value; the losers of a collision move to their next attempt, in a space that grows, until none is left; numbers
-that attempts leave over are ranked into unused values. The second pass
-rewrites texts in place. Attempt 0 is a pure function of key and value, so only entities that had to move are joined.
-
-Everything is made of DataFrame functions. Defined results: null and empty texts stay as they are; repeated rows are
-rewritten alike; an empty table gives no rows; texts without entities are returned unchanged; numbers of a card's length without a valid check digit
-are no cards. Columns other than the id and the text pass through.
+One regular expression, with an alternative for each type, finds e-mail addresses, IPv4 and IPv6 addresses, payment cards and
+account numbers (IBAN), both with valid check digits, national numbers of the form 3-2-4, telephone numbers, named secrets and passwords, access keys of a
+known form, and titled names. An entity's canonical form decides its surrogate: addresses without case, digits without layout, name words one by one. So one
+person or number reads the same everywhere, and the original layout and case are laid over the surrogate.
+
+The expression runs over each text once: rows are written with their entities. The distinct canonical forms of the corpus are gathered from that table, and it is
+checked that no two share a surrogate and that no surrogate is itself someone's real value; the losers of a collision move to their next attempt, in a space that
+grows, until none is left; numbers that attempts leave over are ranked into unused values. Then the written texts that hold entities
+are split once more and rewritten. Attempt 0 is a pure function of key and value, so only entities that had to move are joined.
+
+The key makes surrogates unpredictable: it comes from the caller or from quirework.pii.key in the session's configuration, and there is no default.
+
+Everything is made of DataFrame functions. Defined results: null and empty texts stay as they are; repeated rows, and equal values anywhere (ties), are
+rewritten alike; an empty table gives no rows; texts without entities are returned unchanged; numbers of a card's or account's form without valid check
+digits are none. Patterns repeat no group without bound, so very long texts need no deep stack. Columns other than the text pass through,
+whatever they are called; a column of the name count_into is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
@@ -29,15 +32,21 @@ _MALE, _FEMALE, _OPEN = "Mr|Herr|Monsieur|Señor|Sr|Signor|г-н|κ\\.", "Mrs|Ms
 _TITLE = f"(?:{_MALE}|{_FEMALE}|{_OPEN})"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-#: Alternatives in order of precedence at one place.
+_NAMED = r"token|secret|api[_-]?key|access[_-]?key|passwd|password|pwd"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: Alternatives in order of precedence at one place. What is cheap and fails at most places comes first in each.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?i:token|secret|api[_-]?key|passwd|password)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{16,}",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": rf"(?<=[:= \"'])(?:(?=[+/_-]*[A-Za-z0-9])(?=[A-Za-z0-9+/_-]{{16}})(?<=(?i:{_NAMED})[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?)[A-Za-z0-9+/_-]{{16,}}"
+    rf"|(?=[^\s\"',;]*\d)(?=[^\s\"',;]*\p{{L}})(?<=(?i:passwd|password|pwd)[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?)[^\s\"',;]{{6,}})",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ip6": rf"(?=[0-9A-Fa-f:]{{0,4}}:)(?<![\p{{L}}\d:.])(?=[A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\d:])",
+    "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "phone": r"(?<![\p{L}\d.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})|(?=\+(?:[ .-]?\d){7,15}(?![ .-]?\d))\+\d{1,3}(?:[ .-]\d{1,8}){2,6}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\+\d{9,14}|(?=0(?:[ .-]?\d){8,11}(?![ .-]?\d))(?!\d\d[ .-]\d\d[ .-]\d{4}(?!\d))0\d{1,4}(?:(?<by>[ .-])\d{2,4}(?:\k<by>\d{2,4}){1,4}|[ -]\d{6,8}))(?![\p{L}\d-])",
-    "person": rf"(?<![\p{{L}}]){_TITLE}\.? {_NAME}(?: {_NAME})?",
+    "phone": r"(?=[+(\d])(?<![\p{L}\d.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})|(?=\+(?:[ .-]?\d){7,15}(?![ .-]?\d))\+\d{1,3}(?:[ .-]\d{1,8}){2,6}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\+\d{9,14}|(?=0(?:[ .-]?\d){8,11}(?![ .-]?\d))(?!\d\d[ .-]\d\d[ .-]\d{4}(?!\d))0\d{1,4}(?:(?<by>[ .-])\d{2,4}(?:\k<by>\d{2,4}){1,4}|[ -]\d{6,8})|(?=\d{3}[ .-]\d{4})(?<=(?i:tel|phone|fax|mobile|call)[.:]? {1,2})\d{3}[ .-]\d{4})(?![\p{L}\d-])",
+    "person": rf"(?=[MHDPSFгкκ])(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: {_NAME})?",
 }
 #: Group 1 is a secret, whose form may be that of another type.
 ANY = "|".join(f"({p})" if kind == "secret" else f"(?:{p})" for kind, p in PATTERNS.items())
@@ -46,7 +55,7 @@ _GATE_TITLE = rf"(?=[MHDPSFгкκ])(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}"
 
 def may_hold(text: Column) -> Column:
     """False only for texts without any entity."""
-    return text.rlike("[0-9@]") | text.contains("=") | text.contains(":") | text.rlike(_GATE_TITLE)
+    return text.rlike("[0-9@]") | text.contains("=") | text.contains("AKIA") | text.contains("ASIA") | text.rlike(_GATE_TITLE)
 
 
 _SYLLABLES = {
@@ -63,6 +72,9 @@ def kind_of(m: Column) -> Column:
     """The type of a match of ANY, or null where it is no entity after all."""
     return (
         F.when(m.contains("@"), "email")
+        .when(m.rlike("^A[KS]IA[A-Z0-9]{16}$"), "key")
+        .when(m.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip6")
+        .when(m.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{10,}$"), F.when(_mod97(F.concat(F.substr(_bare(m), F.lit(5)), F.substr(m, F.lit(1), F.lit(4)))) == 1, "iban"))
         .when(m.rlike(rf"^{_TITLE}\.? \p{{Lu}}"), "person")
         .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
@@ -76,6 +88,18 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, r"\D", "")
 
 
+def _bare(c: Column) -> Column:
+    return F.replace(c, F.lit(" "), F.lit(""))
+
+
+def _mod97(c: Column) -> Column:
+    """The remainder by 97 of digits and capitals, the latter as numbers from 10."""
+    def step(acc: Column, ch: Column) -> Column:
+        return F.when(ch.rlike("[0-9]"), (acc * 10 + F.ascii(ch) - 48) % 97).otherwise((acc * 100 + F.ascii(ch) - 55) % 97)
+
+    return F.aggregate(F.split(c, ""), F.lit(0), step)
+
+
 def _name_parts(m: Column) -> Column:
     """(type, canonical form) of each name word of a titled name."""
     words = F.split(m, " ")
@@ -93,7 +117,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def canonical(m: Column, kind: Column) -> Column:
     """The entities of a match of a kind as (kind, canon); empty where it is none."""
-    plain = F.when(kind == "email", F.lower(m)).when(kind.isin("card", "phone", "ssn"), _digits(m)).otherwise(m)
+    plain = F.when(kind.isin("email", "ip6"), F.lower(m)).when(kind.isin("card", "phone", "ssn"), _digits(m)).when(kind == "iban", _bare(m)).otherwise(m)
     none = F.array().cast("array<struct<kind:string,canon:string>>")
     return F.when(kind.isNull(), none).when(kind == "person", _name_parts(m)).otherwise(F.array(F.struct(kind.alias("kind"), plain.alias("canon"))))
 
@@ -103,8 +127,8 @@ def entities(text: Column) -> Column:
     matches = F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
     def typed(ms: Column) -> Column:
-        # Only matches that could be numbers as well as secrets need the rule that found them.
-        secrets = F.when(F.exists(ms, lambda m: m.rlike("^[0-9+-]{13,}$")), F.regexp_extract_all(text, F.lit(ANY), F.lit(1)))
+        # A secret may have the form of another type: where one is named, each match tells whether its rule found it.
+        secrets = F.when((F.size(ms) > 0) & text.rlike(f"(?i){_NAMED}"), F.regexp_extract_all(text, F.lit(ANY), F.lit(1)))
         return _let(secrets, lambda own: F.transform(ms, lambda m, i: F.struct(m.alias("m"), F.when(F.get(own, i) != "", "secret").otherwise(kind_of(m)).alias("kind"))))
 
     kinds = _let(matches, typed)
@@ -119,11 +143,14 @@ def _number(h: Column, i: Column | int, below: int) -> Column:
 
 def _shaped(value: Column, h: Column, letters: int = 26) -> Column:
     """value with each digit and ASCII letter replaced by another of its kind; other letters become lower-case Latin."""
-    def one(ch: Column, i: Column) -> Column:
+    def one(hs: Column, ch: Column, i: Column) -> Column:
+        h = F.get(hs, F.floor(i / 31).cast("int"))
         letter = F.char(F.lit(97) + _number(h, i, letters))
         return F.when(ch.rlike("[0-9]"), _number(h, i, 10).cast("string")).when(ch.rlike("[A-Z]"), F.upper(letter)).when(ch.rlike(r"\p{L}"), letter).otherwise(ch)
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+    # A hash serves 31 places; each further stretch has its own.
+    hashes = F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 31).cast("int")), lambda b: F.when(b == 0, h).otherwise(F.sha2(F.concat(h, b.cast("string")), 512)))
+    return _let(hashes, lambda hs: F.array_join(F.transform(F.split(value, ""), lambda ch, i: one(hs, ch, i)), ""))
 
 
 def _more(n: Column, h: Column, letters: int = 26) -> Column:
@@ -145,6 +172,12 @@ def _card(canon: Column, h: Column) -> Column:
     return _let(body, lambda b: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(b, d.cast("string"))), lambda x: F.call_function("luhn_check", x))[0])
 
 
+def _account(canon: Column, h: Column) -> Column:
+    """An account number of the same country and form, with valid check digits."""
+    country = F.substr(canon, F.lit(1), F.lit(2))
+    return _let(_shaped(F.substr(canon, F.lit(5)), h), lambda body: F.concat(country, F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body))
+
+
 def _name(kind: Column, canon: Column, h: Column, attempt: Column) -> Column:
     """A name word of the script of canon, with an ending for its gender or for a surname; a syllable longer with each further attempt."""
     def word(script: str) -> Column:
@@ -161,22 +194,24 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form that stands in for (kind, canon) at an attempt."""
     def of(h: Column) -> Column:
         ip = F.concat_ws(".", *[(_number(h, i, 254) + 1).cast("string") for i in range(4)])
+        ip6 = F.concat_ws(":", F.lit("2001:db8"), *[F.lower(F.substr(h, F.lit(1 + 4 * k), F.lit(4))) for k in range(6)])  # addresses for documentation
         led = canon.rlike("^1[0-9]{10}$") | ((kind == "phone") & canon.startswith("0"))
         number = F.when(led, F.concat(F.substr(canon, F.lit(1), F.lit(1)), _shaped(F.substr(canon, F.lit(2), F.length(canon) - 1), h))).otherwise(_shaped(canon, h))
         longer = attempt - 3
         secret = F.when(canon.rlike("^[0-9a-fA-F]+$"), F.concat(_shaped(canon, h, 6), _more(longer, h, 6))).otherwise(F.concat(_shaped(canon, h), _more(longer, h)))
         return (
             F.when(kind == "email", _email(canon, h, key, attempt)).when(kind == "card", _card(canon, h)).when(kind == "ip", ip)
-            .when(kind.isin("phone", "ssn"), number).when(kind == "secret", secret).otherwise(_name(kind, canon, h, attempt))
+            .when(kind.isin("phone", "ssn"), number).when(kind == "secret", secret).when(kind == "iban", _account(canon, h)).when(kind == "ip6", ip6)
+            .when(kind == "key", F.concat(F.substr(canon, F.lit(1), F.lit(4)), _shaped(F.substr(canon, F.lit(5)), h))).otherwise(_name(kind, canon, h, attempt))
         )
 
     return _let(F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), canon), 512), of)
 
 
-def _laid(original: Column, digits: Column) -> Column:
-    """digits in the layout of original."""
-    at = lambda i: F.length(_digits(F.substr(original, F.lit(1), i + 1)))
-    return F.array_join(F.transform(F.split(original, ""), lambda ch, i: F.when(ch.rlike("[0-9]"), F.substr(digits, at(i), F.lit(1))).otherwise(ch)), "")
+def _laid(original: Column, signs: Column, of: str = "[0-9]") -> Column:
+    """signs in the layout of original, where they stand for what `of` matches."""
+    at = lambda i: F.length(F.regexp_replace(F.substr(original, F.lit(1), i + 1), f"(?!{of}).", ""))
+    return F.array_join(F.transform(F.split(original, ""), lambda ch, i: F.when(ch.rlike(of), F.substr(signs, at(i), F.lit(1))).otherwise(ch)), "")
 
 
 def _cased(original: Column, word: Column) -> Column:
@@ -196,7 +231,7 @@ def _rendered(e: Column, moves: Column | None, key: str) -> Column:
     def laid(new: Column) -> Column:
         return (
             F.when(kind == "person", F.concat_ws(" ", F.substring_index(m, " ", 1), F.array_join(F.transform(new, lambda w: F.initcap(w)), " ")))
-            .when(kind == "email", _cased(m, new[0])).when(kind.isin("card", "phone", "ssn"), _laid(m, new[0])).otherwise(new[0])
+            .when(kind == "email", _cased(m, new[0])).when(kind.isin("card", "phone", "ssn"), _laid(m, new[0])).when(kind == "iban", _laid(m, new[0], "[A-Z0-9]")).otherwise(new[0])
         )
 
     return F.when(kind.isNull(), m).otherwise(_let(F.transform(e["parts"], of), laid))
@@ -252,10 +287,15 @@ def _rest(state: DataFrame, losers: DataFrame) -> DataFrame:
     return written(reduce(DataFrame.unionByName, out), "rest")
 
 
-def moved(docs: DataFrame, key: str, most_rounds: int = 20) -> DataFrame | None:
-    """(kind, canon, stand_in) of the entities whose first surrogate collided, or None if none did. Names, addresses and secrets
+def detected(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs) and found (its entities), written: what follows reads it, and no text is searched twice."""
+    return written(docs.select(F.struct(*docs.columns).alias("row"), entities(F.col("text")).alias("found")), "detected")
+
+
+def moved(rows: DataFrame, key: str, most_rounds: int = 20) -> DataFrame | None:
+    """(kind, canon, stand_in) of the entities of rows (from detected()) whose first surrogate collided, or None if none did. Names, addresses and secrets
     get longer with their attempts until none collides; numbers, whose length is fixed, that still do after most_rounds take unused values."""
-    found = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(entities(F.col("text")), lambda e: e["parts"])))).alias("e")).select("e.*").distinct()
+    found = rows.select(F.explode(F.array_distinct(F.flatten(F.transform("found", lambda e: e["parts"])))).alias("e")).select("e.*").distinct()
     state = written(found.withColumn("attempt", F.lit(0)), "entities")
     real = state.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
     turn = 0
@@ -277,20 +317,32 @@ def moved(docs: DataFrame, key: str, most_rounds: int = 20) -> DataFrame | None:
         state = written(now.select("kind", "canon", (F.col("attempt") + F.col("loses").cast("int")).alias("attempt")), "entities")
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogates", count_into: str | None = None) -> DataFrame:
+#: Known to everyone: only for the registered queries and the pipeline where the session names no key, never for real data.
+PUBLIC_KEY = "surrogates"
+
+
+def key_of(spark: SparkSession, otherwise: str | None = None) -> str:
+    """The secret key of surrogates, from quirework.pii.key of the session's configuration."""
+    key = spark.conf.get("quirework.pii.key", None) or otherwise
+    if not key:
+        raise ValueError("surrogates need a secret key: pass one, or set quirework.pii.key")
+    return key
+
+
+def replace_entities(docs: DataFrame, key: str | None = None, count_into: str | None = None) -> DataFrame:
     """docs with surrogates in text; count_into names a column for the number of entities replaced."""
-    exceptions = moved(docs, key)
-    text, found = F.col("text"), F.col("__pii_found")
-    inner = docs.withColumn("__pii_found", entities(text))
-    moves = None
+    key = key or key_of(docs.sparkSession)
+    rows = detected(docs)
+    exceptions = moved(rows, key)
+    text, found, moves = F.col("row.text"), F.col("found"), None
     if exceptions is not None:
-        hit = inner.select("doc_id", F.explode(F.flatten(F.transform(found, lambda e: e["parts"]))).alias("e")).select("doc_id", "e.*").distinct()
-        by_doc = hit.join(exceptions, ["kind", "canon"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "stand_in"))).alias("__pii_moves"))
-        inner = inner.alias("d").join(by_doc.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left").select("d.*", "x.__pii_moves")
-        moves = F.col("__pii_moves")
+        hit = rows.select(F.col("row.doc_id").alias("doc_id"), F.explode(F.flatten(F.transform(found, lambda e: e["parts"]))).alias("e")).select("doc_id", "e.*").distinct()
+        by_doc = hit.join(exceptions, ["kind", "canon"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "stand_in"))).alias("moves"))
+        rows = rows.join(by_doc, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+        moves = F.col("moves")
     stand_ins = F.concat(F.transform(found, lambda e: _rendered(e, moves, key)), F.array(F.lit("")))
     parts = F.zip_with(F.split(text, ANY, -1), stand_ins, lambda s, m: F.concat(s, m))
+    new = F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)
+    columns = [new.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != count_into]
     count = F.coalesce(F.size(F.filter(found, lambda e: e["kind"].isNotNull())), F.lit(0))
-    out = inner.select("*", F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text).alias("__pii_text"), count.alias("__pii_count"))
-    columns = [F.col("__pii_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*columns, *([F.col("__pii_count").alias(count_into)] if count_into else []))
+    return rows.select(*columns, *([count.alias(count_into)] if count_into else []))

@@ -36,7 +36,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents"), count_into="n_entities").select("doc_id", "text", "n_entities")
+    key = pii.key_of(spark, pii.PUBLIC_KEY)
+    return pii.replace_entities(table(spark, sf_dir, "documents"), key, "n_entities").select("doc_id", "text", "n_entities")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

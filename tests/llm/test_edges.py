@@ -15,6 +15,13 @@ def prose(seed, n):
     return " ".join(np.random.default_rng(seed).choice(WORDS, n))
 
 
+@pytest.fixture(scope="module", autouse=True)
+def key(spark):
+    spark.conf.set("quirework.pii.key", "surrogates")
+    yield
+    spark.conf.unset("quirework.pii.key")
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     long = prose(0, 40_000)
@@ -314,7 +321,7 @@ def test_pii_settles_dense_and_shapeless_values(spark):
         forced = pii.surrogate
         try:
             pii.surrogate = lambda k, canon, attempt, key: F.lit("1" * 9)  # noqa: B023  no attempt helps: all but one are ranked
-            got = pii.moved(df, "k", most_rounds=1).collect()
+            got = pii.moved(pii.detected(df), "k", most_rounds=1).collect()
         finally:
             pii.surrogate = forced
         canon = {"".join(c for c in x if c.isdigit()) if kind != "ip" else x for x in real}
@@ -339,3 +346,67 @@ def test_pipeline_stages_on_odd_rows(odd, none, spark, tmp_path):
             assert "_score" not in columns or rows.where("_score <> 'mine' OR _found <> 'mine' OR _text <> 'mine' OR hash <> 'mine'").isEmpty()
         ids = {r.doc_id for r in rows.collect()}
         assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).collect()} == ids
+
+
+def test_pii_key_is_required(spark, odd):
+    spark.conf.unset("quirework.pii.key")
+    try:
+        with pytest.raises(ValueError):
+            pii.replace_entities(odd)
+    finally:
+        spark.conf.set("quirework.pii.key", "surrogates")
+
+
+def test_pii_against_plain_checks(spark):
+    """Every type in many contexts, repeated across documents and in a very long text: found, replaced by another of its type, script
+    and form, one to one over the corpus; what is no entity stays."""
+    import re
+    from hashlib import sha256
+
+    rng = np.random.default_rng(11)
+    def account(country, body):
+        number = "".join(str(int(c, 36)) for c in body + country + "00")
+        return f"{country}{98 - int(number) % 97:02d}{body}"
+    def card():
+        body = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        return next(body + str(d) for d in range(10) if brute.luhn(body + str(d)))
+    ok_iban = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    digit = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    values = {
+        "email": [f"Ann{i}.o{digit(2)}@Host{i % 4}.example.org" for i in range(12)], "ip": [f"10.{i}.{i + 7}.9" for i in range(12)],
+        "ip6": [f"fe80::{i + 1:x}:2a" for i in range(6)] + [f"2001:0DB8:85a3:0:0:8a2e:370:{7000 + i}" for i in range(6)],
+        "card": [card() for _ in range(12)], "ssn": [f"{100 + i}-45-{digit(4)}" for i in range(12)], "iban": [account("DE", digit(18)) for _ in range(12)],
+        "phone": [f"+1 ({200 + i}) 555-{digit(4)}" for i in range(6)] + [f"+49 30 {digit(6)}" for _ in range(6)], "key": ["AKIA" + sha256(bytes([i])).hexdigest()[:16].upper() for i in range(12)],
+        "secret": [sha256(bytes([i])).hexdigest() for i in range(11)] + ["hunter2hunter2"],
+        "male": [f"Mr. Karl{chr(97 + i)} Weber{chr(97 + i)}" for i in range(6)] + [f"г-н Иван{'абвгде'[i]} Петров{'абвгде'[i]}" for i in range(6)],
+    }
+    lead = {"secret": "password: "}
+    docs = [(i, kind, v, f"x {lead.get(kind, '')}{v} y, again {lead.get(kind, '')}{v} z") for i, (kind, v) in enumerate((k, v) for k, vs in values.items() for v in vs)]
+    docs += [(10_000 + i, kind, v, f"elsewhere {lead.get(kind, '')}{v}!" if kind != "male" else f"elsewhere {v}, too") for i, kind, v, _ in docs[::3]]
+    long = prose(4, 60_000) + " " + " ".join(f"{lead.get(kind, '')}{vs[0]} and" for kind, vs in values.items())
+    plain = ["version 1.2.3.4.5 at 10:20:30 on 2024-01-02", "ns::f2 std::x 4111111111111112", "DE00123456789012345678", "password: required", "tel 5551234 or room 555-1234", "Mr. and Mrs.", "a@b", "AKIAXX"]
+    rows = [(i, t) for i, _, _, t in docs] + [(-1, long)] + [(-2 - i, t) for i, t in enumerate(plain)]
+    got = {r.doc_id: (r.text, r.n) for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), count_into="n").collect()}
+    assert [got[-2 - i] for i in range(len(plain))] == [(t, 0) for t in plain]
+    shape = lambda t: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", t)))
+    to = {}
+    for i, kind, v, text in docs:
+        new, n = got[i]
+        assert v not in new and n == (2 if i < 10_000 else 1), text
+        around = re.fullmatch(re.escape(text).replace(re.escape(v), "(.+)", 1).replace(re.escape(v), r"\1"), new)
+        assert around, (text, new)
+        assert to.setdefault(v, around[1]) == around[1]  # the same everywhere
+    assert len(set(to.values())) == len(to) and not set(to.values()) & set(to)
+    for kind, vs in values.items():
+        for v in vs:
+            new = to[v]
+            if kind in ("ip", "male", "ip6"):
+                same = {"ip": lambda: re.fullmatch(r"(?:\d{1,3}\.){3}\d{1,3}", new), "ip6": lambda: re.fullmatch(r"(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", new), "male": lambda: new.split()[0] == v.split()[0] and len(new.split()) == 3 and ("а" <= new.split()[1][0].lower() <= "я") == ("а" <= v.split()[1][0].lower() <= "я")}[kind]()
+                assert same, (v, new)
+            elif kind == "secret" and re.fullmatch("[0-9a-f]+", v):
+                assert re.fullmatch("[0-9a-f]+", new) and len(new) == len(v)
+            else:
+                assert shape(new) == shape(v), (v, new)
+            assert kind != "card" or brute.luhn(new)
+            assert kind != "iban" or ok_iban(new)
+    assert all(vs[0] not in got[-1][0] and to[vs[0]] in got[-1][0] for vs in values.values()) and got[-1][1] == len(values)
