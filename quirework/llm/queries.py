@@ -19,10 +19,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    files = sorted(docs.inputFiles())  # arrivals are the table's files, four at a time at most
-    arrivals = [spark.read.schema(docs.schema).parquet(*files[k::4]) for k in range(min(4, len(files)))]
-    return shards.sharded(arrivals or [docs], target=64 << 20)
+    return shards.sharded(table(spark, sf_dir, "documents"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

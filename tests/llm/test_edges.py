@@ -216,7 +216,40 @@ def test_shards(odd, none, tmp_path, spark):
     assert not store._commit(stale, ())  # another writer was first
     with pytest.raises(RuntimeError):
         store.commit([], {"shards/gone"})
-    assert shards.sharded([none]).count() == 0 and shards.sharded([odd, none, odd]).count() == 28
+    assert shards.sharded(none).count() == 0
+    root = str(tmp_path / "t")
+    rows = shards.sharded(odd.coalesce(1), arrivals=8, root=root).collect()  # one file, yet several arrivals
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in odd.collect())
+    even = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 9).alias("text")).coalesce(1)
+    merged = shards.sharded(even).collect()
+    assert len(merged) == 4000 and {(r.level, r.shard_rows, r.version) for r in merged} == {(1, 4000, 9)}
+    back = shards.Store(spark, root).read()
+    assert back.columns == odd.columns and sorted(back.collect(), key=str) == sorted(odd.collect(), key=str)
+
+
+def test_shards_of_many_writers(tmp_path, spark):
+    """Commits at the same time all take place, one after another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "w")
+    add = lambda k: shards.Store(spark, root).commit([shards.Shard(f"shards/{k}", k, 1, 0)], most_tries=100)
+    with ThreadPoolExecutor(4) as pool:
+        numbers = sorted(v.number for v in pool.map(add, range(12)))
+    assert numbers == list(range(1, 13)) and {s.bytes for s in shards.Store(spark, root).latest().shards} == set(range(12))
+
+
+def test_tiers_are_merged_as_a_plain_plan_says():
+    """The plan against trying every shard: runs are all shards below half a target in one power of the ratio, if there are enough of them."""
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        some = tuple(shards.Shard(f"s{k}", int(b), 1, 0) for k, b in enumerate(10 ** rng.uniform(1, 7, rng.integers(0, 30))))
+        runs = shards.plan(some, 1 << 20, 4.0, 4)
+        assert len({s.path for r in runs for s in r}) == sum(map(len, runs))
+        in_runs = {s.path for r in runs for s in r}
+        for s in some:
+            peers = [x for x in some if x.bytes < (1 << 19) and int(np.log(x.bytes) / np.log(4) + 1e-9) == int(np.log(s.bytes) / np.log(4) + 1e-9)]
+            due = s.bytes < (1 << 19) and (len(peers) >= 4 or (len(peers) > 1 and sum(x.bytes for x in peers) >= 1 << 19))
+            assert (s.path in in_runs) == due
 
 
 def test_packing(odd, none):

@@ -55,7 +55,7 @@ def test_decontamination(spark, sf_dir, docs):
 
 def test_sharding_keeps_all_rows(spark, sf_dir, docs):
     rows = queries.op7_sharding(spark, sf_dir).collect()
-    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    assert sorted(r.doc_id for r in rows) == sorted(docs) and all(r.level >= 1 and r.version > 8 for r in rows) and len({r.shard for r in rows}) < 8
     for shard in {r.shard for r in rows}:
         assert {r.shard_rows for r in rows if r.shard == shard} == {sum(r.shard == shard for r in rows)}
 
