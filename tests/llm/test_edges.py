@@ -127,10 +127,11 @@ def test_embeddings(spark):
     rng = np.random.default_rng(3)
     rows = [(i, list(map(float, rng.standard_normal(16))), int(i % 3)) for i in range(300)]
     near = [(1000 + i, [v + 0.02 * float(e) for v, e in zip(rows[i % 20][1], rng.standard_normal(16), strict=True)], rows[i % 20][2]) for i in range(400)]
-    odd = [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, [None] * 16, 1), (2004, rows[0][1], None), (2005, rows[0][1], 0), (2005, rows[0][1], 0), (2006, [], 1), (2007, rows[0][1][:8], 0), (2008, [float("inf")] + [1.0] * 15, 0), (2009, [1e-320] * 16, 2)]
+    odd = [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, [None] * 16, 1), (2004, rows[0][1], None), (2005, rows[0][1], 0), (2005, rows[0][1], 0), (2006, [], 1), (2007, rows[0][1][:8], 0), (2008, [float("inf")] + [1.0] * 15, 0), (2009, [1e-320] * 16, 2), (2010, [float(v) for v in rng.standard_normal(16)], 0), (2010, [float(v) for v in rng.standard_normal(16)], 0)]
     every = rows + near + odd
     vectors = spark.createDataFrame([(i, e, lab, "x", 1.0) for i, e, lab in every], "vec_id long, embedding array<double>, label int, unit string, proj double")
     got = embdedup.near_duplicates(vectors, leaf_size=24).collect()
+    assert sorted(embdedup.near_duplicates(vectors, leaf_size=8, sample_rows=40).collect()) == sorted(got)  # a small sample: leaves are split further
     usable = [(i, np.array(e), lab) for i, e, lab in every if e and lab is not None and None not in e and np.isfinite(e).all() and np.any(e)]
     links = [(k, m) for k, (_, x, a) in enumerate(usable) for m, (_, y, b) in enumerate(usable[:k]) if a == b and len(x) == len(y) and (x / np.abs(x).max()) @ (y / np.abs(y).max()) >= 0.93 * np.linalg.norm(x / np.abs(x).max()) * np.linalg.norm(y / np.abs(y).max())]
     number = np.zeros(len(usable), int)
@@ -138,7 +139,7 @@ def test_embeddings(spark):
         number[k] += 1
         number[m] += 1
     top = brute.components({i for i, _, _ in every}, [(usable[k][0], usable[m][0]) for k, m in links])
-    want = sorted([(u[0], int(n), top[u[0]]) for u, n in zip(usable, number, strict=True)] + [(i, 0, i) for i, _, _ in odd[:5] + odd[7:8] + odd[9:10]])
+    want = sorted([(u[0], int(n), top[u[0]]) for u, n in zip(usable, number, strict=True)] + [(i, 0, i) for i, _, _ in odd[:5] + odd[7:8] + odd[9:10]])  # a repeated id with other components is a vector of its own
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
     assert embdedup.near_duplicates(vectors.limit(0)).count() == 0
 
