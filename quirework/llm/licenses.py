@@ -1,14 +1,15 @@
 r"""License scans by ordered signature rules.
 
 Text becomes a line of lower-case words (runs of digits, a-z and characters beyond ASCII) between single blanks. A rule is a
-regular expression over such a line with a label, a priority and a keyword; names of licenses in four kinds of context (an SPDX line,
-a grant, a reference to terms, a bare mention) give the rules. A text goes on only if a cheap expression finds what every
-name needs, and a rule is tried only where its own keyword stands; no match of a rule fails either. Detections contained in a longer one, or in an equal one of higher
+regular expression over such a line with a label, a priority and a keyword. Sentences of notices, grants, exceptions and choices of licenses are rules by
+themselves; names of licenses in four kinds of context (an SPDX line, a grant, a reference to terms, a bare mention) give the others. A text goes on only if a cheap
+expression finds what every name needs or a notice's keyword, and a rule is tried only where its own keyword stands; no match of a rule fails either. Detections contained in a longer one, or in an equal one of higher
 priority, are suppressed; of partial overlaps the detection of lower priority goes.
 
 Besides, three base phrases are counted wherever their words stand consecutively; their labels are always reported.
 Everything is made of DataFrame functions. Defined results: a null text counts as empty; texts without words have 0 words,
-null places, empty label strings and score 0; repeated rows give repeated rows; an empty table gives no rows.
+null places, empty label strings and score 0; of ties in place and priority the rule that comes first stands; repeated rows give repeated rows; an empty table gives no
+rows; very long texts are scanned whole, by patterns that repeat no group without bound. scan() puts what it finds into a column of the caller's naming.
 """
 
 from __future__ import annotations
@@ -110,6 +111,64 @@ openrail | open ?rail | (?:the )?(?:creativeml |bigscience )?open ?rail(?: m)?(?
 all-rights-reserved | reserved | all rights reserved | all rights reserved
 proprietary | proprietary | (?:proprietary and confidential|proprietary licen[sc]e) | licenseref proprietary
 """
+#: Sentences of notices, grants, exceptions and choices of licenses: label | keyword | pattern. A keyword opens both gates.
+NOTICES = r"""
+mit | permission is hereby granted | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit | deal in the software | to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense
+boost-1 | permission is hereby granted | permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation
+isc | permission to use | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted
+bsd-0 | permission to use | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is granted
+hpnd | permission to use | permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose
+bsd | redistribution and use | redistribution and use in source and binary forms with or without modification(?: are| is) permitted
+bsd-3 | neither the name | neither the name(?: [^ ]+){0,12} nor the names of(?: [^ ]+){1,4} contributors may be used to endorse or promote products
+bsd-4 | advertising materials mentioning | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+bsd-2 | this list of conditions | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+apache-2 | you may not use this file | you may not use this file except in compliance with the licen[sc]e
+apache-2 | unless required by applicable law | unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis
+apache-1.1 | this product includes software | this product includes software developed by the apache (?:software foundation|group)
+gnu-notice | free software | this (?:program|library|file|package|software) is free software you can redistribute it and or modify it
+gnu-notice | hope that it will be useful | (?:is )?distributed in the hope that it will be useful but without any warranty
+gnu-notice | you should have received | you should have received a copy of the gnu (?:lesser |affero |library )?general public licen[sc]e along with this
+agpl-3 | interacting with it remotely | all users interacting with it remotely through a computer network
+gfdl | permission is granted to copy | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e
+mpl-2 | this source code form | this source code form is subject to the terms of the mozilla public licen[sc]e
+mpl-1.1 | contents of this file | the contents of this file are subject to the mozilla public licen[sc]e version 1 1
+cddl-1 | contents of this file | the contents of this file are subject to the terms of the common development and distribution licen[sc]e
+epl | accompanying materials | this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e
+unlicense | unencumbered software | this is free and unencumbered software released into the public domain
+public-domain | dedicated to the public | (?:is |are )?(?:hereby )?dedicated to the public domain
+public-domain | disclaims copyright | the author(?:s)? disclaims? copyright to this source code
+zlib | altered source versions | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+zlib | origin of this software | the origin of this software must not be misrepresented
+cc0-1 | waived all copyright | waived all copyright and related or neighbou?ring rights
+wtfpl | you just do what the | you just do what the f[a-z]* you want to
+beerware | beer ?ware | (?:the )?beer ?ware licen[sc]e
+ofl-1.1 | this font software | this font software is licen[sc]ed under the sil open font licen[sc]e
+python-2 | licensee agrees | by copying installing or otherwise using python licensee agrees to be bound
+postgresql | university of california | in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages
+ncsa | university of illinois | neither the names of(?: [^ ]+){0,8} university of illinois(?: [^ ]+){0,8} nor the names of its contributors
+w3c | this work is being provided | this work is being provided by the copyright holders under the following licen[sc]e
+warranty-disclaimer | without warranty | (?:the |this )?software is provided as is without warranty of any kind express or implied
+warranty-disclaimer | express or implied warrant | as is and any express or implied warranties(?: including but not limited to)?
+classpath-exception-2 | classpath exception | (?:with (?:the )?)?(?:gnu )?classpath exception(?: 2 0)?
+gcc-exception-3.1 | runtime library exception | (?:with (?:the )?)?gcc runtime library exception(?: version)?(?: 3 1)?
+linking-exception | as a special exception | as a special exception the copyright holders of this library give you permission to link this library
+autoconf-exception | autoconf exception | (?:with (?:the )?)?autoconf exception(?: [23] 0)?
+bison-exception-2.2 | bison exception | (?:with (?:the )?)?bison exception(?: 2 2)?
+font-exception-2 | font exception | (?:with (?:the )?)?font exception(?: 2 0)?
+llvm-exception | llvm exception | (?:with (?:the )?)?llvm exceptions?
+mit-or-apache-2 | either of | under either of(?: the)? (?:apache licen[sc]e version 2 0|mit licen[sc]e) or(?: the)? (?:mit licen[sc]e|apache licen[sc]e version 2 0) at your option
+mit-or-apache-2 | mit or apache | mit or apache 2 0
+mit-or-apache-2 | apache 2 0 or mit | apache 2 0 or mit
+mit-or-gpl | dual licen[sc]ed | dual licen[sc]ed under(?: the)? mit (?:and|or) gpl(?: v?[23])?(?: licen[sc]es?)?
+proprietary | unauthori[sz]ed copying | unauthori[sz]ed copying of this (?:file|software|document) via any medium is strictly prohibited
+proprietary | trade secrets? of | contains(?: confidential information and)? trade secrets? of
+non-commercial | non ?commercial use | (?:for )?non ?commercial use only
+non-commercial | commercial use is | commercial use is (?:strictly )?(?:prohibited|forbidden|not (?:allowed|permitted))
+no-redistribution | redistribution is | redistribution is (?:strictly )?(?:prohibited|forbidden|not (?:allowed|permitted))
+internal-use | internal use only | (?:for )?internal use only
+"""
+NOTICE_PRIORITY, NOTICE_SURE = 5, 0.98
 #: priority, confidence, pattern around the name or identifier.
 CONTEXTS = (
     (4, 1.0, "spdx licen[sc]e identifier {id}"),
@@ -118,17 +177,24 @@ CONTEXTS = (
     (1, 0.6, "{name}"),
 )
 _GAP = "[^0-9A-Za-z]+"
-#: What a text must hold to go on: something of every name and identifier. Most places fail at their first letter; abbreviations
+
+
+def _notices() -> list[list[str]]:
+    return [[x.strip() for x in line.split(" | ", 2)] for line in NOTICES.strip().splitlines()]
+
+
+#: What a text must hold to go on: something of every name and identifier, or a notice's keyword. Most places fail at their first letter; abbreviations
 #: stand as words, or before a version.
 STEM = (
     rf"(?i)(?=[lscgprowmbeau])(?:licen[sc]|spdx|cc{_GAP}by|cc0|gpl|public{_GAP}domain|rights{_GAP}reserved|creative{_GAP}commons|open(?:{_GAP})?rail|proprietary|odbl|pddl|wtfpl|ms{_GAP}[pr]l|bsd{_GAP}3"
     rf"|(?<![0-9A-Za-z])(?:(?:[me]pl|eupl|cddl|[oa]fl|osl|ecl|upl|sspl|busl)(?![a-uw-z])|mulan{_GAP}psl|odc{_GAP}by))"
-)
+    + "|(?<![0-9A-Za-z])(?:" + "|".join(k.replace(" ?", f"(?:{_GAP})?").replace(" ", _GAP) for k in dict.fromkeys(k for _, k, _ in _notices())) + ")"
+)
 
 
 def rules() -> list[tuple[str, int, float, str, str]]:
     """(label, priority, confidence, keyword expression, pattern) in order of precedence."""
-    out = []
+    out = [(label, NOTICE_PRIORITY, NOTICE_SURE, f" (?:{keyword})", f" (?:{pattern})(?= )") for label, keyword, pattern in _notices()]
     for line in NAMES.strip().splitlines():
         label, keyword, name, spdx = _fields(line)
         out += [(label, priority, sure, f" (?:{keyword})", f" (?:{context.format(name=name, id=spdx)})(?= )") for priority, sure, context in CONTEXTS]
@@ -184,16 +250,17 @@ def unsuppressed(found: Column) -> Column:
     return F.aggregate(F.array_sort(found), F.array().cast(kind), step)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with n_words, the line of texts that go on (else null), base places and the detections that stand."""
+def scan(docs: DataFrame, into: str = "licenses") -> DataFrame:
+    """docs with a column (it replaces one of that name): n_words, the line of texts that go on (else null) and the detections that stand."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("n_words", F.size(F.array_remove(F.split(text, _RAW_GAP), "")).cast("long")).withColumn("_line", F.when(text.rlike(STEM), line_of(text)))
-    return out.withColumn("_found", F.when(F.col("_line").isNotNull(), unsuppressed(detections(F.col("_line")))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.size(F.array_remove(F.split(text, _RAW_GAP), "")).cast("long").alias("n_words"), F.when(text.rlike(STEM), line_of(text)).alias("line"))
+    found = F.when(F.col("line").isNotNull(), unsuppressed(detections(F.col("line"))))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != into], F.struct("n_words", "line", found.alias("found")).alias(into))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row of docs."""
-    out = scan(docs.select("doc_id", "text"))
+    out = scan(docs.select("doc_id", "text")).select("doc_id", F.col("licenses.n_words").alias("n_words"), F.col("licenses.line").alias("_line"), F.col("licenses.found").alias("_found"))
     line = F.col("_line")
     count, first, last, names = [], [], [], []
     for phrase, label in BASE.items():

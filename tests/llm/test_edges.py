@@ -167,6 +167,33 @@ def test_licenses_named_by_few_words(spark):
     assert got == list(texts.values())
 
 
+def test_licenses_against_plain_rules(spark):
+    """A text for each rule, and texts of several: labels are those of all rules tried everywhere without any gate, suppressed by plain loops."""
+    import re
+    from re import _parser
+
+    from llm.test_properties import spelled
+
+    rules = [(label, order, sure, re.compile(pattern)) for label, order, sure, _, pattern in licenses.rules()]
+    texts = [spelled(_parser.parse(pattern.removesuffix("(?= )")))[-1].strip() for *_, pattern in licenses.rules()]
+    assert len(texts) > 380
+    rng = np.random.default_rng(8)
+    texts = [f"see, {t.upper() if k % 3 == 0 else t}." for k, t in enumerate(texts)] + [". ".join(rng.choice(texts, 3)) for _ in range(20)] + [" ".join(rng.choice(texts, 2)) for _ in range(20)]
+    texts += [prose(7, 30_000) + " mit or apache-2.0 " + prose(8, 30_000) + " GNU GPL v3"]
+    for row in licenses.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        line = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(texts[row.doc_id]))) + " "
+        found = sorted((m.start(), -m.end(), -order, k, label, sure) for k, (label, order, sure, p) in enumerate(rules) for m in p.finditer(line))
+        stand = []
+        for d in found:
+            if not stand or d[0] >= -stand[-1][1]:
+                stand.append(d)
+            elif d[1] < stand[-1][1] and d[2] < stand[-1][2]:
+                stand[-1] = d
+        _, _, _, _, base = brute.license_words(texts[row.doc_id], licenses.BASE)
+        assert row.labels == ",".join(sorted({d[4] for d in stand} | set(filter(None, base.split(","))))), texts[row.doc_id]
+        assert row.score == max([d[5] for d in stand] + [0.9] * bool(base), default=0) and (row.doc_id >= len(rules) or row.labels)
+
+
 def test_decontamination(odd, none, spark):
     passage = prose(20, 30)
     swapped = passage.split()

@@ -82,6 +82,8 @@ def spelled(tree):
             more = [chr(arg)]
         elif name == "IN":
             more = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        elif name == "NOT_LITERAL":
+            more = ["x"]
         elif name == "BRANCH":
             more = [s for part in arg[1] for s in spelled(part)]
         elif name == "SUBPATTERN":
@@ -109,3 +111,17 @@ def test_no_license_rule_is_lost_at_a_gate():
             for raw in (text, text.upper().replace(" ", "-"), f"é {text}."):
                 assert stem.search("SPDX-License-Identifier: " + raw if spdx_line else raw), (label, raw)
     assert n > 1000
+
+
+def test_no_notice_is_lost_at_a_gate():
+    """Every spelling of every notice, with other gaps and capitals, passes its keyword and the first gate."""
+    import re
+    from re import _parser
+
+    stem, n = re.compile(licenses.STEM), 0
+    for label, keyword, pattern in licenses._notices():
+        for text in spelled(_parser.parse(pattern)):
+            n += 1
+            assert re.search(f" (?:{keyword})", f" {text} "), (label, text)
+            assert stem.search(text.upper().replace(" ", "  - ")) and stem.search(f"({text})"), (label, text)
+    assert n > 100
