@@ -137,7 +137,7 @@ cddl-1 | contents of this file | the contents of this file are subject to the te
 epl | accompanying materials | this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e
 unlicense | unencumbered software | this is free and unencumbered software released into the public domain
 public-domain | dedicated to the public | (?:is |are )?(?:hereby )?dedicated to the public domain
-public-domain | disclaims copyright | the author(?:s)? disclaims? copyright to this source code
+public-domain | disclaims? copyright | the author(?:s)? disclaims? copyright to this source code
 zlib | altered source versions | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
 zlib | origin of this software | the origin of this software must not be misrepresented
 cc0-1 | waived all copyright | waived all copyright and related or neighbou?ring rights
