@@ -1,5 +1,7 @@
 """Text of pages and what is found in it, as native columns."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,17 @@ MARKUP = r"(?is)(?:<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</
 _NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value worked out once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def decode_entities(html: Column) -> Column:
     """Common named references and decimal ones; &amp; comes last, so nothing is decoded twice."""
+    return _once(html, _decoded)
+
+
+def _decoded(html: Column) -> Column:
     codes = F.regexp_extract_all(html, F.lit(r"&#(\d{1,6});"), F.lit(1))
     letters = F.transform(codes, lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32"))
     parts = F.zip_with(F.split(html, r"&#\d{1,6};", -1), F.concat(letters, F.array(F.lit(""))), lambda s, c: F.concat(s, c))
@@ -31,7 +42,9 @@ def clean_text(html: Column) -> Column:
 
 def emails(text: Column) -> Column:
     """Distinct addresses in code-point order. (?U): letters and digits of any script bound a word."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + rules.EMAIL), F.lit(0))))
+    found = F.regexp_extract_all(text, F.lit("(?U)" + rules.EMAIL), F.lit(0))
+    none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.when(text.contains("@"), F.array_sort(F.array_distinct(found))).otherwise(none)
 
 
 def phones(text: Column) -> Column:

@@ -41,10 +41,6 @@ def batch_status(total: Column, ok: Column) -> Column:
     return F.when(ok == total, "completed").when(ok > 0, "partial").otherwise("failed")
 
 
-def union_of(arrays: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(arrays))))
-
-
 def batches(pages: DataFrame) -> DataFrame:
     """Roll-up of each batch: counts, status, distinct leads of its successful pages, total duration.
 

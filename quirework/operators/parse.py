@@ -1,12 +1,14 @@
 """The one pass over pages that needs a document tree: main text, meta map, links, forms and calls to action.
 
-Everything else about a page is a native column. A page is walked once, in Arrow batches; a walk keeps the open
-elements only. Defined results: a null page counts as empty; malformed markup is read as far as it goes and never fails.
+Everything else about a page is a native column. A page is walked once, in Arrow batches of at most `rules.PAGES_AT_ONCE` pages; a walk keeps the open
+elements only, and a link or button gathers no more text than a call to action may have, so unclosed elements cost no more than closed ones.
+Defined results: a null page counts as empty; malformed markup is read as far as it goes and never fails.
 Block elements end a line of main text, as layout would; what layout hides is not known.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -28,7 +30,10 @@ class Walk(HTMLParser):
     def __init__(self, base: str) -> None:
         super().__init__(convert_charrefs=True)
         self.base = base
-        self.open: list[tuple[str, list[str] | None, str | None]] = []  # tag, texts it gathers, place among CONTENT_ORDER
+        self.open: list[tuple[str, int | None, str | None]] = []  # tag, number of what it gathers, place among CONTENT_ORDER
+        self.times: Counter[str] = Counter()  # open elements of each tag
+        self.gathering: dict[int, list[str]] = {}
+        self.places: list[str] = []  # open places
         self.hidden = 0  # open elements that are pruned
         self.content: dict[str, list[str]] = {}
         self.meta: dict[str, str] = {}
@@ -37,6 +42,7 @@ class Walk(HTMLParser):
         self.form_depth = 0
         self.actions: list[tuple[list[str], str]] = []
         self.label: list[str] | None = None
+        self.label_open: int | None = None
 
     def _pruned(self, tag: str, classes: list[str]) -> bool:
         return tag in rules.PRUNED_TAGS or any(c in rules.PRUNED_CLASSES for c in classes)
@@ -69,19 +75,21 @@ class Walk(HTMLParser):
                 self.forms[-1].append(name.lower())
         if tag in _VOID:
             return
-        gathers: list[str] | None = None
+        gathers: int | None = None
         if tag in ("a", "button"):
-            gathers = []
-            self.actions.append((gathers, " ".join(classes)))
+            gathers = len(self.actions)
+            self.actions.append((self.gathering.setdefault(gathers, []), " ".join(classes)))
         if tag == "label":
-            gathers = self.label = []
+            self.label, self.label_open = [], len(self.open)
         place = None
         if not self.hidden and not pruned:
             names = [tag, "#" + attr.get("id", ""), *("." + c for c in classes)]
             place = next((p for p in rules.CONTENT_ORDER if p in names and p not in self.content), None)
             if place:
                 self.content[place] = []
+                self.places.append(place)
         self.hidden += pruned
+        self.times[tag] += 1
         self.open.append((tag, gathers, place if not pruned else "-"))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -90,10 +98,16 @@ class Walk(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK:
             self._text("\n")
-        if not any(t == tag for t, _, _ in self.open):
+        if not self.times[tag]:
             return
         while self.open:
-            t, _, place = self.open.pop()
+            t, gathers, place = self.open.pop()
+            self.times[t] -= 1
+            self.gathering.pop(gathers, None)
+            if place and place != "-":
+                self.places.remove(place)
+            if self.label_open == len(self.open):
+                self.label_open = None
             self.hidden -= place == "-"
             self.form_depth -= t == "form"
             if t == tag:
@@ -103,16 +117,19 @@ class Walk(HTMLParser):
         if self.hidden:
             return
         self.content.setdefault("", []).append(data)
-        for _, _, place in self.open:
-            if place and place != "-":
-                self.content[place].append(data)
+        for place in self.places:
+            self.content[place].append(data)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] in ("script", "style"):
             return
-        for _, gathers, _ in self.open:
-            if gathers is not None:
-                gathers.append(data)
+        for k, texts in list(self.gathering.items()):
+            texts.append(data)
+            if sum(map(len, texts)) > rules.LONGEST_ACTION:  # no call to action any more
+                texts.clear()
+                del self.gathering[k]
+        if self.label_open is not None:
+            self.label.append(data)
         self._text(data)
 
     def main_text(self) -> str:
@@ -151,6 +168,9 @@ def parsed(pages: DataFrame, html: str = "html", url: str = "final_url") -> Data
         for htmls, urls in parts:
             yield pa.array([walked(h, u) for h, u in zip(htmls.to_pylist(), urls.to_pylist(), strict=True)], arrow)
 
+    conf = pages.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rules.PAGES_AT_ONCE))
     return pages.withColumn("_walk", walk(F.col(html), F.col(url))).select(*pages.columns, "_walk.*")
 
 

@@ -9,10 +9,12 @@ from .. import rules
 from ..functions import signals, text, urls
 from ..operators.insights import insights
 from ..operators.parse import calls_to_action, parsed
+from ..settings import settings
 from ..sources.pages import snapshots
 from .tables import table
 
-YEAR = 2026
+YEAR = 2026  # the default of quirework.as_of_year
+HREF = r'(?i)<a\b[^>]*\bhref\s*=\s*"([^"]*)"'
 
 #: Hand-written links, requests and pages: the tables hold no absolute links, forms or buttons.
 LINKS = (
@@ -75,7 +77,7 @@ def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         "page_id", urls.domain(F.col("final_url")).alias("domain"), text.title(html).alias("title"), F.length("clean").cast("long").alias("text_len"),
         _joined(text.emails(F.col("clean"))).alias("emails"), _joined(text.phones(F.col("clean"))).alias("phones"), signals.platform(html).alias("platform"),
-        signals.chat_widget(html).alias("has_chat_widget"), signals.missing_ssl(F.col("final_url")).alias("missing_ssl"), signals.outdated_copyright(html, YEAR).alias("outdated_copyright"),
+        signals.chat_widget(html).alias("has_chat_widget"), signals.missing_ssl(F.col("final_url")).alias("missing_ssl"), signals.outdated_copyright(html, settings(spark).as_of_year).alias("outdated_copyright"),
     )
 
 
@@ -85,12 +87,12 @@ def page_domain_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_outdated_copyright(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", signals.outdated_copyright(F.col("html"), YEAR).alias("outdated"))
+    return table(spark, sf_dir, "pages").select("page_id", signals.outdated_copyright(F.col("html"), settings(spark).as_of_year).alias("outdated"))
 
 
 def _hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a\b[^>]*\bhref\s*=\s*"([^"]*)"'), F.lit(1))).alias("href"))
+    return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"))
 
 
 def page_href_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +106,12 @@ def page_top_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_content_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html", text.clean_text(F.col("html")).alias("clean"))
+    hrefs = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
+    inner = lambda x: urls.authority(x).isin("", urls.authority(F.col("url")))  # noqa: E731  relative, or on the page's own host
     return p.select(
-        "page_id", text.word_count(F.col("clean")).cast("long").alias("word_count"), F.length("html").cast("long").alias("html_length"), (text.title(F.col("html")) != "").alias("has_title"),
+        "page_id", F.size(F.filter(hrefs, inner)).cast("long").alias("internal_links"), F.size(F.filter(hrefs, lambda x: ~inner(x))).cast("long").alias("external_links"),
+        F.col("html").rlike(r'(?i)<meta\b[^>]*name="twitter:').alias("has_twitter"), F.col("html").rlike(r'(?i)<meta\b[^>]*name="description"').alias("has_description"),
+        text.word_count(F.col("clean")).cast("long").alias("word_count"), F.length("html").cast("long").alias("html_length"), (text.title(F.col("html")) != "").alias("has_title"),
         F.regexp_count("html", F.lit(r"(?i)<meta\b")).cast("long").alias("meta_count"), F.col("html").rlike(r'(?i)<meta\b[^>]*property="og:').alias("has_og"), urls.authority(F.col("url")).alias("authority"),
     )
 
@@ -140,10 +146,40 @@ def retry_backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole record of insights as JSON, of the pages of the table and of one hand-written page."""
     own = spark.createDataFrame([(-1, "https://acme.test/", "https://acme.test/", HTML)], "page_id long, url string, final_url string, html string")
-    out = insights(own.unionByName(snapshots(spark, f"{sf_dir}/pages.parquet")), YEAR)
+    out = insights(own.unionByName(snapshots(spark, f"{sf_dir}/pages.parquet")), settings(spark).as_of_year)
     return out.select("page_id", F.to_json(F.struct("seo", "content", "leads", "pitch_hooks")).alias("insights"), "link_count", "text_length")
 
 
+#: A page for each row of part: pieces of text and, by name, columns; the tables' own pages hold no forms, buttons or absolute links.
+FILLER = "Calm software for busy teams, with reminders and billing in one place and a phone line that is answered. " * 3
+PART_PAGE = (
+    "<!DOCTYPE html><html><head><title> ", "p_name", " </title>", ("p_size % 2 = 0", '<meta name="viewport" content="width=device-width">'), ("p_size % 3 = 0", '<meta name="description" content="own words">'),
+    '<meta property="og:description" content="', "p_type", '"></head><body><header><a href="https://facebook.com/h">h</a></header><nav><a href="/nav">Learn ', "p_brand", '</a></nav><main><h1>', "p_name",
+    '</h1><a class="Btn-main" href="https://calendly.com/', "p_partkey", '">', "p_name", '</a> <a href="/shop?', "p_partkey", '">Book <b>', "p_brand", "</b></a>",
+    ("p_size % 4 = 0", '<a href="https://WWW.linkedin.com/company/x//">in</a><a href="https://www.yelp.com/biz/x">see</a>'), "<form>", ("p_size % 5 = 0", "<label>Your Name</label><input type='text'>"),
+    '<input placeholder="', "p_brand", '"><input type="submit" name="s"></form><p>' + FILLER + "</p><p>mail info", "p_partkey", "@acme.test</p>", ("p_size % 7 = 0", "<button>Start now</button><script>tawk.to</script>"),
+    "</main><footer>&copy; ", ("p_size % 2 = 0", "2019"), ("p_size % 2 = 1", str(YEAR)), "</footer></body></html>",
+)
+
+
+def part_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole record of insights, from the parser's route, of a page written for each row of part."""
+    piece = lambda x: F.when(F.expr(x[0]), x[1]).otherwise("") if isinstance(x, tuple) else F.col(x).cast("string") if x.startswith("p_") else F.lit(x)
+    pages = table(spark, sf_dir, "part").select("p_partkey", F.lit("https://acme.test/").alias("final_url"), F.concat(*map(piece, PART_PAGE)).alias("html"))
+    r, leads = insights(pages, settings(spark).as_of_year), F.col("leads")
+    return r.select(
+        "p_partkey", "seo.title", "seo.description", "seo.platform", "content.mission_statement", "link_count", "text_length", _joined("leads.emails").alias("emails"), _joined("leads.phones").alias("phones"),
+        _joined("leads.social_links").alias("social"), _joined("leads.automation.booking_links").alias("booking"), _joined("leads.reputation.review_links").alias("review"), leads["automation"]["has_chat_widget"].alias("chat"),
+        _joined(F.transform(leads["forms"], lambda f: F.concat_ws("|", f["fields"]))).alias("forms"), F.exists(leads["forms"], lambda f: f["likely_lead_capture"]).alias("lead_form"), _joined("leads.ctas").alias("ctas"), "pitch_hooks.*",
+    )
+
+
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text, meta map and links of each page by the parser."""
+    p = parsed(snapshots(spark, f"{sf_dir}/pages.parquet"))
+    return p.select("page_id", "main_text", F.size("meta").alias("metas"), F.size("links").alias("links"), F.size("forms").alias("forms"))
+
+
 def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, "https://acme.test/", "https://acme.test/", HTML)], "page_id long, url string, final_url string, html string")
     p = parsed(own.unionByName(snapshots(spark, f"{sf_dir}/pages.parquet")))
@@ -156,7 +192,7 @@ QUERIES = {
     "doc_mission_statement": doc_mission_statement, "page_title": page_title, "page_domain_rollup": page_domain_rollup, "page_outdated_copyright": page_outdated_copyright,
     "page_href_counts": page_href_counts, "page_top_hrefs": page_top_hrefs, "page_content_metrics": page_content_metrics, "page_platform": page_platform,
     "link_detectors": link_detectors, "request_validation": request_validation, "status_classes": status_classes, "retry_backoff_schedule": retry_backoff_schedule,
-    "page_insights": page_insights, "page_structure": page_structure,
+    "page_insights": page_insights, "page_structure": page_structure, "part_insights": part_insights, "page_main_text": page_main_text,
 }
 
 _DECODED = "{}"
@@ -165,6 +201,7 @@ for _n, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"),
 _CLEAN = _DECODED.format(f"regexp_replace(html, '{text.MARKUP}', ' ', 'g')")
 _TITLE = "trim(regexp_replace(" + _DECODED.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)") + ", '\\s+', ' ', 'g'))"
 _DOMAIN = r"regexp_replace(regexp_extract(lower(trim({})), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), '^www\.', '')"
+_AUTHORITY = r"regexp_extract(lower(trim({})), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1)"
 _EMAILS = f"list_sort(list_distinct(regexp_extract_all(t, '{rules.EMAIL}')))"
 _PHONES = f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, '{rules.PHONE}'), lambda p: trim(p)), lambda p: length(regexp_replace(p, '\\D', '', 'g')) >= 7)))"
 _OUTDATED = f"(contains(h, 'copyright') OR contains(h, '©')) AND NOT contains(h, '{YEAR}')"
@@ -205,9 +242,10 @@ SQL = {
     "page_outdated_copyright": f"SELECT page_id, {_OUTDATED} AS outdated FROM (SELECT page_id, lower(replace(html, '&copy;', '©')) AS h FROM pages)",
     "page_href_counts": f"SELECT page_id, count(*) AS links, count(DISTINCT href) AS distinct_links FROM ({_HREFS}) GROUP BY page_id",
     "page_top_hrefs": f"SELECT href, count(*) AS n FROM ({_HREFS}) GROUP BY href ORDER BY n DESC, href LIMIT 10",
-    "page_content_metrics": f"""SELECT page_id, CAST(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS BIGINT) AS word_count, length(html) AS html_length, {_TITLE} <> '' AS has_title,
+    "page_content_metrics": f"""SELECT page_id, len(list_filter(hrefs, lambda x: {_AUTHORITY.format("x")} IN ('', {_AUTHORITY.format("url")}))) AS internal_links, len(list_filter(hrefs, lambda x: {_AUTHORITY.format("x")} NOT IN ('', {_AUTHORITY.format("url")}))) AS external_links,
+        regexp_matches(html, '(?i)<meta\\b[^>]*name="twitter:') AS has_twitter, regexp_matches(html, '(?i)<meta\\b[^>]*name="description"') AS has_description, CAST(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS BIGINT) AS word_count, length(html) AS html_length, {_TITLE} <> '' AS has_title,
         CAST(len(regexp_extract_all(html, '(?i)<meta\\b')) AS BIGINT) AS meta_count, regexp_matches(html, '(?i)<meta\\b[^>]*property="og:') AS has_og, regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1) AS authority
-        FROM (SELECT *, {_CLEAN} AS t FROM pages)""",
+        FROM (SELECT *, {_CLEAN} AS t, regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*"([^"]*)"', 1) AS hrefs FROM pages)""",
     "page_platform": f"""SELECT page, {_PLATFORM} AS platform, {_CHAT} AS has_chat_widget FROM
         (SELECT page, lower(html) AS h FROM (VALUES {_values(MARKED)}) v(page, html) UNION ALL SELECT CAST(page_id AS VARCHAR), lower(html) FROM pages)""",
     "link_detectors": f"""WITH l AS (SELECT page, list(link) AS links FROM (VALUES {_values(LINKS)}) v(page, link) GROUP BY page)
@@ -219,4 +257,24 @@ SQL = {
         FROM (VALUES {_values(REQUESTS)}) v(id, u, s, mixed, lo, hi)""",
     "status_classes": "SELECT CAST(code AS INT) AS code, CASE code WHEN 403 THEN 'Blocked' WHEN 404 THEN 'NotFound' WHEN 429 THEN 'RateLimit' ELSE 'ok' END AS outcome, code = 429 AS retried FROM range(100, 600) t(code)",
     "retry_backoff_schedule": "SELECT CAST(n AS INT) AS attempt, least(60.0::DOUBLE, 2.0::DOUBLE * pow(2.0::DOUBLE, n - 1)) AS delay FROM range(1, 10) t(n)",
+    "part_insights": f"""SELECT p_partkey, p_name AS title, CASE WHEN p_size % 3 = 0 THEN 'own words' ELSE p_type END AS description,
+        '{rules.NO_PLATFORM}' AS platform, mission AS mission_statement, CASE WHEN p_size % 4 = 0 THEN 4 ELSE 2 END AS link_count,
+        CAST(length(p_name) * 2 + 2 + 5 + length(p_brand) + CASE WHEN p_size % 4 = 0 THEN 5 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 10 ELSE 0 END + 1 + {len(FILLER) - 1} + 1 + 9 + length(CAST(p_partkey AS VARCHAR)) + 10
+            + CASE WHEN p_size % 7 = 0 THEN 10 ELSE 0 END AS INT) AS text_length,
+        'info' || p_partkey || '@acme.test' AS emails, '' AS phones, CASE WHEN p_size % 4 = 0 THEN 'https://www.linkedin.com/company/x' ELSE '' END AS social, 'https://calendly.com/' || p_partkey AS booking,
+        CASE WHEN p_size % 4 = 0 THEN 'https://www.yelp.com/biz/x' ELSE '' END AS review, p_size % 7 = 0 AS chat, CASE WHEN p_size % 5 = 0 THEN 'your name|' ELSE '' END || lower(p_brand) AS forms, p_size % 5 = 0 AS lead_form,
+        array_to_string(list_sort(list_distinct(['Learn ' || p_brand, p_name] || CASE WHEN p_size % 7 = 0 THEN ['Start now'] ELSE [] END)), ',') AS ctas,
+        false AS missing_contact_info, false AS missing_lead_capture_forms, p_size % 4 <> 0 AS missing_social_presence, false AS missing_ssl, p_size % 2 = 0 AS outdated_copyright,
+        p_size % 2 = 1 AS missing_mobile_optimization, p_size % 7 <> 0 AS missing_chat_automation, false AS missing_online_booking
+        FROM (SELECT *, array_to_string(list_filter([p_name, p_name || ' Book ' || p_brand || CASE WHEN p_size % 4 = 0 THEN 'insee' ELSE '' END, '{FILLER.strip()}'], lambda x: length(x) > 30), chr(10)) AS mission FROM part)""",
+    "page_main_text": f"""WITH b AS (
+            SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<(script|style|nav|footer|header|iframe|noscript|aside)\\b.*?</(script|style|nav|footer|header|iframe|noscript|aside)>', '', 'g') AS h FROM pages
+        ), t AS (
+            SELECT page_id, unnest(['article', 'body']) AS place, h FROM b
+        ), raw AS (
+            SELECT page_id, place, {_DECODED.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<' || place || '\b[^>]*>(.*)</' || place || '>', 1), '\s+', ' ', 'g'), '(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')")} AS x FROM t
+        ), lines AS (
+            SELECT page_id, place, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS x FROM raw
+        )
+        SELECT page_id, CASE WHEN length(a.x) > {rules.LEAST_CONTENT} THEN a.x ELSE c.x END AS main_text, 0 AS metas, 0 AS links, 0 AS forms FROM lines a JOIN lines c USING (page_id) WHERE a.place = 'article' AND c.place = 'body'""",
 }

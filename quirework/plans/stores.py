@@ -35,9 +35,8 @@ def batch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_lead_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct addresses of each source; made distinct in a shuffle per address, so no source is gathered twice over."""
-    d = table(spark, sf_dir, "documents").select("source", F.explode(text.emails(F.col("text"))).alias("email")).distinct()
-    return d.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("email")), ",").alias("emails"), F.count("*").alias("n"))
+    """Distinct addresses of each source, a row each: a source may have any number of them."""
+    return table(spark, sf_dir, "documents").select("source", F.explode(text.emails(F.col("text"))).alias("email")).groupBy("source", "email").agg(F.count("*").alias("documents"))
 
 
 def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +70,9 @@ def consecutive_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return jobs.orphans(e.where("event_type = 'signup'").select("user_id").distinct(), e.where("event_type = 'purchase'"), "user_id")
+    """Users and days with a sign-up and no purchase on that day."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("job_id"), "event_type")
+    return jobs.orphans(e.where("event_type = 'signup'").select("job_id").distinct(), e.where("event_type = 'purchase'"))
 
 
 def conversation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.drained(lifecycle.daily_counts(lifecycle.event_stream(spark, sf_dir)), f"daily_{uuid.uuid4().hex}", "complete")
+    return lifecycle.replayed(lifecycle.daily_counts(lifecycle.event_stream(spark, sf_dir), lifecycle.whole_span(spark, sf_dir)), f"daily_{uuid.uuid4().hex}", "complete")
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,14 +138,14 @@ SQL = {
     "batch_rollup": f"""SELECT batch_id, count(*) AS total_pages, count(*) FILTER (status = 'completed') AS successful_pages, count(*) FILTER (status <> 'completed') AS failed_pages, round(sum(CAST(ms AS DOUBLE)), 2) AS total_duration_ms,
         CASE WHEN count(*) = count(*) FILTER (status = 'completed') THEN 'completed' WHEN count(*) FILTER (status = 'completed') > 0 THEN 'partial' ELSE 'failed' END AS status,
         {_UNION.format("emails", "emails")} AS all_emails, {_UNION.format("phones", "phones")} AS all_phones, {_UNION.format("links", "links")} AS all_social_links FROM {_B} GROUP BY batch_id""",
-    "source_lead_union": f"SELECT source, array_to_string(list_sort(list(email)), ',') AS emails, count(*) AS n FROM (SELECT DISTINCT source, unnest(regexp_extract_all(text, '{rules.EMAIL}')) AS email FROM documents) GROUP BY source",
+    "source_lead_union": f"SELECT source, email, count(DISTINCT k) AS documents FROM (SELECT source, row_number() OVER () AS k, unnest(regexp_extract_all(text, '{rules.EMAIL}')) AS email FROM documents) GROUP BY source, email",
     "recent_jobs": "SELECT event_id, user_id, event_type, epoch_us(ts) AS ts_us FROM events ORDER BY ts DESC, event_id LIMIT 50",
     "latest_status": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "lru_kept": "SELECT user_id, epoch_us(max(ts)) AS ts_us FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 100",
     "ttl_new_sessions": "SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE b IS NULL OR ts > b + INTERVAL 300 SECONDS GROUP BY user_id",
     "unexpired_outputs": "SELECT event_id FROM events WHERE event_type = 'purchase' AND ts + INTERVAL 600 SECONDS >= TIMESTAMP '2024-01-20 00:00:00'",
     "consecutive_failures": "SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS failures FROM (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events) WHERE event_type = 'error' GROUP BY user_id, g HAVING count(*) >= 3",
-    "orphan_submissions": "SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
+    "orphan_submissions": "WITH e AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS job_id, event_type FROM events) SELECT DISTINCT job_id FROM e WHERE event_type = 'signup' AND job_id NOT IN (SELECT job_id FROM e WHERE event_type = 'purchase')",
     "conversation_roles": "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role",
     "lean_jobs": """SELECT CAST(page_id AS VARCHAR) AS job_id, url, CASE WHEN page_id % 7 = 0 THEN 'NotFound: ' || url END AS error, CAST(len(regexp_extract_all(html, 'href="([^"]*)"')) AS INT) AS link_count, CAST(length(html) AS INT) AS text_length, false AS has_screenshot FROM pages""",
     "batch_view": """SELECT b AS batch_id, 'batch_' || b AS session, '{"status":"success","data":"' || string_agg(b || '_page_' || turn || ':' || role, ',' ORDER BY turn, role) || '","request_id":"' || b || '"}' AS answer
@@ -156,5 +156,17 @@ SQL = {
         (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES ('http://u:p@h.test:8080/x'), ('https://h.test'), ('socks5://u@h.test:1/'), ('nothing'), ('//h.test:99')) v(url))))""",
     "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_sessions": "SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT *, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 2 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events)) GROUP BY user_id, s",
+    "stream_job_moves": """
+        WITH e AS (
+            SELECT CAST(user_id AS VARCHAR) AS job_id, epoch_us(ts) AS t, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS s
+            FROM events WHERE event_type <> 'click'
+        ), p AS (
+            SELECT job_id, min(t) AS t FROM e WHERE s = 'pending' GROUP BY job_id
+        ), r AS (
+            SELECT job_id, min(e.t) AS t, arg_min(e.s, e.t) AS s FROM e JOIN p USING (job_id) WHERE e.t > p.t AND e.s IN ('running', 'failed') GROUP BY job_id
+        ), d AS (
+            SELECT job_id, min(e.t) AS t, arg_min(e.s, e.t) AS s FROM e JOIN r USING (job_id) WHERE r.s = 'running' AND e.t > r.t AND e.s IN ('completed', 'failed') GROUP BY job_id
+        )
+        SELECT job_id, 'pending' AS status, t AS ts_us FROM p UNION ALL SELECT job_id, s, t FROM r UNION ALL SELECT job_id, s, t FROM d""",
     "stream_distinct_events": "SELECT DISTINCT event_id, event_type FROM events",
 }

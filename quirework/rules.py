@@ -35,6 +35,9 @@ ACTION_WORDS = (
 ACTION_CLASSES = ("btn", "button", "cta")
 MOST_ACTION_WORDS, MOST_ACTIONS = 6, 15
 
+# Bounds of ours: characters that a link or button gathers, pages in a batch of the parser, pixels of an image.
+LONGEST_ACTION, PAGES_AT_ONCE, MOST_PIXELS = 500, 500, 50_000_000
+
 # Parts of field names that make a form a lead form; field types that are no fields.
 LEAD_HINTS = ("name", "email", "phone", "address", "message", "company", "organisation", "organization")
 NO_FIELDS = ("hidden", "submit", "button")

@@ -1,9 +1,4 @@
 """Schemas of the tables that jobs read and write."""
 
-SNAPSHOTS = "url string, final_url string, status_code int, html string, text string, title string, meta map<string,string>, links array<string>, captured_at timestamp_ntz"
 FORMS = "array<struct<fields:array<string>,field_count:int,likely_lead_capture:boolean>>"
 PARSED = f"main_text string, meta map<string,string>, links array<string>, forms {FORMS}, actions array<struct<text:string,classes:string>>"
-JOBS = "job_id string, url string, status string, error string, duration_ms double, created_at timestamp_ntz"
-BATCH_PAGES = "batch_id string, page_idx int, url string, status string, emails array<string>, phones array<string>, social_links array<string>, duration_ms double"
-JOB_STATUS = ("pending", "running", "completed", "failed")
-BATCH_STATUS = (*JOB_STATUS, "partial")
