@@ -3,7 +3,7 @@
 quality      rows that the quality classifier rejects go
 near_dedup   one document of each group of near duplicates stays, the one with the smallest id
 decontam     documents that overlap a benchmark item go
-pii          entities in the text give way to surrogates; n_chars follows the text
+pii          entities in the text give way to surrogates, under the key quirework.pii.key; n_chars follows the text
 packing      the remaining documents, cut and packed into token sequences
 
 All stages but the last return the columns of documents. Of rows that repeat id and text one stays; rows without an id stay. Null ids, repeated rows, null, empty and very long texts take
@@ -43,7 +43,7 @@ def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.replace_entities(docs)
+    out = pii.replace_entities(docs, pii.key_of(spark, pii.PUBLIC_KEY))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
