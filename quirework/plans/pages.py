@@ -272,7 +272,7 @@ SQL = {
         ), t AS (
             SELECT page_id, unnest(['article', 'body']) AS place, h FROM b
         ), raw AS (
-            SELECT page_id, place, {_DECODED.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<' || place || '\b[^>]*>(.*)</' || place || '>', 1), '\s+', ' ', 'g'), '(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')")} AS x FROM t
+            SELECT page_id, place, {_DECODED.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<' || place || '\b[^>]*>(.*?)(?:</' || place || '>|$)', 1), '\s+', ' ', 'g'), '(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')")} AS x FROM t
         ), lines AS (
             SELECT page_id, place, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS x FROM raw
         )
