@@ -268,7 +268,7 @@ SQL = {
         p_size % 2 = 1 AS missing_mobile_optimization, p_size % 7 <> 0 AS missing_chat_automation, false AS missing_online_booking
         FROM (SELECT *, array_to_string(list_filter([p_name, p_name || ' Book ' || p_brand || CASE WHEN p_size % 4 = 0 THEN 'insee' ELSE '' END, '{FILLER.strip()}'], lambda x: length(x) > 30), chr(10)) AS mission FROM part)""",
     "page_main_text": f"""WITH b AS (
-            SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<(script|style|nav|footer|header|iframe|noscript|aside)\\b.*?</(script|style|nav|footer|header|iframe|noscript|aside)>', '', 'g') AS h FROM pages
+            SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<(script|style|nav|footer|header|iframe|noscript|aside)\\b.*?</(script|style|nav|footer|header|iframe|noscript|aside)>', '', 'g'), '&(amp|lt|gt|quot)([^;a-zA-Z0-9]|$)', '&\\1;\\2', 'g') AS h FROM pages
         ), t AS (
             SELECT page_id, unnest(['article', 'body']) AS place, h FROM b
         ), raw AS (
