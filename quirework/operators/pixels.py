@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import images
 
 _MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -42,8 +43,10 @@ def decode_png(raw: bytes) -> np.ndarray:
     if header is None or header[2] != 8 or header[6]:
         raise ValueError("unsupported PNG")
     width, height, _, color = header[:4]
+    if width * height > rules.MOST_PIXELS:
+        raise ValueError("too many pixels")
     n = _CHANNELS[color]
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * n)
+    lines = np.frombuffer(zlib.decompressobj().decompress(data, height * (1 + width * n) or 1), np.uint8).reshape(height, 1 + width * n)
     out = np.zeros((height, width * n), np.uint8)
     above = np.zeros(width * n, np.int64)
     for y, line in enumerate(lines):
