@@ -1,6 +1,6 @@
 """Addresses, links and the checks on requests, as native columns."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -90,3 +90,14 @@ def parts(url: Column) -> Column:
         F.regexp_extract(F.lower(url), r"^([a-z][a-z0-9+.-]*):", 1).alias("scheme"), F.regexp_replace(host, r":\d*$", "").alias("host"), F.regexp_extract(host, r":(\d+)$", 1).alias("port"),
         F.substring_index(login, ":", 1).alias("user"), F.when(login.contains(":"), F.regexp_replace(login, "^[^:]*:", "")).otherwise(F.lit("")).alias("password"),
     )
+
+
+def top_domains(links: DataFrame, most: int = 10) -> DataFrame:
+    """The domains that each page links to most (page, domain, links), from its links (page, origin, link, place).
+
+    Of the `most` most frequent authorities of a page - of equal ones those linked first - its own, origin, is left out, so one fewer may remain.
+    Links combine to counts before the shuffle; only a page's distinct domains are ranked.
+    """
+    counted = links.groupBy("page", F.lower("origin").alias("origin"), authority(F.col("link")).alias("domain")).agg(F.count("*").alias("links"), F.min("place").alias("place"))
+    ranked = counted.withColumn("_rank", F.row_number().over(Window.partitionBy("page", "origin").orderBy(F.desc("links"), "place", "domain")))
+    return ranked.where((F.col("_rank") <= most) & ~F.col("domain").eqNullSafe(F.col("origin"))).select("page", "domain", "links")

@@ -104,6 +104,17 @@ def page_top_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hrefs(spark, sf_dir).groupBy("href").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "href").limit(10)
 
 
+def link_top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as pages that link to the sites of their orders' suppliers; a customer's own site is one of these."""
+    site = lambda n: F.concat(F.lit("s"), n.cast("string"), F.lit(".test"))
+    lines = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    links = lines.select(
+        F.col("o_custkey").alias("page"), site(F.col("o_custkey") % 10 + 1).alias("origin"), F.concat(F.lit("https://"), F.upper(site(F.col("l_suppkey"))), F.lit("/x")).alias("link"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"),
+    )
+    return urls.top_domains(links)
+
+
 def page_content_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html", text.clean_text(F.col("html")).alias("clean"))
     hrefs = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
@@ -187,7 +198,7 @@ def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "page_signals": page_signals, "page_clean_text_len": page_clean_text_len,
+    "link_top_domains": link_top_domains, "page_signals": page_signals, "page_clean_text_len": page_clean_text_len,
     "page_contacts": _contacts("pages", "page_id", lambda: text.clean_text(F.col("html"))), "doc_contacts": _contacts("documents", "doc_id", lambda: F.col("text")),
     "doc_mission_statement": doc_mission_statement, "page_title": page_title, "page_domain_rollup": page_domain_rollup, "page_outdated_copyright": page_outdated_copyright,
     "page_href_counts": page_href_counts, "page_top_hrefs": page_top_hrefs, "page_content_metrics": page_content_metrics, "page_platform": page_platform,
@@ -242,6 +253,12 @@ SQL = {
     "page_outdated_copyright": f"SELECT page_id, {_OUTDATED} AS outdated FROM (SELECT page_id, lower(replace(html, '&copy;', '©')) AS h FROM pages)",
     "page_href_counts": f"SELECT page_id, count(*) AS links, count(DISTINCT href) AS distinct_links FROM ({_HREFS}) GROUP BY page_id",
     "page_top_hrefs": f"SELECT href, count(*) AS n FROM ({_HREFS}) GROUP BY href ORDER BY n DESC, href LIMIT 10",
+    "link_top_domains": """
+        SELECT page, domain, links FROM (
+            SELECT o_custkey AS page, o_custkey % 10 + 1 AS own, 's' || l_suppkey || '.test' AS domain, l_suppkey, count(*) AS links, min(l_orderkey * 10 + l_linenumber) AS place
+            FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_suppkey
+            QUALIFY row_number() OVER (PARTITION BY page ORDER BY links DESC, place, domain) <= 10
+        ) WHERE l_suppkey <> own""",
     "page_content_metrics": f"""SELECT page_id, len(list_filter(hrefs, lambda x: {_AUTHORITY.format("x")} IN ('', {_AUTHORITY.format("url")}))) AS internal_links, len(list_filter(hrefs, lambda x: {_AUTHORITY.format("x")} NOT IN ('', {_AUTHORITY.format("url")}))) AS external_links,
         regexp_matches(html, '(?i)<meta\\b[^>]*name="twitter:') AS has_twitter, regexp_matches(html, '(?i)<meta\\b[^>]*name="description"') AS has_description, CAST(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS BIGINT) AS word_count, length(html) AS html_length, {_TITLE} <> '' AS has_title,
         CAST(len(regexp_extract_all(html, '(?i)<meta\\b')) AS BIGINT) AS meta_count, regexp_matches(html, '(?i)<meta\\b[^>]*property="og:') AS has_og, regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1) AS authority

@@ -125,7 +125,29 @@ def stream_job_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.select("job_id", "status", F.unix_micros("ts").alias("ts_us"))
 
 
+def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as call targets, errors as failed calls: two in a row open a breaker for a day, as events are hours apart."""
+    calls = jobs.guarded(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", 2, 86_400)
+    return calls.select("user_id", "event_id", "outcome", "is_open")
+
+
+def stream_batch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events of a day as a batch of three pages: sign-ups submit it, errors are failed pages."""
+    e = lifecycle.event_stream(spark, sf_dir).select(
+        F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("batch_id"), F.lit(3).alias("total"), F.when(F.col("event_type") != "signup", F.col("event_type") != "error").alias("ok")
+    )
+    return lifecycle.replayed(lifecycle.batch_states(e), f"batches_{uuid.uuid4().hex}", "complete")
+
+
+def stream_session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as saves of their user's session, which lives for twelve hours."""
+    saves = lifecycle.event_stream(spark, sf_dir).where("event_type = 'purchase'").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("state"), "ts")
+    lives = lifecycle.replayed(lifecycle.session_states(saves, "12 hours", lifecycle.whole_span(spark, sf_dir)), f"states_{uuid.uuid4().hex}", "complete")
+    return lives.select("session_id", "state", "saves", F.unix_micros("expires_at").alias("expires_us"))
+
+
 QUERIES = {
+    "circuit_breaker": circuit_breaker, "stream_batch_states": stream_batch_states, "stream_session_states": stream_session_states,
     "batch_status_by_user": batch_status_by_user, "batch_rollup": batch_rollup, "source_lead_union": source_lead_union, "recent_jobs": recent_jobs, "latest_status": latest_status,
     "lru_kept": lru_kept, "ttl_new_sessions": ttl_new_sessions, "unexpired_outputs": unexpired_outputs, "consecutive_failures": consecutive_failures, "orphan_submissions": orphan_submissions,
     "conversation_roles": conversation_roles, "lean_jobs": lean_jobs, "batch_view": batch_view, "url_parts": url_parts, "stream_daily_counts": stream_daily_counts, "stream_sessions": stream_sessions, "stream_distinct_events": stream_distinct_events, "stream_job_moves": stream_job_moves,
@@ -154,6 +176,24 @@ SQL = {
         CASE WHEN contains(l, ':') THEN regexp_replace(l, '^[^:]*:', '') ELSE '' END AS password
         FROM (SELECT url, split_part(a, '@', -1) AS h, CASE WHEN contains(a, '@') THEN split_part(a, '@', 1) ELSE '' END AS l FROM (SELECT url, regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1) AS a FROM
         (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES ('http://u:p@h.test:8080/x'), ('https://h.test'), ('socks5://u@h.test:1/'), ('nothing'), ('//h.test:99')) v(url))))""",
+    "circuit_breaker": """
+        WITH RECURSIVE e AS (
+            SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+        ), b AS (
+            SELECT user_id, event_id, 0::BIGINT AS n, '' AS outcome, 0 AS failures, NULL::BIGINT AS opened FROM e WHERE n = 1
+            UNION ALL
+            SELECT user_id, event_id, n, o, CASE o WHEN 'refused' THEN failures WHEN 'failed' THEN failures + 1 ELSE 0 END,
+                CASE WHEN o = 'refused' OR o = 'failed' AND failures + 1 < 2 THEN opened WHEN o = 'failed' THEN t END
+            FROM (SELECT e.*, failures, opened, CASE WHEN t < opened + 86400000000 THEN 'refused' WHEN bad THEN 'failed' ELSE 'passed' END AS o FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)
+        )
+        SELECT user_id, event_id, outcome, opened IS NOT NULL AS is_open FROM b WHERE n > 0""",
+    "stream_batch_states": """
+        SELECT *, CASE WHEN done = 0 THEN 'pending' WHEN done < 3 THEN 'running' WHEN done = ok THEN 'completed' WHEN ok > 0 THEN 'partial' ELSE 'failed' END AS status
+        FROM (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS batch_id, count(*) FILTER (event_type <> 'signup') AS done, count(*) FILTER (event_type NOT IN ('signup', 'error')) AS ok FROM events GROUP BY 1)""",
+    "stream_session_states": """
+        SELECT user_id AS session_id, max_by(event_id, (ts, event_id)) AS state, count(*) AS saves, epoch_us(max(ts) + INTERVAL 12 HOURS) AS expires_us
+        FROM (SELECT *, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 12 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s
+            FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events WHERE event_type = 'purchase')) GROUP BY user_id, s""",
     "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_sessions": "SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT *, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 2 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events)) GROUP BY user_id, s",
     "stream_job_moves": """

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.jobs import latest
+from .. import rules
+from ..operators.jobs import latest, live_status
 
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = 16) -> DataFrame:
@@ -88,6 +89,20 @@ def job_states(events: DataFrame, expire_after: str = "1 day", late: str = "1 da
     return events.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(step, "job_id string, status string, ts timestamp", "status string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def batch_states(pages: DataFrame) -> DataFrame:
+    """Status of each batch as its pages come in (batch_id, total, ok): pending, running, then completed, partial or failed. Rows whose ok is null are
+    submissions. A running count, kept by Spark's own aggregation; a page's failure does not end its batch, repeated submissions change nothing."""
+    known = pages.groupBy("batch_id").agg(F.max("total").alias("total"), F.count("ok").alias("done"), F.count_if("ok").alias("ok"))
+    return known.select("batch_id", "done", "ok", live_status(F.col("total"), F.col("done"), F.col("ok")).alias("status"))
+
+
+def session_states(saves: DataFrame, lives: str = f"{rules.SESSION_SECONDS} seconds", late: str = "1 day") -> DataFrame:
+    """Each life of a session (session_id, state, saves, expires_at) from its saves (session_id, state, ts): a save renews it, and one after its end begins
+    another. Its state is the one saved last (of equal times the greatest). Event time lets ended sessions go, so the stream holds live ones only."""
+    life = saves.withWatermark("ts", late).groupBy(F.session_window("ts", lives), "session_id")
+    return life.agg(F.max_by("state", F.struct("ts", "state")).alias("state"), F.count("*").alias("saves")).select("session_id", "state", "saves", F.col("session_window.end").alias("expires_at"))
+
+
 def upsert_versions(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append the versions of each step under the step's own folder: a step that runs again replaces what it wrote before."""
     def write(batch: DataFrame, step: int) -> None:
