@@ -1,14 +1,15 @@
 """Image conversion: one pass over images after their native plan.
 
-PNG is read and written here with zlib and numpy; other formats need codecs that are not installed and become rows with an
-error, as do corrupt images: a bad image never fails a task. Alpha is laid over white for formats without it.
+PNG is read and written here with zlib and numpy. Other formats need codecs that are not installed: a caller who has one hands it to converted(),
+else they become rows with an error, as do corrupt images: a bad image never fails a task. Alpha is laid over white for formats without it.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -121,8 +122,25 @@ def resize(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
-def converted(files: DataFrame, fmt: str, quality: int | None = None, width: int | None = None, height: int | None = None) -> DataFrame:
-    """filename, name, content, width, height and error of each image of files (filename, content)."""
+@dataclass(frozen=True)
+class Codec:
+    """How a format is told by its first bytes, read to height x width x channels, and written at a quality on its own scale."""
+
+    magic: bytes
+    decode: Callable[[bytes], np.ndarray]
+    encode: Callable[[np.ndarray, int], bytes]
+    alpha: bool = True
+
+
+CODECS = {"PNG": Codec(_MAGIC, decode_png, encode_png)}
+
+
+def converted(files: DataFrame, fmt: str, quality: int | None = None, width: int | None = None, height: int | None = None, codecs: dict[str, Codec] | None = None) -> DataFrame:
+    """filename, name, content, width, height and error of each image of files (filename, content).
+
+    `codecs` by canonical format name stand beside the library's own, or in their place; they travel to the tasks with the plan.
+    """
+    known = CODECS | (codecs or {})
     planned = files.select(
         "filename", "content", images.canonical_format(F.lit(fmt)).alias("fmt"), images.output_name(F.col("filename"), F.lit(fmt)).alias("name"),
         F.coalesce(images.mapped_quality(images.canonical_format(F.lit(fmt)), F.lit(quality).cast("int")).cast("int"), F.lit(6)).alias("level"),
@@ -134,13 +152,17 @@ def converted(files: DataFrame, fmt: str, quality: int | None = None, width: int
             for r in part.itertuples():
                 content, w, h, error = None, None, None, None
                 try:
-                    if r.fmt != "PNG":
+                    if r.fmt not in known:
                         raise ValueError(f"unsupported format: {r.fmt}")
-                    pixels = decode_png(bytes(r.content))
+                    raw, target = bytes(r.content), known[r.fmt]
+                    source = next((c for c in known.values() if raw.startswith(c.magic)), None)
+                    if source is None:
+                        raise ValueError("unsupported image")
+                    pixels = source.decode(raw) if target.alpha else over_white(source.decode(raw))
                     oh, ow = pixels.shape[:2]
                     pixels = resize(pixels, width or (int(height * (ow / oh)) if height else ow), height or (int(width / (ow / oh)) if width else oh))
                     h, w = pixels.shape[:2]
-                    content = encode_png(pixels, int(r.level))
+                    content = target.encode(pixels, int(r.level))
                 except Exception as e:  # noqa: BLE001  one bad image is one row with its error
                     error = f"{type(e).__name__}: {e}"
                 rows.append((r.filename, r.name, content, w, h, error))

@@ -172,3 +172,17 @@ def test_breaker_on_odd_calls(spark):
 def test_failed_probe_opens_again(spark):
     calls = spark.createDataFrame([(1, t, bad) for t, bad in ((0, True), (1, True), (31, True), (60, False), (61, False))], "k int, t int, bad boolean").select("k", F.timestamp_seconds("t").alias("ts"), "bad")
     assert [r.outcome for r in jobs.guarded(calls, "k", ["ts"], F.col("bad"), 2, 30).orderBy("ts").collect()] == ["failed", "failed", "failed", "refused", "passed"]
+
+
+def test_callers_bring_codecs(spark):
+    def plain(image, level):
+        return b"RAW" + bytes([level, *image.shape]) + image.tobytes()
+
+    codec = pixels.Codec(b"RAW", lambda raw: np.frombuffer(raw[7:], np.uint8).reshape(tuple(raw[4:7])), plain, alpha=False)
+    half = pixels.encode_png(np.array([[[0, 200, 255, 128], [10, 20, 30, 255]]], np.uint8))
+    files = spark.createDataFrame([("a.png", bytearray(half)), ("b.jpg", bytearray(b"RAW\x05\x01\x01\x03abc")), ("c.gif", bytearray(b"GIF89a"))], "filename string, content binary")
+    rows = {r.filename: r for r in pixels.converted(files, "jpg", quality=50, codecs={"JPEG": codec}).collect()}
+    assert list(rows["a.png"].content[7:]) == [127, 227, 255, 10, 20, 30] and rows["a.png"].name == "a.jpg" and rows["b.jpg"].content[7:] == b"abc"
+    assert "unsupported image" in rows["c.gif"].error
+    back = {r.filename: r for r in pixels.converted(files, "png", codecs={"JPEG": codec}).collect()}
+    assert pixels.decode_png(bytes(back["b.jpg"].content)).ravel().tolist() == list(b"abc")
