@@ -3,12 +3,13 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from llm import brute
 from oracle import connected, same_rows
-from quirework.llm import licenses, queries
+from quirework.llm import licenses, quality, queries
 from quirework.llm.common import table
 
 
@@ -39,6 +40,34 @@ def test_language_held_out(spark, sf_dir="/root/testdata/sf0.01"):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.98 * len(held)
 
 
+def test_language_against_plain_bayes(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").collect()
+    train = [(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    plain = dict(zip([r.doc_id for r in rows], brute.naive_bayes(train, [r.text for r in rows]), strict=True))
+    for r in queries.op3_language_id(spark, sf_dir).collect():
+        lang, score = plain[r.doc_id]
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-3)
+
+
+def test_features_against_plain_definitions(docs):
+    import pyarrow as pa
+
+    texts = [*docs.values(), None, "", " \n", "a\nA\n\na b a b a b", "é́ ΑΣ \x1c İ 漢字 🙂", "(x) $5 A-1\x7f"]
+    for row, text in zip(quality.features(pa.array(texts)), texts, strict=True):
+        assert row.tolist() == pytest.approx(brute.surface(text), abs=1e-9), text
+
+
+def test_quality_against_plain_boosting(spark, sf_dir, docs):
+    """Main effects alone: what pairs add is told by test_edges.test_quality_tables_add_up."""
+    truth = {r.doc_id: float(r.quality) for r in table(spark, sf_dir, "labels").collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    ids = sorted(set(truth) & set(docs))
+    x = [brute.surface(docs[i]) for i in ids]
+    model = quality.fit(np.array(x), np.array([truth[i] for i in ids]), rounds=20, pair_rounds=0)
+    plain = brute.boosted(x, [truth[i] for i in ids], rounds=20)
+    every = [brute.surface(t) for t in docs.values()]
+    assert model.score(np.array(every)).tolist() == pytest.approx([plain(row) for row in every], abs=1e-6)
+
+
 def test_licenses(spark, sf_dir, docs):
     for r in queries.op5_license_scan(spark, sf_dir).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute.license_words(docs[r.doc_id], licenses.BASE)
