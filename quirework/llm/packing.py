@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import portions, small_batches, written
 
-#: A letter or digit, marks other than apostrophes, and a blank: the tokenizer ends a word before the marks anyway.
-_STOP = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[ \n])")
+#: After a letter or digit, marks other than apostrophes, then a blank: the tokenizer ends a word before the marks anyway.
+#: The look behind stands after the first mark, so the search runs from mark to mark.
+_STOP = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z0-9].)[!-&(-/:-@\[-`{-~]*(?=[ \n])")
 #: Letters alone, which the tokenizer keeps as one word.
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
@@ -106,13 +107,13 @@ class WordEncoder:
     def _short(self, texts: list[str | None]) -> list[bytes]:
         raw = [(text or "").encode() for text in texts]
         special = {i for i, x in enumerate(raw) if b"<|" in x}
-        words = [[] if i in special else _STOP.sub(rb" \1", x.lower()).split() for i, x in enumerate(raw)]
+        words = [[] if i in special else _STOP.sub(rb" \g<0>", x.lower()).split() for i, x in enumerate(raw)]
         if len(self.known) > self.most:
             self.known, self.before = {}, self.known
         new: set[bytes] = set()
         for w in words:
             new.update(w)
-        new.difference_update(self.known.keys())
+        new = new.difference(self.known)
         again = new & self.before.keys()
         self.known.update((w, self.before[w]) for w in again)
         self._learn(list(new - again))
