@@ -34,6 +34,10 @@ _STOP = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z0-9].)[!-&(-/:-@\[-`{-~]*(?=[ \n
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
+#: The encoders of a worker process, by the path of their tokenizer.
+_ENCODERS: dict[str | None, WordEncoder] = {}
+
+
 class WordEncoder:
     """Ids of whole texts, as little-endian 32-bit numbers.
 
@@ -71,12 +75,9 @@ class WordEncoder:
     @classmethod
     def of_worker(cls, path: str | None, most_words: int) -> WordEncoder:
         """The encoder of this worker process: it keeps its words for the worker's next tasks."""
-        import tokenizers
-
-        kept = tokenizers.__dict__.setdefault("_quirework_encoders", {})
-        if path not in kept:
-            kept[path] = cls(path, most_words)
-        return kept[path]
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path, most_words)
+        return _ENCODERS[path]
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
