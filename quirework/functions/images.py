@@ -13,11 +13,11 @@ def canonical_format(name: Column) -> Column:
 
 
 def mapped_quality(fmt: Column, percent: Column) -> Column:
-    """A percentage on the format's own scale, which may be reversed, as a double."""
+    """A percentage on the format's own scale, which may be reversed, as a double; null without a percentage."""
     out = F.lit(None).cast("double")
     for name, low, high in rules.QUALITY_RANGES:
         value = F.lit(float(low)) + F.lit(float(high - low)) * percent / F.lit(100.0)
-        out = F.when(fmt == name, F.least(F.greatest(value, F.lit(float(min(low, high)))), F.lit(float(max(low, high))))).otherwise(out)
+        out = F.when((fmt == name) & percent.isNotNull(), F.least(F.greatest(value, F.lit(float(min(low, high)))), F.lit(float(max(low, high))))).otherwise(out)
     return out
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import images
 from ..operators import pixels
+from .tables import table
 
 SIZES = ((1920, 1080, 640, None), (1920, 1080, None, 333), (1920, 1080, 100, 100), (1920, 1080, 1, None), (1920, 1080, None, None), (1920, 1080, 0, 0), (8, 5, 16, None), (8, 5, 8, 5))
+PART_FORMATS = ("jpeg", "JPG", "png", "webp", "avif", "tif", "bmp")
 NAMES = (("my photo (1).JPG", "webp"), ("arch.tar.gz", "webp"), ("héllo.png", "webp"), (".hidden", "webp"), ("plain", "PNG"), ("a.", "png"))
 REQUESTS = ((1, "jpeg", None, 50), (2, "JPG", None, 0), (3, "bmp", None, 50), (4, "png", 100, 50), (5, "png", None, None), (6, "tif", None, 101), (7, "avif", None, -1), (8, "webp", 100, None))
 
@@ -51,7 +53,26 @@ def image_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("filename", "name", "width", "height", F.col("error").isNotNull().alias("failed"))
 
 
+def part_image_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of part as an image request: its check, name, size, way of resizing, quality and TIFF codec."""
+    key, size = F.col("p_partkey").cast("int"), F.col("p_size")
+    r = table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat("p_name", "p_brand", F.lit(".png")).alias("file"), F.element_at(F.array(*map(F.lit, PART_FORMATS)), key % len(PART_FORMATS) + 1).alias("fmt"),
+        F.when(key % 5 != 0, size * 3 - 10).alias("q"), F.when((key % 5 == 0) | (key % 11 == 0), 100).alias("most"),
+        (size * 7 + 100).alias("ow"), (key % 400 + 90).alias("oh"), F.when(key % 3 == 0, size * 11).alias("w"), F.when(key % 4 == 0, key % 700).alias("h"),
+    )
+    sides = [F.col(c) for c in ("ow", "oh", "w", "h")]
+    r = r.select("*", images.canonical_format(F.col("fmt")).alias("format"), images.target_width(*sides).alias("tw"), images.target_height(*sides).alias("th"))
+    quality = images.mapped_quality(F.col("format"), F.col("q"))
+    return r.select(
+        "p_partkey", F.coalesce(images.request_error(F.col("fmt"), F.col("most"), F.col("q")), F.lit("ok")).alias("outcome"), images.output_name(F.col("file"), F.col("fmt")).alias("name"), "tw", "th",
+        F.coalesce(images.interpolation(F.col("ow"), F.col("oh"), F.col("tw"), F.col("th")), F.lit("none")).alias("how"), quality.cast("int").alias("quality"),
+        F.when(F.col("format") == "TIFF", images.tiff_codec(F.coalesce(quality, F.lit(0.0)), key % 2 == 0, F.lit("auto"))).alias("codec"),
+    )
+
+
 QUERIES = {
+    "part_image_plans": part_image_plans,
     "image_quality_map": image_quality_map, "image_tiff_codec": image_tiff_codec, "image_target_dims": image_target_dims, "image_filenames": image_filenames,
     "image_request_validation": image_request_validation, "image_conversion": image_conversion,
 }
@@ -59,6 +80,21 @@ QUERIES = {
 _RANGE = ", ".join(f"('{f}', {a}, {b})" for f, a, b in rules.QUALITY_RANGES)
 _CODEC = "CASE WHEN method <> 'auto' THEN method WHEN transparent THEN 'deflate' WHEN q * 0.95 >= 85 THEN 'deflate' WHEN q * 0.95 >= 75 THEN 'lzw' ELSE 'jpeg' END"
 SQL = {
+    "part_image_plans": f"""
+        WITH p AS (
+            SELECT p_partkey, p_name || p_brand AS file, [{", ".join(f"'{f}'" for f in PART_FORMATS)}][p_partkey % {len(PART_FORMATS)} + 1] AS fmt, CASE WHEN p_partkey % 5 <> 0 THEN p_size * 3 - 10 END AS q,
+                p_partkey % 5 = 0 OR p_partkey % 11 = 0 AS sized, CAST(p_size * 7 + 100 AS INT) AS ow, CAST(p_partkey % 400 + 90 AS INT) AS oh,
+                nullif(CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size * 11 AS INT) END, 0) AS w, nullif(CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey % 700 AS INT) END, 0) AS h FROM part
+        ), t AS (
+            SELECT *, coalesce(w, CAST(trunc(h * (ow::DOUBLE / oh)) AS INT), ow) AS tw, coalesce(h, CAST(trunc(w / (ow::DOUBLE / oh)) AS INT), oh) AS th,
+                CASE upper(fmt) WHEN 'JPG' THEN 'JPEG' WHEN 'TIF' THEN 'TIFF' ELSE upper(fmt) END AS format FROM p
+        ), m AS (
+            SELECT t.*, least(greatest(lo::DOUBLE + (hi - lo)::DOUBLE * q / 100.0::DOUBLE, least(lo, hi)::DOUBLE), greatest(lo, hi)::DOUBLE) AS v, lo FROM t LEFT JOIN (VALUES {_RANGE}) f(f, lo, hi) ON f.f = format
+        )
+        SELECT p_partkey, CASE WHEN fmt = 'bmp' THEN 'format' WHEN sized = (q IS NOT NULL) THEN 'either quality or size' WHEN q NOT BETWEEN 0 AND 100 THEN 'quality range' WHEN sized THEN 'unsupported: target size' ELSE 'ok' END AS outcome,
+            regexp_replace(file, '[^a-zA-Z0-9_.-]', '_', 'g') || '.' || lower(fmt) AS name, tw, th, CASE WHEN ow = tw AND oh = th THEN 'none' WHEN tw < ow OR th < oh THEN 'area' ELSE 'lanczos4' END AS how,
+            CASE WHEN q IS NOT NULL AND lo IS NOT NULL THEN CAST(trunc(v) AS INT) END AS quality,
+            CASE WHEN format = 'TIFF' THEN CASE WHEN p_partkey % 2 = 0 OR (q IS NOT NULL AND v >= 85) THEN 'deflate' WHEN q IS NOT NULL AND v >= 75 THEN 'lzw' ELSE 'jpeg' END END AS codec FROM m""",
     "image_quality_map": f"SELECT fmt, CAST(q AS INT) AS q, CAST(trunc(lo::DOUBLE + (hi - lo)::DOUBLE * q / 100.0::DOUBLE) AS INT) AS quality FROM range(0, 101) r(q), (VALUES {_RANGE}) f(fmt, lo, hi)",
     "image_tiff_codec": f"SELECT CAST(q AS INT) AS q, transparent, method, {_CODEC} AS codec FROM range(0, 101) r(q), (VALUES (true, 'auto'), (false, 'auto'), (false, 'zstd')) m(transparent, method)",
     "image_target_dims": """SELECT ow, oh, w, h, tw, th, CASE WHEN ow = tw AND oh = th THEN 'none' WHEN tw < ow OR th < oh THEN 'area' ELSE 'lanczos4' END AS how FROM (SELECT ow, oh, w, h,

@@ -144,6 +144,24 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", urls.selector(F.col("wait_selector")).alias("selector"), F.coalesce(error, F.lit("ok")).alias("outcome"))
 
 
+def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of orders as a batch request of none to six addresses: its selector and the first rule that it breaks."""
+    k = F.col("o_orderkey")
+    site = lambda n: F.when((k % 13 == 0) & (n == 1), "ftp://x.test").otherwise(F.concat(F.lit("https://www.s"), ((F.col("o_custkey") + n * (k % 2)) % 4).cast("string"), F.lit(".test/"), n.cast("string")))
+    r = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.transform(F.filter(F.sequence(F.lit(1), F.lit(6)), lambda n: n <= k % 7), site).alias("urls"), (k % 3 == 0).alias("mixed"), (k % 10 - 1).cast("double").alias("lo"), (k % 11).cast("double").alias("hi"),
+        F.when(k % 17 == 0, " <b> ").when(k % 17 == 1, "  ").when(k % 17 == 2, "ONCLICK=x").when(k % 17 == 3, F.repeat(F.lit("x"), 501)).otherwise(" #main ").alias("wait"),
+    )
+    error = urls.batch_error(F.col("urls"), F.col("mixed"), F.col("lo"), F.col("hi"), F.col("wait"))
+    return r.select("o_orderkey", F.length(urls.selector(F.col("wait"))).alias("selector"), F.coalesce(error, F.lit("ok")).alias("outcome"))
+
+
+def event_status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as an answer with a status and the number of its attempt: its error and the wait before another attempt."""
+    e = table(spark, sf_dir, "events").select("event_id", urls.status_error((F.col("event_id") % 40 + 400).cast("int")).alias("error"), (F.col("event_id") % 9 + 1).alias("attempt"))
+    return e.select("event_id", "error", F.when(urls.retried(F.col("error")), urls.backoff_seconds(F.col("attempt"))).alias("delay"))
+
+
 def status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = spark.range(100, 600).select(F.col("id").cast("int").alias("code")).withColumn("error", urls.status_error(F.col("code")))
     return codes.select("code", F.coalesce("error", F.lit("ok")).alias("outcome"), F.coalesce(urls.retried(F.col("error")), F.lit(False)).alias("retried"))
@@ -198,7 +216,7 @@ def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "link_top_domains": link_top_domains, "page_signals": page_signals, "page_clean_text_len": page_clean_text_len,
+    "link_top_domains": link_top_domains, "order_requests": order_requests, "event_status_classes": event_status_classes, "page_signals": page_signals, "page_clean_text_len": page_clean_text_len,
     "page_contacts": _contacts("pages", "page_id", lambda: text.clean_text(F.col("html"))), "doc_contacts": _contacts("documents", "doc_id", lambda: F.col("text")),
     "doc_mission_statement": doc_mission_statement, "page_title": page_title, "page_domain_rollup": page_domain_rollup, "page_outdated_copyright": page_outdated_copyright,
     "page_href_counts": page_href_counts, "page_top_hrefs": page_top_hrefs, "page_content_metrics": page_content_metrics, "page_platform": page_platform,
@@ -253,6 +271,14 @@ SQL = {
     "page_outdated_copyright": f"SELECT page_id, {_OUTDATED} AS outdated FROM (SELECT page_id, lower(replace(html, '&copy;', '©')) AS h FROM pages)",
     "page_href_counts": f"SELECT page_id, count(*) AS links, count(DISTINCT href) AS distinct_links FROM ({_HREFS}) GROUP BY page_id",
     "page_top_hrefs": f"SELECT href, count(*) AS n FROM ({_HREFS}) GROUP BY href ORDER BY n DESC, href LIMIT 10",
+    "order_requests": f"""
+        WITH r AS (
+            SELECT o_orderkey, list_transform(range(1, o_orderkey % 7 + 1), lambda n: CASE WHEN o_orderkey % 13 = 0 AND n = 1 THEN 'ftp://x.test' ELSE 'https://www.s' || ((o_custkey + n * (o_orderkey % 2)) % 4) || '.test/' || n END) AS u,
+                o_orderkey % 10 - 1 AS lo, o_orderkey % 11 AS hi, nullif(trim(CASE o_orderkey % 17 WHEN 0 THEN ' <b> ' WHEN 1 THEN '  ' WHEN 2 THEN 'ONCLICK=x' WHEN 3 THEN repeat('x', 501) ELSE ' #main ' END), '') AS s FROM orders
+        )
+        SELECT o_orderkey, CAST(length(s) AS INT) AS selector, CASE WHEN len(u) NOT BETWEEN 1 AND 5 THEN 'url count' WHEN len(list_filter(u, lambda x: NOT starts_with(x, 'http'))) > 0 THEN 'url' WHEN lo < 0 OR hi < 0 THEN 'negative delay' WHEN lo > hi THEN 'delay range'
+            WHEN o_orderkey % 3 <> 0 AND len(list_distinct(list_transform(u, lambda x: {_DOMAIN.format("x")}))) > 1 THEN 'mixed domains' WHEN s IS NOT NULL AND (regexp_matches(lower(s), '{"|".join(rules.BAD_SELECTOR)}') OR length(s) > 500) THEN 'selector' ELSE 'ok' END AS outcome FROM r""",
+    "event_status_classes": "SELECT event_id, CASE event_id % 40 WHEN 3 THEN 'Blocked' WHEN 4 THEN 'NotFound' WHEN 29 THEN 'RateLimit' END AS error, CASE WHEN event_id % 40 = 29 THEN least(60.0::DOUBLE, 2.0::DOUBLE * pow(2.0::DOUBLE, event_id % 9)) END AS delay FROM events",
     "link_top_domains": """
         SELECT page, domain, links FROM (
             SELECT o_custkey AS page, o_custkey % 10 + 1 AS own, 's' || l_suppkey || '.test' AS domain, l_suppkey, count(*) AS links, min(l_orderkey * 10 + l_linenumber) AS place
