@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from . import history
 
 
 def latest(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -72,19 +73,20 @@ def batches(pages: DataFrame) -> DataFrame:
 def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column, least: int = rules.BREAKER_FAILURES) -> DataFrame:
     """Runs of at least `least` consecutive failures of a key: first and last place and length.
 
-    A run is told by the number of successes before it, so one window over the key's events and one grouping do.
+    A run is told by the number of successes before it, counted by day and within days. order[0] is the time.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    told = events.select(key, *order, failed.alias("_failed")).withColumn("_good", F.sum(F.when(F.col("_failed"), 0).otherwise(1)).over(w))
+    good = F.sum(F.when(F.col("_failed"), 0).otherwise(1))
+    told = history.with_earlier(events.select(key, *order, failed.alias("_failed")), key, order[0], good, F.sum)
+    told = told.withColumn("_good", F.coalesce(history.EARLIER, F.lit(0)) + good.over(Window.partitionBy(history.PLACE).orderBy(*order)))
     runs = told.where("_failed").groupBy(key, "_good").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("failures"))
     return runs.where(F.col("failures") >= least).drop("_good")
 
 
 def new_sessions(events: DataFrame, key: str, at: str, seconds: int = rules.SESSION_SECONDS) -> DataFrame:
     """Events that found their key's session expired, or none."""
-    w = Window.partitionBy(key).orderBy(at)
-    before = F.lag(at).over(w)
-    return events.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(at) > F.col("_before") + F.expr(f"INTERVAL {seconds} SECONDS"))).drop("_before")
+    told = history.with_earlier(events, key, at, F.max(at), F.last)
+    told = told.withColumn("_before", F.coalesce(F.lag(at).over(Window.partitionBy(history.PLACE).orderBy(at)), history.EARLIER))
+    return told.where(F.col("_before").isNull() | (F.col(at) > F.col("_before") + F.expr(f"INTERVAL {seconds} SECONDS"))).select(events.columns)
 
 
 def guarded(calls: DataFrame, key: str, order: list[str], failed: Column, least: int = rules.BREAKER_FAILURES, seconds: int = rules.BREAKER_SECONDS) -> DataFrame:

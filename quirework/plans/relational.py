@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import history
 from .tables import table
 
 
@@ -39,11 +40,11 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last sign-up at or before each purchase of a user: both in one ordered window, so no pairs are made."""
-    e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'purchase')")
-    w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "signup", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w)
-    return e.withColumn("signup_id", last).where("event_type = 'purchase'").select("event_id", "signup_id")
+    """The last sign-up at or before each purchase of a user: both in one ordered history, so no pairs are made."""
+    signup = F.col("event_type") == "signup"
+    e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'purchase')").select("event_id", "user_id", "ts", "event_type", F.when(signup, 0).otherwise(1).alias("turn"))
+    out = history.filled(e, "user_id", ["ts", "turn", "event_id"], F.when(signup, F.col("event_id")), "signup_id")
+    return out.where("event_type = 'purchase'").select("event_id", "signup_id")
 
 
 def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
