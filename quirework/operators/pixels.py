@@ -1,7 +1,8 @@
 """Image conversion: one pass over images after their native plan.
 
-PNG is read and written here with zlib and numpy. Other formats need codecs that are not installed: a caller who has one hands it to converted(),
-else they become rows with an error, as do corrupt images: a bad image never fails a task. Alpha is laid over white for formats without it.
+PNG is read and written here with zlib and numpy. Spark's image source reads JPEG, GIF, BMP, TIFF and every kind of PNG: readable() takes its rows.
+To write other formats needs codecs that are not installed: a caller who has one hands it to converted(), else they become rows with an error,
+as do corrupt images: a bad image never fails a task. Alpha is laid over white for formats without it.
 """
 
 from __future__ import annotations
@@ -91,6 +92,28 @@ def encode_png(pixels: np.ndarray, level: int = 6) -> bytes:
     return _MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, level)) + chunk(b"IEND", b"")
 
 
+def readable(images: DataFrame) -> DataFrame:
+    """filename and content for converted(), as PNG, of the rows of Spark's image source (read.format("image"), without dropInvalid), whatever their format.
+
+    Where the source could not read an image, content is empty, and so becomes a row with an error. The source decodes an image whole, in the JVM.
+    """
+    flat = images.select(F.element_at(F.split("image.origin", "/"), -1).alias("filename"), "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            contents = []
+            for r in part.itertuples():
+                if r.height > 0:
+                    n = r.nChannels
+                    order = [2, 1, 0, 3][:n] if n > 1 else [0]  # the source gives blue first
+                    contents.append(encode_png(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, n)[:, :, order], 1))
+                else:
+                    contents.append(b"")
+            yield pd.DataFrame({"filename": part["filename"], "content": contents})
+
+    return flat.mapInPandas(run, "filename string, content binary")
+
+
 def over_white(pixels: np.ndarray) -> np.ndarray:
     """Colours laid over white by their alpha, truncated; images without alpha as they are."""
     if pixels.shape[2] not in (2, 4):

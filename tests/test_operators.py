@@ -186,3 +186,25 @@ def test_callers_bring_codecs(spark):
     assert "unsupported image" in rows["c.gif"].error
     back = {r.filename: r for r in pixels.converted(files, "png", codecs={"JPEG": codec}).collect()}
     assert pixels.decode_png(bytes(back["b.jpg"].content)).ravel().tolist() == list(b"abc")
+
+
+def test_formats_of_the_image_source(spark, tmp_path):
+    """JPEG, BMP, GIF, TIFF and PNG files written by the JVM, and one that is no image."""
+    jvm = spark._jvm
+    kinds = ["jpg", "bmp", "gif", "tiff", "png"]
+    for kind in kinds:
+        image = jvm.java.awt.image.BufferedImage(8, 5, 1)
+        for x in range(8):
+            for y in range(5):
+                image.setRGB(x, y, 0xC86432)
+        assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(f"{tmp_path}/one.{kind}"))
+    (tmp_path / "none.jpg").write_bytes(b"\xff\xd8 no image")
+    out = pixels.converted(pixels.readable(spark.read.format("image").load(str(tmp_path))), "png", width=4).collect()
+    found = {r.filename: r for r in out}
+    assert set(found) == {f"one.{k}" for k in kinds} | {"none.jpg"}
+    assert found["none.jpg"].error and found["none.jpg"].content is None
+    for kind in kinds:
+        r = found[f"one.{kind}"]
+        assert r.error is None and (r.width, r.height, r.name) == (4, 2, "one.png")
+        shown = pixels.decode_png(bytes(r.content))
+        assert np.abs(shown.astype(int) - [200, 100, 50]).max() <= 8, kind
