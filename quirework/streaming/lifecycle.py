@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import rules
 from ..operators.jobs import latest, live_status
+from ..shared import shared_dir
 
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = 16) -> DataFrame:
@@ -48,10 +49,7 @@ def without_repeats(events: DataFrame, key: str = "event_id", late: str | None =
 def replayed(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """All that a bounded stream gives, written by the executors to the folder named by spark.checkpoint.dir and read again."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{shared.rstrip('/')}/quirework/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quirework/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, step: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/all" if mode == "complete" else f"{path}/out/step={step}")

@@ -208,3 +208,19 @@ def test_formats_of_the_image_source(spark, tmp_path):
         assert r.error is None and (r.width, r.height, r.name) == (4, 2, "one.png")
         shown = pixels.decode_png(bytes(r.content))
         assert np.abs(shown.astype(int) - [200, 100, 50]).max() <= 8, kind
+
+
+def test_shared_folder(spark):
+    """A local session without spark.checkpoint.dir gets one folder for all; a cluster without one fails."""
+    from types import SimpleNamespace
+
+    from quirework.shared import shared_dir
+
+    def session(master, named=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, otherwise: named), sparkContext=SimpleNamespace(master=master))
+
+    local = session("local[4]")
+    assert shared_dir(local) == shared_dir(local)
+    assert shared_dir(session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077"))
