@@ -7,10 +7,13 @@ agree in at least `agree` of their number, whichever words were substituted. No
 such that each choice of substituted words that leaves enough agreement leaves all words of some mask alone (covers()). Masks for
 short items are used only where the benchmark has such items.
 
+Hits of a document and an item are gathered as the set of their diagonals, each of which is scored once, by a running count: in time that is linear in the item.
+
 Benchmarks are small against corpora, but that is checked: up to `broadcast_rows` seeds the hashes are broadcast and the texts
-are never shuffled; beyond it the hashes are joined by a shuffle, and only hit documents come back for their words.
+are never shuffled; beyond it the hashes are joined by a shuffle. Hits return to the words of their documents in the same way: broadcast up to that number, else by a shuffle.
 
-Everything is made of DataFrame functions. Defined results: null and empty texts overlap nothing; items of fewer than
+Everything is made of DataFrame functions. Defined results: null and empty texts overlap nothing; very long texts and items are worked through whole; of equally good
+places the first is named; other columns, whatever they are called, are never read by overlaps() and kept by decontaminate(); items of fewer than
 `least_words` words are too short to tell and are skipped; repeated items count once, under their smallest id; rows of one
 document id give one row for each item; rows without an id are reported under null and kept by decontaminate(); empty tables
 give no rows.
@@ -66,12 +69,27 @@ def _seeds(words: Column, masks: list[str]) -> Column:
 
 
 def _run(doc: Column, item: Column, shift: Column, window: int) -> Column:
-    """Agreeing words in the best window of the aligned words of an item at places shift, shift + 1, ... of doc."""
+    """Agreeing words in the best window of the aligned words of an item at places shift, shift + 1, ... of doc: a running count along the diagonal."""
     low, high = F.greatest(F.lit(0), -shift), F.least(F.size(item), F.size(doc) - shift)
-    same = F.array_join(F.transform(F.sequence(low, high - 1), lambda j: F.when(F.get(item, j) == F.get(doc, j + shift), "1").otherwise("0")), "")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), high - low - window + 1))
-    best = F.transform(F.array(same), lambda s: F.array_max(F.transform(starts, lambda i: F.length(F.replace(F.substr(s, i, F.lit(window)), F.lit("0"), F.lit(""))))))[0]
-    return F.when(high > low, best).otherwise(0)
+    same = lambda j: F.when(F.get(item, j) == F.get(doc, j + shift), 1).otherwise(0)  # noqa: E731  0 outside of either
+
+    def step(x: Column, j: Column) -> Column:
+        now = x["now"] + same(j) - same(j - window)
+        return F.when(x["best"] >= window, x).otherwise(F.struct(now.alias("now"), F.greatest(x["best"], now).alias("best")))
+
+    run = F.reduce(F.sequence(low, high - 1), F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), step, lambda x: x["best"])
+    return F.when(high > low, run).otherwise(0)
+
+
+def _best(doc: Column, item: Column, shifts: Column, window: int) -> Column:
+    """shift and matched of the diagonal that agrees most, the first of them; behind one that agrees wholly no other is looked at."""
+    whole = F.least(F.size(item), F.lit(window))
+
+    def step(x: Column, shift: Column) -> Column:
+        better = F.transform(F.array(_run(doc, item, shift, window)), lambda m: F.when(m > x["matched"], F.struct(shift.alias("shift"), m.alias("matched"))).otherwise(x))[0]
+        return F.when(x["matched"] >= whole, x).otherwise(better)
+
+    return F.reduce(shifts, F.struct(F.lit(0).alias("shift"), F.lit(0).alias("matched")), step)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, agree: float = 0.8, least_words: int = 8, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -94,17 +112,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, agree: flo
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     # With the seeds as a plain column, the explosion and the broadcast join are one generated loop that never copies the words.
     # The outer forms keep the optimizer from inferring filters, below which all words would be split again for each seed.
-    found = words.withColumn("seeds", _seeds(F.col("words"), masks)).select("doc_id", "words", F.explode_outer("seeds").alias("s"))
-    found = found.withColumn("hash", F.explode_outer(F.array(*[F.col(f"s.h{k}") for k in range(len(masks))])))
-    if seeds.count() <= broadcast_rows:
-        hits = found.join(F.broadcast(seeds), "hash").select("doc_id", "words", "item_id", (F.col("s.at") - F.col("item_at")).alias("shift"))
-        hits = hits.join(F.broadcast(items), "item_id")
-    else:
-        near = found.select("doc_id", F.col("s.at").alias("at"), "hash").join(seeds, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-        near = near.withColumnRenamed("doc_id", "hit_id")
-        hits = words.join(near, F.col("doc_id").eqNullSafe(F.col("hit_id"))).join(items, "item_id")
-    score = F.struct("shift", _run(F.col("words"), F.col("item"), F.col("shift"), window).alias("matched"), needed.alias("needed"))
-    matched = hits.select("doc_id", "item_id", F.explode_outer(F.filter(F.array(score), lambda x: x["matched"] >= x["needed"])).alias("b")).where("b IS NOT NULL")
+    found = words.withColumn("seeds", _seeds(F.col("words"), masks)).select("doc_id", F.explode_outer("seeds").alias("s"))
+    found = found.select("doc_id", F.col("s.at").alias("at"), F.explode_outer(F.array(*[F.col(f"s.h{k}") for k in range(len(masks))])).alias("hash"))
+    small = seeds.count() <= broadcast_rows
+    met = found.join(F.broadcast(seeds) if small else seeds, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+    # However many seeds meet along a diagonal, it is scored once. Its numbers are those of places in two texts.
+    near = written(met.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts")), "near").withColumnRenamed("doc_id", "hit_id")
+    few = near.agg(F.coalesce(F.sum(F.size("shifts") + 4), F.lit(0))).first()[0] <= broadcast_rows
+    hits = words.join(F.broadcast(near) if few else near, F.col("doc_id").eqNullSafe(F.col("hit_id"))).join(F.broadcast(items) if small else items, "item_id")
+    matched = hits.select("doc_id", "item_id", _best(F.col("words"), F.col("item"), F.col("shifts"), window).alias("b"), needed.alias("needed"))
+    # As one element of a list, a score is computed once, not again for each use.
+    matched = matched.select("doc_id", "item_id", F.explode_outer(F.filter(F.array(F.struct("b.shift", "b.matched", "needed")), lambda x: x["matched"] >= x["needed"])).alias("b")).where("b IS NOT NULL")
     best = matched.groupBy("doc_id", "item_id").agg(F.max_by("b", F.struct("b.matched", -F.col("b.shift"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.shift").alias("at"), F.col("b.matched").alias("matched"), F.col("b.needed").alias("needed"))
 
