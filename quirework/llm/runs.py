@@ -102,7 +102,7 @@ class Classes:
 
 
 def runs(symbols: np.ndarray, limits: np.ndarray, least_words: int = 6, power: int = 4) -> list[tuple[int, int, int]]:
-    """(start, length, smallest period) of all runs. symbols: a small number for each place, with marks that stand nowhere else between texts.
+    """(start, length, smallest period) of all runs. symbols: a number for each place, from 0 without gaps, with marks that stand nowhere else between texts.
 
     limits: the largest period that is looked for around each place. The order is that of periods, then of starts.
     """
