@@ -95,7 +95,7 @@ def _judged(pages: DataFrame, rules: DataFrame, default: str, **options: int) ->
     """pages (url and whatever else) with `_host`, `_path`, `_rule` and `_verdict`."""
     addresses = parsed(pages.select("url").where("contains(url, '://')").distinct())
     best = written(fitting(addresses, rules, **options), "verdicts").select(F.col("url").alias("_url"), F.col("rule").alias("_rule"), F.col("verdict").alias("_verdict"))
-    out = pages.join(best, F.col("url") == F.col("_url"), "left").drop("_url")
+    out = pages.join(best.hint("merge"), F.col("url") == F.col("_url"), "left").drop("_url")
     return out.withColumns({"_host": host_of(F.col("url")), "_path": path_of(F.col("url")), "_verdict": F.coalesce("_verdict", F.lit(default))})
 
 
