@@ -3,10 +3,10 @@
 import pytest
 
 from oracle import connected, same_rows
-from quirework.plans import media, pages, relational, stores
+from quirework.plans import media, pages, relational, stores, streams
 
-QUERIES = pages.QUERIES | stores.QUERIES | media.QUERIES | relational.QUERIES
-SQL = pages.SQL | stores.SQL | media.SQL | relational.SQL
+QUERIES = pages.QUERIES | stores.QUERIES | media.QUERIES | relational.QUERIES | streams.QUERIES
+SQL = pages.SQL | stores.SQL | media.SQL | relational.SQL | streams.SQL
 
 
 @pytest.fixture(scope="module")
