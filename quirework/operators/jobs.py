@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,41 +86,6 @@ def new_sessions(events: DataFrame, key: str, at: str, seconds: int = rules.SESS
     return told.where(F.col("_before").isNull() | (F.col(at) > F.col("_before") + F.expr(f"INTERVAL {seconds} SECONDS"))).select(events.columns)
 
 
-def guarded(calls: DataFrame, key: str, order: list[str], failed: Column, least: int = rules.BREAKER_FAILURES, seconds: int = rules.BREAKER_SECONDS) -> DataFrame:
-    """What a circuit breaker of each key does with its calls: key, the columns of order, outcome (refused, failed, passed) and is_open after the call.
-
-    `least` failures in a row open it; for `seconds` from then on calls are refused; the next one is a probe, whose failure opens it again and whose
-    success closes it. order[0] is the time of a call; calls without one come first and are long past; a null `failed` is no failure, null keys share
-    a breaker. What a call meets depends on all calls before it, so a key's calls go through one task in order: Spark sorts them (spilling where it
-    must) and they stream by in Arrow batches, of which only the breaker's own state is carried on.
-    """
-    long_past = -(1 << 62)
-    rows = calls.select(key, *order, F.to_json(F.struct(key)).alias("_key"), F.coalesce(F.unix_micros(F.col(order[0]).cast("timestamp")), F.lit(long_past)).alias("_at"), F.coalesce(failed, F.lit(False)).alias("_failed"))
-    schema = calls.select(key, *order).schema.add("outcome", "string").add("is_open", "boolean")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_key, failures, opened = None, 0, None
-        for batch in batches:
-            outcomes, opens = [], []
-            for k, at, bad in zip(*(batch.column(c).to_pylist() for c in ("_key", "_at", "_failed")), strict=True):
-                if k != at_key:
-                    at_key, failures, opened = k, 0, None
-                if opened is not None and at < opened + seconds * 1_000_000:
-                    outcomes.append("refused")
-                elif bad:
-                    failures += 1
-                    opened = at if failures >= least else opened
-                    outcomes.append("failed")
-                else:
-                    failures, opened = 0, None
-                    outcomes.append("passed")
-                opens.append(opened is not None)
-            kept = [batch.column(c) for c in (key, *order)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(outcomes, pa.string()), pa.array(opens, pa.bool_())], [key, *order, "outcome", "is_open"])
-
-    return rows.repartition("_key").sortWithinPartitions("_key", *order).mapInArrow(run, schema)
-
-
 def live_status(total: Column, done: Column, ok: Column) -> Column:
     """Status of a batch under way: pending before its first page, running before its last, then as batch_status."""
     return F.when(done == 0, "pending").when(done < total, "running").otherwise(batch_status(done, ok))

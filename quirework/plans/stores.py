@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text, urls
-from ..operators import jobs, views
+from ..operators import breaker, jobs, views
 from ..streaming import lifecycle
 from .tables import table
 
@@ -127,7 +127,7 @@ def stream_job_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as call targets, errors as failed calls: two in a row open a breaker for a day, as events are hours apart."""
-    calls = jobs.guarded(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", 2, 86_400)
+    calls = breaker.guarded(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", 2, 86_400)
     return calls.select("user_id", "event_id", "outcome", "is_open")
 
 

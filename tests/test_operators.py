@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import signals, text, urls
-from quirework.operators import jobs, pixels
+from quirework.operators import breaker, jobs, pixels
 from quirework.operators.insights import insights
 from quirework.operators.parse import calls_to_action, parsed, walked
 from quirework.plans.pages import HTML
@@ -163,15 +163,15 @@ def test_streams_of_many_shuffled_files(spark, sf_dir, tmp_path):
 def test_breaker_on_odd_calls(spark):
     rows = [(k, t, n, bad) for n, (k, t, bad) in enumerate([("a", 0, True), ("a", 1, True), ("a", 30, False), ("a", 31, False), ("a", 32, True), ("a", 33, None), ("a", 34, True), (None, 0, True), (None, 1, True), ("b", 2, True), ("b", None, True)])]
     calls = spark.createDataFrame(rows, "k string, t int, n int, bad boolean").select("k", F.timestamp_seconds("t").alias("ts"), "n", "bad")
-    got = {r.n: (r.outcome, r.is_open) for r in jobs.guarded(calls, "k", ["ts", "n"], F.col("bad"), 2, 30).collect()}
+    got = {r.n: (r.outcome, r.is_open) for r in breaker.guarded(calls, "k", ["ts", "n"], F.col("bad"), 2, 30).collect()}
     first = [("failed", False), ("failed", True), ("refused", True), ("passed", False), ("failed", False), ("passed", False), ("failed", False)]
     assert [got[n] for n in range(7)] == first and got[8] == ("failed", True) and got[10] == ("failed", False) and got[9] == ("failed", True)
-    assert jobs.guarded(calls.limit(0), "k", ["ts", "n"], F.col("bad")).count() == 0
+    assert breaker.guarded(calls.limit(0), "k", ["ts", "n"], F.col("bad")).count() == 0
 
 
 def test_failed_probe_opens_again(spark):
     calls = spark.createDataFrame([(1, t, bad) for t, bad in ((0, True), (1, True), (31, True), (60, False), (61, False))], "k int, t int, bad boolean").select("k", F.timestamp_seconds("t").alias("ts"), "bad")
-    assert [r.outcome for r in jobs.guarded(calls, "k", ["ts"], F.col("bad"), 2, 30).orderBy("ts").collect()] == ["failed", "failed", "failed", "refused", "passed"]
+    assert [r.outcome for r in breaker.guarded(calls, "k", ["ts"], F.col("bad"), 2, 30).orderBy("ts").collect()] == ["failed", "failed", "failed", "refused", "passed"]
 
 
 def test_callers_bring_codecs(spark):
