@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,8 @@ from .. import rules
 from ..functions import text, urls
 from ..operators import breaker, jobs, views
 from ..streaming import lifecycle
+from ..streaming.replay import Replay, with_end
+from .streams import DELAY, arriving
 from .tables import table
 
 BATCHES = (
@@ -104,16 +104,19 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.replayed(lifecycle.daily_counts(lifecycle.event_stream(spark, sf_dir), lifecycle.whole_span(spark, sf_dir)), f"daily_{uuid.uuid4().hex}", "complete")
+    """Days are given once, when the watermark has passed them; state holds the days that late events can still change."""
+    rows = with_end(arriving(spark, sf_dir).select("event_type", "ts", "step"), "ts", "30 DAYS")
+    return Replay(rows, "daily").all_steps(lambda stream, _: lifecycle.daily_counts(stream, f"{DELAY} seconds"))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.replayed(lifecycle.user_sessions(lifecycle.event_stream(spark, sf_dir), late=lifecycle.whole_span(spark, sf_dir)), f"sessions_{uuid.uuid4().hex}", "complete")
+    rows = with_end(arriving(spark, sf_dir).select("user_id", "ts", "step"), "ts", "30 DAYS")
+    return Replay(rows, "sessions").all_steps(lambda stream, _: lifecycle.user_sessions(stream, late=f"{DELAY} seconds"))
 
 
 def stream_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lifecycle.without_repeats(lifecycle.event_stream(spark, sf_dir), late=None).select("event_id", "event_type")
-    return lifecycle.replayed(e, f"distinct_{uuid.uuid4().hex}", "append")
+    return lifecycle.replayed(e, "distinct")
 
 
 def stream_job_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +124,7 @@ def stream_job_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.create_map(*[F.lit(x) for p in (("signup", "pending"), ("view", "running"), ("purchase", "completed"), ("error", "failed")) for x in p])
     e = lifecycle.event_stream(spark, sf_dir, max_files=None).where("event_type <> 'click'")
     e = e.select(F.col("user_id").cast("string").alias("job_id"), F.element_at(status, F.col("event_type")).alias("status"), "ts")
-    moves = lifecycle.replayed(lifecycle.job_states(e), f"moves_{uuid.uuid4().hex}", "append")
+    moves = lifecycle.replayed(lifecycle.job_states(e), "moves")
     return moves.select("job_id", "status", F.unix_micros("ts").alias("ts_us"))
 
 
@@ -136,13 +139,13 @@ def stream_batch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lifecycle.event_stream(spark, sf_dir).select(
         F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("batch_id"), F.lit(3).alias("total"), F.when(F.col("event_type") != "signup", F.col("event_type") != "error").alias("ok")
     )
-    return lifecycle.replayed(lifecycle.batch_states(e), f"batches_{uuid.uuid4().hex}", "complete")
+    return jobs.latest(lifecycle.replayed(lifecycle.batch_states(e), "batches", "update"), "batch_id", ["step"]).select("batch_id", "done", "ok", "status")
 
 
 def stream_session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases as saves of their user's session, which lives for twelve hours."""
-    saves = lifecycle.event_stream(spark, sf_dir).where("event_type = 'purchase'").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("state"), "ts")
-    lives = lifecycle.replayed(lifecycle.session_states(saves, "12 hours", lifecycle.whole_span(spark, sf_dir)), f"states_{uuid.uuid4().hex}", "complete")
+    saves = arriving(spark, sf_dir).where("event_type = 'purchase'").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("state"), "ts", "step")
+    lives = Replay(with_end(saves, "ts", "30 DAYS"), "states").all_steps(lambda stream, _: lifecycle.session_states(stream, "12 hours", f"{DELAY} seconds"))
     return lives.select("session_id", "state", "saves", F.unix_micros("expires_at").alias("expires_us"))
 
 

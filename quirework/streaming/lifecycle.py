@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import rules
 from ..operators.jobs import latest, live_status
@@ -26,13 +27,6 @@ def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = 16) -
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def whole_span(spark: SparkSession, sf_dir: str) -> str:
-    """The lateness that covers all of events: no order of its files makes a row late."""
-    ts = F.col("ts").cast("timestamp")
-    days = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.ceil((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 86_400_000_000)).first()[0]
-    return f"{(days or 0) + 1} days"
-
-
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
@@ -46,16 +40,17 @@ def without_repeats(events: DataFrame, key: str = "event_id", late: str | None =
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if late else events.dropDuplicates([key])
 
 
-def replayed(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that a bounded stream gives, written by the executors to the folder named by spark.checkpoint.dir and read again."""
+def replayed(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that a bounded stream gives, written by the executors to the folder named by spark.checkpoint.dir and read again. In update mode the rows that a
+    step changed, beside its number (`step`): the newest of each key are the result, and no step writes what it didn't change."""
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/quirework/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, step: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/all" if mode == "complete" else f"{path}/out/step={step}")
+        (batch.withColumn("step", F.lit(step)) if mode == "update" else batch).write.mode("overwrite").parquet(f"{path}/out/batch={step}")
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
+    return spark.read.schema(StructType([*stream.schema, StructField("step", IntegerType())]) if mode == "update" else stream.schema).parquet(f"{path}/out/*")
 
 
 #: Status to the statuses it may move to.

@@ -33,6 +33,12 @@ def arrival_step(at: Column, delay_seconds: Column, low: int, width: int) -> Col
     return F.floor((F.unix_micros(at.cast("timestamp")) + delay_seconds * 1_000_000 - low) / width).cast("int")
 
 
+def with_end(rows: DataFrame, at: str, after: str) -> DataFrame:
+    """rows and, a step later, one that is null but for its time, so long after all others: watermarks pass them, and a bounded stream gives all its results."""
+    last = rows.agg((F.max("step") + 1).alias("step"), (F.max(at) + F.expr(f"INTERVAL {after}")).alias(at)).where("step IS NOT NULL")
+    return rows.unionByName(last, allowMissingColumns=True)
+
+
 @dataclass
 class Replay:
     """A stream over what has arrived so far, and its results.
@@ -78,7 +84,7 @@ class Replay:
         self.progress.extend(p for p in query.recentProgress if p["numInputRows"])
 
     def results(self, schema: StructType) -> DataFrame:
-        return self.rows.sparkSession.read.schema(schema).parquet(f"{self.path}/out")
+        return self.rows.sparkSession.read.schema(schema).parquet(f"{self.path}/out/*")
 
     def all_steps(self, plan: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
         """The results of plan(stream, step) when step after step has arrived."""
