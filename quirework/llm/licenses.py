@@ -2,7 +2,8 @@ r"""License scans by ordered signature rules.
 
 Text becomes a line of lower-case words (runs of digits, a-z and characters beyond ASCII) between single blanks. A rule is a
 regular expression over such a line with a label, a priority and a keyword. Sentences of notices, grants, exceptions and choices of licenses are rules by
-themselves; names of licenses in four kinds of context (an SPDX line, a grant, a reference to terms, a bare mention) give the others. A text goes on only if a cheap
+themselves; names and identifiers of licenses in six kinds of context (an SPDX line, a line of metadata, grants
+by name and by identifier, a reference to terms, a bare mention) give the others. A text goes on only if a cheap
 expression finds what every name needs or a notice's keyword, and a rule is tried only where its own keyword stands; no match of a rule fails either. Detections contained in a longer one, or in an equal one of higher
 priority, are suppressed; of partial overlaps the detection of lower priority goes.
 
@@ -14,6 +15,7 @@ rows; very long texts are scanned whole, by patterns that repeat no group withou
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +30,7 @@ NAMES = r"""
 mit | mit|expat | (?:the )?(?:mit|expat)(?: x11)?(?: style)? licen[sc]e | mit
 mit-0 | mit | (?:the )?mit no attribution licen[sc]e | mit 0
 x11 | x11 | (?:the )?x11 licen[sc]e | x11
-apache-2 | apache | (?:the )?apache (?:software )?licen[sc]e(?: v| version)? ?2(?: 0)? | apache 2 0
+apache-2 | apache | (?:the )?apache (?:software )?licen[sc]e(?: v| version)? ?2(?: 0)? | apache(?: v| version)? ?2(?: 0)?
 apache-1.1 | apache | (?:the )?apache (?:software )?licen[sc]e(?: version)? 1 1 | apache 1 1
 apache-1.0 | apache | (?:the )?apache (?:software )?licen[sc]e(?: version)? 1 0 | apache 1 0
 gpl-3 | g(?:pl|nu|eneral) | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?:v)?3(?: 0)?(?: of the licen[sc]e)?(?: only)? | gpl 3 0(?: only)?
@@ -46,7 +48,7 @@ agpl | a(?:gpl|ffero) | (?:the )?gnu (?:affero general public licen[sc]e|agpl) |
 gfdl | g?fdl|documentation | (?:the )?gnu free documentation licen[sc]e(?: version 1 [0-9])? | gfdl 1 [0-9](?: only| or later)?
 bsd-3 | bsd | (?:the )?(?:3 clause|three clause|new|modified|revised) bsd licen[sc]e | bsd 3 clause
 bsd-3 | bsd | (?:the )?bsd 3 clause(?: new| modified| revised)?(?: licen[sc]e)? | bsd 3 clause clear
-bsd-2 | bsd | (?:the )?(?:(?:2 clause|two clause|simplified|freebsd) bsd|bsd (?:2|two) clause) licen[sc]e | bsd 2 clause
+bsd-2 | bsd | (?:the )?(?:(?:2 clause|two clause|simplified|freebsd) bsd licen[sc]e|bsd (?:2|two) clause(?: licen[sc]e)?) | bsd 2 clause
 bsd-4 | bsd | (?:the )?(?:(?:4 clause|four clause|original) bsd|bsd (?:4|four) clause) licen[sc]e | bsd 4 clause
 bsd-0 | 0?bsd | (?:the )?(?:zero clause bsd|bsd zero clause|0bsd) licen[sc]e | 0bsd
 bsd | bsd | (?:the |a )?bsd(?: style| type)? licen[sc]e | bsd
@@ -69,7 +71,7 @@ libpng | (?:lib)?png | (?:the )?(?:lib)?png licen[sc]e | libpng(?: 2 0)?
 boost-1 | boost|bsl | (?:the )?boost software licen[sc]e(?: version| v)?(?: 1(?: 0)?)? | bsl 1 0
 unlicense | unlicense | (?:the )?unlicense | unlicense
 wtfpl | wtfpl|what | (?:the )?(?:wtfpl|do what the f[a-z]* you want to public licen[sc]e) | wtfpl
-public-domain | domain|cc pddc | (?:in|into|to) the public domain | cc pddc
+public-domain | domain|cc pddc | (?:(?:in|into|to) the )?public domain | (?:cc pddc|public domain)
 cc0-1 | cc0|zero | (?:the )?(?:creative commons (?:cc0|zero)|cc0)(?: 1 0)?(?: universal)? | cc0 1 0
 cc-by-4 | cc|commons | (?:the )?(?:creative commons attribution|cc by) 4 0(?: international)? | cc by 4 0
 cc-by-3 | cc|commons | (?:the )?(?:creative commons attribution|cc by) 3 0(?: unported)? | cc by 3 0
@@ -106,7 +108,7 @@ blueoak-1 | blue | (?:the )?blue oak model licen[sc]e(?: 1 0 0)? | blueoak 1 0 0
 mulan-2 | mulan | (?:the )?mulan (?:psl|permissive software licen[sc]e)(?: v2| version 2) | mulanpsl 2 0
 elastic-2 | elastic | (?:the )?elastic licen[sc]e(?: 2 0)? | elastic 2 0
 sspl-1 | sspl|server | (?:the )?(?:server side public licen[sc]e|sspl)(?: v?1)? | sspl 1 0
-busl-1.1 | busl|business | (?:the )?(?:business source licen[sc]e|busl)(?: 1 1)? | busl 1 1
+busl-1.1 | bu?sl|business | (?:the )?(?:(?:business source licen[sc]e|busl)(?: 1 1)?|bsl 1 1) | bu?sl 1 1
 openrail | open ?rail | (?:the )?(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)? | openrail(?: m)?
 all-rights-reserved | reserved | all rights reserved | all rights reserved
 proprietary | proprietary | (?:proprietary and confidential|proprietary licen[sc]e) | licenseref proprietary
@@ -123,7 +125,7 @@ bsd | redistribution and use | redistribution and use in source and binary forms
 bsd-3 | neither the name | neither the name(?: [^ ]+){0,12} nor the names of(?: [^ ]+){1,4} contributors may be used to endorse or promote products
 bsd-4 | advertising materials mentioning | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 bsd-2 | this list of conditions | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
-apache-2 | you may not use this file | you may not use this file except in compliance with the licen[sc]e
+apache-2 | use this file except | you may not use this file except in compliance with the licen[sc]e
 apache-2 | unless required by applicable law | unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis
 apache-1.1 | this product includes software | this product includes software developed by the apache (?:software foundation|group)
 gnu-notice | free software | this (?:program|library|file|package|software) is free software you can redistribute it and or modify it
@@ -158,8 +160,11 @@ bison-exception-2.2 | bison exception | (?:with (?:the )?)?bison exception(?: 2
 font-exception-2 | font exception | (?:with (?:the )?)?font exception(?: 2 0)?
 llvm-exception | llvm exception | (?:with (?:the )?)?llvm exceptions?
 mit-or-apache-2 | either of | under either of(?: the)? (?:apache licen[sc]e version 2 0|mit licen[sc]e) or(?: the)? (?:mit licen[sc]e|apache licen[sc]e version 2 0) at your option
-mit-or-apache-2 | mit or apache | mit or apache 2 0
-mit-or-apache-2 | apache 2 0 or mit | apache 2 0 or mit
+mit-or-apache-2 | mit (?:or )?apache | mit (?:or )?apache 2(?: 0)?
+mit-or-apache-2 | mit licen[sc]e or | mit licen[sc]e or(?: the)? apache licen[sc]e(?: version)? 2(?: 0)?
+mit-or-apache-2 | apache 2 | apache 2(?: 0)?(?: or)? mit
+mit-or-gpl | gpl | gpl(?: v?[23])?(?: 0)?(?: only| or later)? or mit
+mit-or-gpl | mit or gpl | mit or gpl(?: v?[23])?
 mit-or-gpl | dual licen[sc]ed | dual licen[sc]ed under(?: the)? mit (?:and|or) gpl(?: v?[23])?(?: licen[sc]es?)?
 proprietary | unauthori[sz]ed copying | unauthori[sz]ed copying of this (?:file|software|document) via any medium is strictly prohibited
 proprietary | trade secrets? of | contains(?: confidential information and)? trade secrets? of
@@ -173,6 +178,8 @@ NOTICE_PRIORITY, NOTICE_SURE = 5, 0.98
 CONTEXTS = (
     (4, 1.0, "spdx licen[sc]e identifier {id}"),
     (3, 0.95, "(?:licen[sc]ed|released|distributed|available|published|provided|covered|dual licen[sc]ed) (?:under|by|with) (?:the terms (?:of|and conditions of) )?(?:the )?{name}"),
+    (3, 0.95, "(?:dual )?licen[sc]ed under(?: the)?(?: terms of)?(?: the)? {id}"),
+    (3, 0.9, "licen[sc]es?(?: osi approved| id| name| type| expression| key| file| text| is)? {id}"),
     (2, 0.9, "(?:under|subject to|pursuant to|in accordance with)(?: the)? (?:terms|conditions|provisions)(?: and conditions)? of {name}"),
     (1, 0.6, "{name}"),
 )
@@ -186,12 +193,30 @@ def _notices() -> list[list[str]]:
 #: What a text must hold to go on: something of every name and identifier, or a notice's keyword. Most places fail at their first letter; abbreviations
 #: stand as words, or before a version.
 STEM = (
-    rf"(?i)(?=[lscgprowmbeau])(?:licen[sc]|spdx|cc{_GAP}by|cc0|gpl|public{_GAP}domain|rights{_GAP}reserved|creative{_GAP}commons|open(?:{_GAP})?rail|proprietary|odbl|pddl|wtfpl|ms{_GAP}[pr]l|bsd{_GAP}3"
-    rf"|(?<![0-9A-Za-z])(?:(?:[me]pl|eupl|cddl|[oa]fl|osl|ecl|upl|sspl|busl)(?![a-uw-z])|mulan{_GAP}psl|odc{_GAP}by))"
+    rf"(?i)(?=[lscgprowmbeau])(?:licen[sc]|spdx|cc{_GAP}by|cc0|gpl|public{_GAP}domain|rights{_GAP}reserved|creative{_GAP}commons|open(?:{_GAP})?rail|proprietary|odbl|pddl|wtfpl|ms{_GAP}[pr]l|bsd{_GAP}[23t]"
+    rf"|(?<![0-9A-Za-z])(?:(?:[me]pl|eupl|cddl|[oa]fl|osl|ecl|upl|sspl|bu?sl)(?![a-uw-z])|mulan{_GAP}psl|odc{_GAP}by))"
     + "|(?<![0-9A-Za-z])(?:" + "|".join(k.replace(" ?", f"(?:{_GAP})?").replace(" ", _GAP) for k in dict.fromkeys(k for _, k, _ in _notices())) + ")"
 )
 
 
+def _literal(keyword: str) -> str:
+    """The longest word that whatever a keyword's expression matches holds, without what is optional or a choice."""
+    plain = re.sub(r"\([^)]*\)\??|\[[^]]*\]|.\?|[^a-z]", " ", keyword)
+    return max(plain.split(), key=lambda w: (w != "mit", len(w)))
+
+
+#: Each text that STEM matches holds one of the words, in some case, or what SHORT matches: names too short or too common in other words for a plain search.
+WORDS = sorted({"licen", "spdx", "gpl", "domain", "reserved", "creative", "rail", "proprietary", "odbl", "pddl", "wtfpl", *(_literal(k) for _, k, _ in _notices())})
+WORDS = [w for w in WORDS if not any(x in w for x in WORDS if x != w)]
+SHORT = rf"(?i)(?=[cmbeouas])(?:cc{_GAP}by|cc0|ms{_GAP}[pr]l|bsd{_GAP}[23t]|(?<![0-9A-Za-z])(?:(?:[me]pl|eupl|cddl|[oa]fl|osl|ecl|upl|sspl|bu?sl)(?![a-uw-z])|mulan{_GAP}psl|odc{_GAP}by))"
+
+
+def goes_on(text: Column) -> Column:
+    """Whether a text holds something of a rule: plain words are searched for first, STEM only where one of them stands."""
+    low = F.transform(F.array(F.lower(text)), lambda t: reduce(lambda a, b: a | b, (t.contains(w) for w in WORDS)))[0]
+    return (low | text.rlike(SHORT)) & text.rlike(STEM)
+
+
 def rules() -> list[tuple[str, int, float, str, str]]:
     """(label, priority, confidence, keyword expression, pattern) in order of precedence."""
     out = [(label, NOTICE_PRIORITY, NOTICE_SURE, f" (?:{keyword})", f" (?:{pattern})(?= )") for label, keyword, pattern in _notices()]
@@ -253,7 +278,7 @@ def unsuppressed(found: Column) -> Column:
 def scan(docs: DataFrame, into: str = "licenses") -> DataFrame:
     """docs with a column (it replaces one of that name): n_words, the line of texts that go on (else null) and the detections that stand."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.size(F.array_remove(F.split(text, _RAW_GAP), "")).cast("long").alias("n_words"), F.when(text.rlike(STEM), line_of(text)).alias("line"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.size(F.array_remove(F.split(text, _RAW_GAP), "")).cast("long").alias("n_words"), F.when(goes_on(text), line_of(text)).alias("line"))
     found = F.when(F.col("line").isNotNull(), unsuppressed(detections(F.col("line"))))
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != into], F.struct("n_words", "line", found.alias("found")).alias(into))
 

@@ -167,6 +167,16 @@ def test_licenses_named_by_few_words(spark):
     assert got == list(texts.values())
 
 
+def test_licenses_of_metadata_and_choices(spark):
+    texts = {
+        "License: MIT": "mit", 'license = "Apache-2.0"': "apache-2", '"license": "ISC",': "isc", "Licensed under Apache 2.0": "apache-2", "MIT/Apache-2.0": "mit-or-apache-2", "Apache-2.0/MIT": "mit-or-apache-2", "BSL 1.1": "busl-1.1", "public-domain": "public-domain",
+        "License :: OSI Approved :: MIT License": "mit", "license='BSD-3-Clause'": "bsd-3", "licence: GPL-2.0-only": "gpl-2", "Licensed under the MIT": "mit", "LICENSE = Unlicense": "unlicense", "license: MIT OR GPL-2.0": "mit-or-gpl", "license_file: CC-BY-4.0": "cc-by-4", "BSD 2-Clause": "bsd-2",
+        "the license fee": "", "her driver license": "", "licensed under duress": "", "Apache helicopters": "", "mit der Lizenz": "", "a public house, domain of one": "", "license to drive 2.0": "",
+    }
+    got = {r.doc_id: r.labels for r in licenses.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert dict(zip(texts, (got[i] for i in range(len(texts))), strict=True)) == texts
+
+
 def test_licenses_against_plain_rules(spark):
     """A text for each rule, and texts of several: labels are those of all rules tried everywhere without any gate, suppressed by plain loops."""
     import re

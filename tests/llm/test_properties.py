@@ -96,6 +96,13 @@ def spelled(tree):
     return out
 
 
+def at_gate(stem, text):
+    """Both halves of the gate: plain words or short names, then the expression."""
+    import re
+
+    return (any(w in text.lower() for w in licenses.WORDS) or re.search(licenses.SHORT, text)) and stem.search(text)
+
+
 def test_no_license_rule_is_lost_at_a_gate():
     """Every spelling of every name and identifier, written with blanks and with hyphens and capitals."""
     import re
@@ -109,7 +116,7 @@ def test_no_license_rule_is_lost_at_a_gate():
             n += 1
             assert keyword.search(f" {text} "), (label, text)
             for raw in (text, text.upper().replace(" ", "-"), f"é {text}."):
-                assert stem.search("SPDX-License-Identifier: " + raw if spdx_line else raw), (label, raw)
+                assert at_gate(stem, "SPDX-License-Identifier: " + raw if spdx_line else raw), (label, raw)
     assert n > 1000
 
 
@@ -123,5 +130,5 @@ def test_no_notice_is_lost_at_a_gate():
         for text in spelled(_parser.parse(pattern)):
             n += 1
             assert re.search(f" (?:{keyword})", f" {text} "), (label, text)
-            assert stem.search(text.upper().replace(" ", "  - ")) and stem.search(f"({text})"), (label, text)
+            assert at_gate(stem, text.upper().replace(" ", "  - ")) and at_gate(stem, f"({text})"), (label, text)
     assert n > 100
