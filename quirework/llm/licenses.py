@@ -15,6 +15,7 @@ rows; very long texts are scanned whole, by patterns that repeat no group withou
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -252,9 +253,11 @@ def _spans(line: Column, matches: Column) -> Column:
 def detections(line: Column) -> Column:
     """All matches of all rules whose keyword is in the line, as (first, end, priority, rank, label, sure)."""
     ordered = list(enumerate(rules()))
-    literal = lambda k, r: F.struct(F.lit(k).alias("rank"), F.lit(r[0]).alias("label"), F.lit(r[1]).alias("priority"), F.lit(r[2]).alias("sure"), F.lit(r[4]).alias("pattern"))
-    by_keyword = [F.struct(F.lit(w).alias("keyword"), F.array(*[literal(k, r) for k, r in ordered if r[3] == w]).alias("rules")) for w in dict.fromkeys(r[3] for _, r in ordered)]
-    ready = F.flatten(F.transform(F.filter(F.array(*by_keyword), lambda g: F.rlike(line, g["keyword"])), lambda g: g["rules"]))
+    rule = lambda k, r: {"rank": k, "label": r[0], "priority": r[1], "sure": r[2], "pattern": r[4]}
+    by_keyword = [{"keyword": w, "rules": [rule(k, r) for k, r in ordered if r[3] == w]} for w in dict.fromkeys(r[3] for _, r in ordered)]
+    # One constant, however many rules there are: an expression for each of their fields would take the planner seconds.
+    table = F.from_json(F.lit(json.dumps(by_keyword)), "array<struct<keyword:string,rules:array<struct<rank:int,label:string,priority:int,sure:double,pattern:string>>>>")
+    ready = F.flatten(F.transform(F.filter(table, lambda g: F.rlike(line, g["keyword"])), lambda g: g["rules"]))
     found = lambda r: F.transform(
         _spans(line, F.regexp_extract_all(line, r["pattern"], F.lit(0))),
         lambda s: F.struct(s["first"].alias("first"), (-s["end"]).alias("back"), (-r["priority"]).alias("order"), r["rank"].alias("rank"), r["label"].alias("label"), r["sure"].alias("sure")),
