@@ -2,8 +2,9 @@
 
 One regular expression, with an alternative for each type, finds e-mail addresses, IPv4 and IPv6 addresses, payment cards and
 account numbers (IBAN), both with valid check digits, national numbers of the form 3-2-4, telephone numbers, named secrets and passwords, access keys of a
-known form, and titled names. An entity's canonical form decides its surrogate: addresses without case, digits without layout, name words one by one. So one
-person or number reads the same everywhere, and the original layout and case are laid over the surrogate.
+known form, bearer tokens, and titled names. The name words of a titled person take the same stand-ins wherever else they stand alone in that text. An entity's canonical form decides its surrogate: addresses without case, digits without layout, name words one by one. So one
+person or number reads the same everywhere, and the original layout and case are laid over the surrogate. Telephone numbers keep their country code and toll-free
+codes, addresses of private networks their network; numbers of versions are none. count_into counts entities, not later mentions of a name.
 
 The expression runs over each text once: rows are written with their entities. The distinct canonical forms of the corpus are gathered from that table, and it is
 checked that no two share a surrogate and that no surrogate is itself someone's real value; the losers of a collision move to their next attempt, in a space that
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-_MALE, _FEMALE, _OPEN = "Mr|Herr|Monsieur|Señor|Sr|Signor|г-н|κ\\.", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Srta|Sra|Signora|г-жа|κα", "Dr|Prof"
+_MALE, _FEMALE, _OPEN = "Mr|Herr|Monsieur|Señor|Sr|Signor|MR|[гГ]-н|[κΚ]\\.", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Srta|Sra|Signora|MRS|[гГ]-жа|[κΚ]α", "Dr|Prof"
 _TITLE = f"(?:{_MALE}|{_FEMALE}|{_OPEN})"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -37,20 +38,29 @@ _HEX = r"[0-9A-Fa-f]{1,4}"
 #: Alternatives in order of precedence at one place. What is cheap and fails at most places comes first in each.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "key": r"(?=[Asprgxe])(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}|[spr]k[-_](?:live_|test_|proj-)?[A-Za-z0-9]{16,}(?![A-Za-z0-9])|gh[opsru]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|xox[abprs]-[A-Za-z0-9-]{10,})",
     "secret": rf"(?<=[:= \"'])(?:(?=[+/_-]*[A-Za-z0-9])(?=[A-Za-z0-9+/_-]{{16}})(?<=(?i:{_NAMED})[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?)[A-Za-z0-9+/_-]{{16,}}"
     rf"|(?=[^\s\"',;]*\d)(?=[^\s\"',;]*\p{{L}})(?<=(?i:passwd|password|pwd)[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?)[^\s\"',;]{{6,}})",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip6": rf"(?=[0-9A-Fa-f:]{{0,4}}:)(?<![\p{{L}}\d:.])(?=[A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\d:])",
-    "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "phone": r"(?=[+(\d])(?<![\p{L}\d.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})|(?=\+(?:[ .-]?\d){7,15}(?![ .-]?\d))\+\d{1,3}(?:[ .-]\d{1,8}){2,6}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\+\d{9,14}|(?=0(?:[ .-]?\d){8,11}(?![ .-]?\d))(?!\d\d[ .-]\d\d[ .-]\d{4}(?!\d))0\d{1,4}(?:(?<by>[ .-])\d{2,4}(?:\k<by>\d{2,4}){1,4}|[ -]\d{6,8})|(?=\d{3}[ .-]\d{4})(?<=(?i:tel|phone|fax|mobile|call)[.:]? {1,2})\d{3}[ .-]\d{4})(?![\p{L}\d-])",
-    "person": rf"(?=[MHDPSFгкκ])(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: {_NAME})?",
+    "ip": rf"(?=\d)(?<![\d.])(?<!(?i:version|release|build|ver|\bv)[ .:]{{0,2}})(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ssn": r"(?=\d)(?:(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<=(?i:ssn|social security number)[:# ]{1,3})\d{3} \d{2} \d{4}(?!\d))",
+    "card": r"(?<!\d)(?:(?!00)\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
+    "phone": r"(?=[+(\d])(?<![\p{L}\d.+-])(?:(?:\+\d{1,3}[ .-]?|1[ .-])?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})|(?=\+(?:[ .-]?\d){7,15}(?![ .-]?\d))\+\d{1,3}(?:[ .-]\d{1,8}){2,6}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\+\d{9,14}|00[1-9]\d{8,12}(?!\d)|(?=00[1-9](?:[ .-]?\d){8,12}(?![ .-]?\d))00\d{1,3}(?:[ .-]\d{1,8}){2,6}|(?=0(?:[ .-]?\d){8,11}(?![ .-]?\d))(?!\d\d[ .-]\d\d[ .-]\d{4}(?!\d))0\d{1,4}(?:(?<by>[ .-])\d{2,4}(?:\k<by>\d{2,4}){1,4}|[ -]\d{6,8})|(?=\d{3}[ .-]\d{4})(?<=(?i:tel|phone|fax|mobile|call)[.:]? {1,2})\d{3}[ .-]\d{4})(?![\p{L}\d-])",
+    "person": rf"(?=[MHDPSFгГκΚ])(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: {_NAME})?",
 }
+#: What keys of a known form begin with and keep.
+_KEY_HEAD = "A[KS]IA|eyJ|[spr]k[-_](?:live_|test_|proj-)?|gh[opsru]_|xox[abprs]-"
+#: What numbers keep besides their length. Telephones: a country code, a leading 1 or 0, toll-free codes. Addresses: the octets of a private network.
+#: Country codes of one and two digits (others have three), toll-free codes, private networks.
+_CODES = "[17]|2[07]|3[0123469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+_TOLL_FREE = "8(?:00|33|44|55|66|77|88)"
+_PHONE_HEAD = rf"^(?:\+(?:{_CODES}|\d{{3}})|1?{_TOLL_FREE}(?=\d{{7}}$)|1(?=\d{{10}}$)|0)"
+_PRIVATE = r"^(?:10|127|192\.168|172(?=\.(?:1[6-9]|2\d|3[01])\.))\."
+_PUBLIC = [n for n in range(1, 224) if n not in (10, 127, 172, 192)]
 #: Group 1 is a secret, whose form may be that of another type.
 ANY = "|".join(f"({p})" if kind == "secret" else f"(?:{p})" for kind, p in PATTERNS.items())
-_GATE_TITLE = rf"(?=[MHDPSFгкκ])(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}"
+_GATE_TITLE = rf"(?=[MHDPSFгГκΚ])(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}"
 
 
 def may_hold(text: Column) -> Column:
@@ -72,14 +82,14 @@ def kind_of(m: Column) -> Column:
     """The type of a match of ANY, or null where it is no entity after all."""
     return (
         F.when(m.contains("@"), "email")
-        .when(m.rlike("^A[KS]IA[A-Z0-9]{16}$"), "key")
+        .when(m.rlike(rf"^(?:{_KEY_HEAD})"), "key")
         .when(m.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip6")
         .when(m.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{10,}$"), F.when(_mod97(F.concat(F.substr(_bare(m), F.lit(5)), F.substr(m, F.lit(1), F.lit(4)))) == 1, "iban"))
         .when(m.rlike(rf"^{_TITLE}\.? \p{{Lu}}"), "person")
         .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike(r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})$"), F.when(F.call_function("luhn_check", _digits(m)), "card"))
-        .when(m.rlike(r"^[+(\d][\d ().+-]*\d$") & m.rlike(r"[ ().+-]"), "phone")
+        .when(m.rlike(r"^\d{3}([ -])\d{2}\1\d{4}$"), "ssn")
+        .when(m.rlike(r"^(?!00)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})$"), F.when(F.call_function("luhn_check", _digits(m)), "card"))
+        .when(m.rlike(r"^[+(\d][\d ().+-]*\d$") & m.rlike(r"[ ().+-]|^00"), "phone")
         .otherwise("secret")
     )
 
@@ -117,7 +127,9 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def canonical(m: Column, kind: Column) -> Column:
     """The entities of a match of a kind as (kind, canon); empty where it is none."""
-    plain = F.when(kind.isin("email", "ip6"), F.lower(m)).when(kind.isin("card", "phone", "ssn"), _digits(m)).when(kind == "iban", _bare(m)).otherwise(m)
+    # A number with a country code is one number whether it is written with + or 00; +1 is written or left out.
+    abroad = F.when(m.rlike(r"^(?:\+(?!1)|00[2-9])"), F.concat(F.lit("+"), F.regexp_replace(_digits(m), "^00", ""))).otherwise(F.regexp_replace(_digits(m), "^001(?=[0-9]{10}$)", "1"))
+    plain = F.when(kind.isin("email", "ip6"), F.lower(m)).when(kind == "phone", abroad).when(kind.isin("card", "ssn"), _digits(m)).when(kind == "iban", _bare(m)).otherwise(m)
     none = F.array().cast("array<struct<kind:string,canon:string>>")
     return F.when(kind.isNull(), none).when(kind == "person", _name_parts(m)).otherwise(F.array(F.struct(kind.alias("kind"), plain.alias("canon"))))
 
@@ -190,19 +202,33 @@ def _name(kind: Column, canon: Column, h: Column, attempt: Column) -> Column:
     return F.when(canon.rlike(r"^\p{IsCyrillic}"), word("cyrillic")).when(canon.rlike(r"^\p{IsGreek}"), word("greek")).otherwise(word("latin"))
 
 
+def _head(kind: Column, canon: Column) -> Column:
+    """What the stand-in of a number begins with, as the number does."""
+    return F.when(kind == "phone", F.regexp_extract(canon, _PHONE_HEAD, 0)).when(kind == "ip", F.regexp_extract(canon, _PRIVATE, 0)).otherwise("")
+
+
+def _octets(head: Column, n: list[Column]) -> Column:
+    """What follows a head of an address: of no network a public first octet, of 172 one of the private second ones, then octets from 1 to 254."""
+    public, other = F.array(*map(F.lit, _PUBLIC)), [(x % 254 + 1).cast("string") for x in n]
+    first = F.get(public, (n[0] % len(_PUBLIC)).cast("int")).cast("string")
+    return (
+        F.when(head == "", F.concat_ws(".", first, *other[1:])).when(head == "172.", F.concat_ws(".", (n[1] % 16 + 16).cast("string"), *other[2:]))
+        .when(head == "192.168.", F.concat_ws(".", *other[2:])).otherwise(F.concat_ws(".", *other[1:]))
+    )
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form that stands in for (kind, canon) at an attempt."""
     def of(h: Column) -> Column:
-        ip = F.concat_ws(".", *[(_number(h, i, 254) + 1).cast("string") for i in range(4)])
+        ip = _let(_head(kind, canon), lambda head: F.concat(head, _octets(head, [_number(h, i, 1 << 16) for i in range(4)])))
         ip6 = F.concat_ws(":", F.lit("2001:db8"), *[F.lower(F.substr(h, F.lit(1 + 4 * k), F.lit(4))) for k in range(6)])  # addresses for documentation
-        led = canon.rlike("^1[0-9]{10}$") | ((kind == "phone") & canon.startswith("0"))
-        number = F.when(led, F.concat(F.substr(canon, F.lit(1), F.lit(1)), _shaped(F.substr(canon, F.lit(2), F.length(canon) - 1), h))).otherwise(_shaped(canon, h))
+        number = _let(_head(kind, canon), lambda head: F.concat(head, _shaped(F.substr(canon, F.length(head) + 1), h)))
         longer = attempt - 3
         secret = F.when(canon.rlike("^[0-9a-fA-F]+$"), F.concat(_shaped(canon, h, 6), _more(longer, h, 6))).otherwise(F.concat(_shaped(canon, h), _more(longer, h)))
         return (
             F.when(kind == "email", _email(canon, h, key, attempt)).when(kind == "card", _card(canon, h)).when(kind == "ip", ip)
             .when(kind.isin("phone", "ssn"), number).when(kind == "secret", secret).when(kind == "iban", _account(canon, h)).when(kind == "ip6", ip6)
-            .when(kind == "key", F.concat(F.substr(canon, F.lit(1), F.lit(4)), _shaped(F.substr(canon, F.lit(5)), h))).otherwise(_name(kind, canon, h, attempt))
+            .when(kind == "key", _let(F.regexp_extract(canon, f"^(?:{_KEY_HEAD})", 0), lambda head: F.concat(head, _shaped(F.substr(canon, F.length(head) + 1), h)))).otherwise(_name(kind, canon, h, attempt))
         )
 
     return _let(F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), canon), 512), of)
@@ -220,21 +246,47 @@ def _cased(original: Column, word: Column) -> Column:
     return F.concat_ws("@", *[like(F.substring_index(original, "@", k), F.substring_index(word, "@", k)) for k in (1, -1)])
 
 
+def _dialled(m: Column, number: Column) -> Column:
+    """The digits of a number in the way m writes it: behind 00, a + or neither."""
+    return _let(_digits(number), lambda d: F.when(m.startswith("00") & (number.startswith("+") | d.startswith("1")), F.concat(F.lit("00"), d)).otherwise(d))
+
+
+def _stand_in(part: Column, moves: Column | None, key: str) -> Column:
+    """What stands in for an entity (kind, canon)."""
+    first = surrogate(part["kind"], part["canon"], F.lit(0), key)
+    return first if moves is None else F.coalesce(F.try_element_at(moves, F.concat_ws("|", part["kind"], part["canon"])), first)
+
+
+def _persons(found: Column, moves: Column | None, key: str) -> Column:
+    """(word, stand_in) of the name words of all titled names of a text, as they are written there."""
+    def words(e: Column) -> Column:
+        written_as = F.slice(F.split(e["m"], " "), F.lit(2), F.size(e["parts"]))
+        return F.zip_with(written_as, e["parts"], lambda w, part: F.struct(w.alias("word"), F.initcap(_stand_in(part, moves, key)).alias("stand_in")))
+
+    return F.flatten(F.transform(F.filter(found, lambda e: e["kind"] == "person"), words))
+
+
+def _with_mentions(segment: Column, persons: Column) -> Column:
+    """Text between entities, with the name words of the text's titled persons replaced where they stand alone, a possessive s aside."""
+    def mention(token: Column) -> Column:
+        own = F.regexp_replace(token, "['’]s$", "")
+        return _let(F.filter(persons, lambda p: p["word"] == own), lambda hit: F.when(F.size(hit) > 0, F.concat(F.get(hit, F.lit(0))["stand_in"], F.regexp_extract(token, "['’]s$", 0))).otherwise(token))
+
+    tokens = F.regexp_extract_all(segment, F.lit(r"[\p{L}\p{M}'’-]+|[^\p{L}\p{M}'’-]+"), F.lit(0))
+    return F.when(F.exists(persons, lambda p: F.contains(segment, p["word"])), F.array_join(F.transform(tokens, mention), "")).otherwise(segment)
+
+
 def _rendered(e: Column, moves: Column | None, key: str) -> Column:
     """What stands in the text for an element of entities()."""
-    def of(part: Column) -> Column:
-        first = surrogate(part["kind"], part["canon"], F.lit(0), key)
-        return first if moves is None else F.coalesce(F.try_element_at(moves, F.concat_ws("|", part["kind"], part["canon"])), first)
-
     m, kind = e["m"], e["kind"]
 
     def laid(new: Column) -> Column:
         return (
             F.when(kind == "person", F.concat_ws(" ", F.substring_index(m, " ", 1), F.array_join(F.transform(new, lambda w: F.initcap(w)), " ")))
-            .when(kind == "email", _cased(m, new[0])).when(kind.isin("card", "phone", "ssn"), _laid(m, new[0])).when(kind == "iban", _laid(m, new[0], "[A-Z0-9]")).otherwise(new[0])
+            .when(kind == "email", _cased(m, new[0])).when(kind == "phone", _laid(m, _dialled(m, new[0]))).when(kind.isin("card", "ssn"), _laid(m, new[0])).when(kind == "iban", _laid(m, new[0], "[A-Z0-9]")).otherwise(new[0])
         )
 
-    return F.when(kind.isNull(), m).otherwise(_let(F.transform(e["parts"], of), laid))
+    return F.when(kind.isNull(), m).otherwise(_let(F.transform(e["parts"], lambda part: _stand_in(part, moves, key)), laid))
 
 
 #: Kinds whose stand-ins keep their length.
@@ -242,17 +294,24 @@ _NUMBERS = ("card", "ip", "phone", "ssn")
 
 
 def _form(kind: Column, canon: Column) -> Column:
-    """What a stand-in of a number keeps besides its kind: its length, and a leading 0 or, of eleven digits, 1."""
-    return F.when(kind == "ip", "ip").otherwise(F.concat(F.length(canon).cast("string"), F.when((kind == "phone") & canon.rlike("^1[0-9]{10}$"), "+1").when((kind == "phone") & canon.startswith("0"), "+0").otherwise("")))
+    """What a stand-in of a number keeps besides its kind: its length and what it begins with."""
+    return F.concat(F.when(kind == "ip", "").otherwise(F.length(canon).cast("string")), F.lit("|"), _head(kind, canon))
 
 
 def _nth(kind: str, form: str, n: Column) -> tuple[Column, int]:
     """The n-th value of a form, and how many there are."""
+    length, head = form.split("|")
     if kind == "ip":
-        return F.concat_ws(".", *[(F.floor(n / 254**k) % 254 + 1).cast("string") for k in (3, 2, 1, 0)]), 254**4
-    length = int(form.split("+")[0])
-    head, tail = ("4", 1) if kind == "card" else (form[-1], 0) if "+" in form else ("", 0)
-    free = length - len(head) - tail
+        sizes = {"": [len(_PUBLIC), 254, 254, 254], "172.": [1, 16, 254, 254], "192.168.": [1, 1, 254, 254]}.get(head, [1, 254, 254, 254])
+        digits, rest = [], n
+        for size in reversed(sizes):
+            digits.insert(0, rest % size)
+            rest = F.floor(rest / size)
+        return F.concat(F.lit(head), _octets(F.lit(head), digits)), sizes[0] * sizes[1] * sizes[2] * sizes[3]
+    tail = 0
+    if kind == "card":
+        head, tail = "4", 1
+    free = int(length) - len(head) - tail
     body = F.concat(F.lit(head), F.lpad(n.cast("string"), free, "0"))
     if kind == "card":
         body = _let(body, lambda b: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(b, d.cast("string"))), lambda x: F.call_function("luhn_check", x))[0])
@@ -336,13 +395,17 @@ def replace_entities(docs: DataFrame, key: str | None = None, count_into: str |
     exceptions = moved(rows, key)
     text, found, moves = F.col("row.text"), F.col("found"), None
     if exceptions is not None:
-        hit = rows.select(F.col("row.doc_id").alias("doc_id"), F.explode(F.flatten(F.transform(found, lambda e: e["parts"]))).alias("e")).select("doc_id", "e.*").distinct()
-        by_doc = hit.join(exceptions, ["kind", "canon"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "stand_in"))).alias("moves"))
-        rows = rows.join(by_doc, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+        # Rows that share an id, or have none, are told apart by their text, so what meets in one row is bounded by a text.
+        rows = rows.withColumn("_text", F.xxhash64("row.text"))
+        hit = rows.select(F.col("row.doc_id").alias("_doc"), F.col("_text").alias("_of"), F.explode(F.flatten(F.transform(found, lambda e: e["parts"]))).alias("e")).select("_doc", "_of", "e.*").distinct()
+        by_doc = hit.join(exceptions, ["kind", "canon"]).groupBy("_doc", "_of").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "stand_in"))).alias("moves"))
+        rows = rows.join(by_doc, F.col("row.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_of")), "left")
         moves = F.col("moves")
     stand_ins = F.concat(F.transform(found, lambda e: _rendered(e, moves, key)), F.array(F.lit("")))
-    parts = F.zip_with(F.split(text, ANY, -1), stand_ins, lambda s, m: F.concat(s, m))
-    new = F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)
+    joined = lambda segments: F.array_join(F.zip_with(segments, stand_ins, lambda s, m: F.concat(s, m)), "")
+    segments = F.split(text, ANY, -1)
+    named = _let(_persons(found, moves, key), lambda persons: joined(F.transform(segments, lambda s: _with_mentions(s, persons))))
+    new = F.when(F.exists(found, lambda e: e["kind"] == "person"), named).when(F.size(found) > 0, joined(segments)).otherwise(text)
     columns = [new.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != count_into]
     count = F.coalesce(F.size(F.filter(found, lambda e: e["kind"].isNotNull())), F.lit(0))
     return rows.select(*columns, *([count.alias(count_into)] if count_into else []))
