@@ -9,7 +9,10 @@
 4. In groups of several blocks, classes that this joined to the group's main component need no further comparison with each
    other. The open ones are dealt to blocks of their own, which meet all blocks of the group. Thus every pair in a bucket is
    compared or known to be in one component, and a group is sent once for each block of open classes, not for each of its blocks.
-5. Components of the joined classes, by joins, then hand back to every document.
+5. Where open classes fill more than `most_open` blocks, as those of texts that share a long passage and nothing else do, groups first fall into finer ones, without loss: two sets
+   of the needed similarity share one of the first n - ceil(threshold * n) + 1 shingles of either, in any common order. The order puts shingles last that
+   many classes of a block hold, so texts meet by what is their own. Steps 2 to 4 then go on with these buckets instead of those of bands.
+6. Components of the joined classes, by joins, then hand back to every document.
 
 Two documents are linked if 100 * |intersection| >= 100 * threshold * |union|. With 128 values in bands of four, a pair at
 0.75 shares no band with a probability of 5e-6, a pair at 0.8 of 5e-8.
@@ -191,10 +194,11 @@ def _forest(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(int(ids[find(i)]), int(ids[i])) for i in range(len(ids)) if find(i) != i]
 
 
-def _joined(blocks: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that span what each block joins. blocks: block, side (0 or 1), rep, print_a, shingles.
+def _joined(blocks: DataFrame, threshold: float, common: float | None = None) -> DataFrame:
+    """Links (a, b) that span what each block joins; hub is null. blocks: block, side (0 or 1), rep, print_a, shingles.
 
-    A block with one side is compared within itself, one with two sides across.
+    A block with one side is compared within itself, one with two sides across. With `common`, and a column n_blocks, blocks of groups of several also tell the shingles that
+    at least that share of their classes holds: a is the shingle, b the number of classes, hub the group.
     """
     percent = round(100 * threshold)
 
@@ -206,16 +210,46 @@ def _joined(blocks: DataFrame, threshold: float) -> DataFrame:
         first = np.flatnonzero(side == 0)
         second = np.flatnonzero(side == 1) if (side == 1).any() else first
         if len(first) and len(second):
-            common = _overlaps([sets[i] for i in first], [sets[i] for i in second])
-            union = sizes[first][:, None] + sizes[second][None, :] - common
-            x, y = np.nonzero((100 * common >= percent * union) & (union > 0))
+            both = _overlaps([sets[i] for i in first], [sets[i] for i in second])
+            union = sizes[first][:, None] + sizes[second][None, :] - both
+            x, y = np.nonzero((100 * both >= percent * union) & (union > 0))
             pairs = np.stack([first[x], second[y]], 1)
             links = _forest(ids, pairs[pairs[:, 0] != pairs[:, 1]])
         else:
             links = []
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        out = pd.DataFrame(links, columns=["a", "b"], dtype="int64").assign(hub=pd.array([pd.NA] * len(links), "Int64"))
+        if common is None or rows["n_blocks"].iloc[0] == 1:
+            return out
+        values, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n >= max(2, common * len(sets))
+        told = pd.DataFrame({"a": values[often].view(np.int64), "b": n[often].astype(np.int64)}).assign(hub=pd.array([int(rows["hub"].iloc[0])] * int(often.sum()), "Int64"))
+        return pd.concat([out, told]) if len(out) else told
 
-    return blocks.groupBy("block").applyInPandas(run, "a long, b long")
+    return blocks.groupBy("block").applyInPandas(run, "a long, b long, hub long")
+
+
+def _prefixes(rows: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """(hub, shingle, rep, print_a, n_shingles, open): of each class the shingles of which any set of the needed similarity must share one.
+
+    rows: block, hub, rep, print_a, n_shingles, open, shingles; common: block, shingle, n. Shingles come in the order of n (0 for those not in common), then of their value.
+    """
+    percent = round(100 * threshold)
+
+    def run(rows: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
+        values = often["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+        turn = np.argsort(values)
+        values, counts = values[turn], often["n"].to_numpy()[turn]
+        parts = []
+        for shingles in rows["shingles"]:
+            own = np.frombuffer(shingles, np.uint64)
+            at = np.minimum(np.searchsorted(values, own), max(len(values) - 1, 0))
+            n = np.where(values[at] == own, counts[at], 0) if len(values) else np.zeros(len(own), np.int64)
+            parts.append(own[np.argsort(n, kind="stable")[: len(own) - -(-percent * len(own) // 100) + 1]])
+        sizes = [len(x) for x in parts]
+        out = rows[["hub", "rep", "print_a", "n_shingles", "open"]].loc[rows.index.repeat(sizes)]
+        return out.assign(shingle=np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
+
+    return rows.groupBy("block").cogroup(common.groupBy("block")).applyInPandas(run, "hub long, rep long, print_a long, n_shingles long, open boolean, shingle long")
 
 
 def _sized(member: DataFrame, by: list[str], block_rows: int, block_shingles: int, name: str = "n_blocks") -> DataFrame:
@@ -224,13 +258,11 @@ def _sized(member: DataFrame, by: list[str], block_rows: int, block_shingles: in
     return groups.select(*by, F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_shingles)).cast("int").alias(name))
 
 
-def _across(large: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
-    """Blocks of two sides for groups of several blocks: open classes, dealt anew to as few blocks as hold them, meet every block of their group.
+def _across(large: DataFrame) -> DataFrame:
+    """Blocks of two sides for groups of several blocks (n_blocks, n_open): open classes, dealt anew to as few blocks as hold them, meet every block of their group.
 
     So a group of n classes is sent once for each block of open classes it has, and its open ones once for each of its blocks.
     """
-    opened = written(_sized(large.where("open"), ["hub"], block_rows, block_shingles, "n_open"), "opened")
-    large = large.join(opened, "hub")
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block, again = F.pmod(F.xxhash64("print_a", "rep"), F.col("n_blocks")).cast("int"), F.pmod(F.xxhash64("rep", "print_a"), F.col("n_open")).cast("int")
     left = large.where("open").select("hub", again.alias("i"), "rep", "print_a", other("n_blocks").alias("j"), F.lit(0).alias("side"))
@@ -238,7 +270,16 @@ def _across(large: DataFrame, block_rows: int, block_shingles: int) -> DataFrame
     return left.unionByName(right).select(F.struct("hub", "i", "j").alias("block"), "side", "rep", "print_a")
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.75, size: int = 128, rows: int = 4, block_rows: int = 192, block_shingles: int = 1_000_000, broadcast_ids: int = 2_000_000) -> DataFrame:
+def _members(buckets: DataFrame, by: list[str], where: str = "true") -> DataFrame:
+    """(hub, print_a) of classes in buckets (by, doc_id or rep as id, print_a): a bucket is named by its smallest id, and those of one class are left.
+
+    All rows are shuffled twice: first as minima, for which copies and hot keys combine before, then as key and fingerprint, no more.
+    """
+    named = buckets.groupBy(*by).agg(F.min("id").alias("name"), F.min("print_a").alias("first"), F.max("print_a").alias("last"), F.bool_or(F.expr(where)).alias("wanted")).where("first <> last AND wanted")
+    return buckets.select(*by, "print_a").join(named.select(*by, "name").hint("merge"), by).select(F.col("name").alias("hub"), "print_a").distinct()
+
+
+def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.75, size: int = 128, rows: int = 4, block_rows: int = 192, block_shingles: int = 1_000_000, broadcast_ids: int = 2_000_000, most_open: int = 3, common: float = 0.05) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
     `size` signature values in bands of `rows`. A block has about block_rows classes and block_shingles shingles.
@@ -247,31 +288,59 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.75, si
     docs = docs.select("doc_id", "text")
     signed = written(_signed(docs, ngram, size, rows), "signed")
     classes = written(signed.where("n_shingles > 0").groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep")), "classes")
-    # All rows of bands are shuffled twice: first as minima, for which copies and hot keys combine before, then as key and fingerprint, no more.
-    band = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "print_a", F.explode("bands").alias("key"))
-    buckets = band.groupBy("key").agg(F.min("doc_id").alias("hub"), F.min("print_a").alias("first"), F.max("print_a").alias("last")).where("first <> last").select("key", "hub")
-    member = band.select("key", "print_a").join(buckets.hint("merge"), "key").select("hub", "print_a").distinct()
-    member = written(member.join(classes.where("rep IS NOT NULL").select("print_a", "rep", "n_shingles"), "print_a"), "members")
-    # Grouped sides are written before they are joined: both sides of the joins then are plain shuffles, whose hot keys Spark can split.
-    groups = written(_sized(member, ["hub"], block_rows, block_shingles), "groups")
-    member = written(member.join(groups, "hub"), "grouped")
+    named_classes = classes.where("rep IS NOT NULL").select("print_a", "rep", "n_shingles")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """Full sets of the documents of the ids. Up to a checked number the ids go to the texts, beyond it both are shuffled."""
         ids = written(ids.select(F.col("rep").alias("doc_id")).distinct(), "ids")
         return _sets(docs.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc_id", "left_semi"), ngram)
 
-    block = F.pmod(F.xxhash64("print_a", "rep"), F.col("n_blocks")).cast("int")
-    inside = member.select(F.struct("hub", block.alias("i"), F.lit(-1).alias("j")).alias("block"), F.lit(0).alias("side"), "rep", "print_a")
-    links = written(_joined(inside.join(sets_of(member), ["rep", "print_a"]), threshold), "links")
+    def grouped(member: DataFrame) -> DataFrame:
+        """Classes in groups with n_blocks. Grouped sides are written before they are joined: both sides of the joins then are plain shuffles, whose hot keys Spark can split."""
+        member = written(member, "members")
+        return written(member.join(written(_sized(member, ["hub"], block_rows, block_shingles), "groups"), "hub"), "grouped")
 
-    if not member.where("n_blocks > 1").isEmpty():
+    def inside(member: DataFrame) -> DataFrame:
+        """What the blocks of groups join within themselves, and common shingles of groups of several."""
+        block = F.pmod(F.xxhash64("print_a", "rep"), F.col("n_blocks")).cast("int")
+        blocks = member.select(F.struct("hub", block.alias("i"), F.lit(-1).alias("j")).alias("block"), "hub", "n_blocks", F.lit(0).alias("side"), "rep", "print_a")
+        return written(_joined(blocks.join(sets_of(member), ["rep", "print_a"]), threshold, common), "links")
+
+    def still_open(member: DataFrame, links: DataFrame) -> DataFrame:
+        """Classes in groups of several blocks: open if they aren't in their group's largest component, and the number of blocks that open ones fill."""
         known = components(links).select(F.col("node").alias("rep"), "component")
         large = member.where("n_blocks > 1").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         main = written(large.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "main")
         large = written(large.join(main, "hub").select("hub", "rep", "print_a", "n_shingles", "n_blocks", (F.col("component") != F.col("main")).alias("open")), "large")
-        blocks = written(_across(large, block_rows, block_shingles), "across")
-        links = links.unionByName(written(_joined(blocks.join(sets_of(large), ["rep", "print_a"]), threshold), "links"))
+        return large.join(written(_sized(large.where("open"), ["hub"], block_rows, block_shingles, "n_open"), "opened"), "hub")
+
+    def across(large: DataFrame) -> DataFrame:
+        return written(_joined(written(_across(large), "across").join(sets_of(large), ["rep", "print_a"]), threshold), "links")
+
+    def finer(large: DataFrame, common: DataFrame) -> DataFrame:
+        """Classes in groups of shared prefixes; pairs of classes that aren't open need no comparison, so buckets of such classes alone are left."""
+        block = F.pmod(F.xxhash64("print_a", "rep"), F.col("n_blocks")).cast("int")
+        of = large.select(F.struct("hub", block.alias("i")).alias("block"), "hub", "rep", "print_a", "n_shingles", "open").join(sets_of(large), ["rep", "print_a"])
+        hubs = written(large.select("hub", "n_blocks").distinct(), "hubs")
+        often = written(common.groupBy("hub", "shingle").agg(F.sum("n").alias("n")), "common")
+        often = often.join(hubs, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("i"), "shingle", "n").select(F.struct("hub", "i").alias("block"), "shingle", "n")
+        prefixes = written(_prefixes(of, often, threshold), "prefixes")
+        member = _members(prefixes.select("hub", "shingle", F.col("rep").alias("id"), "print_a", "open"), ["hub", "shingle"], "open")
+        return member.join(named_classes, "print_a")
+
+    band = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "print_a", F.explode("bands").alias("key"))
+    member = grouped(_members(band, ["key"]).join(named_classes, "print_a"))
+    found = inside(member)
+    links = found.where("hub IS NULL").select("a", "b")
+    if not member.where("n_blocks > 1").isEmpty():
+        large = written(still_open(member, links), "open")
+        if not (few := large.where(F.col("n_open") <= most_open)).isEmpty():
+            links = links.unionByName(across(few).select("a", "b"))
+        if not (many := large.where(F.col("n_open") > most_open)).isEmpty():
+            member = grouped(finer(many, found.where("hub IS NOT NULL").select("hub", F.col("a").alias("shingle"), F.col("b").alias("n"))))
+            links = links.unionByName(inside(member).where("hub IS NULL").select("a", "b"))
+            if not member.where("n_blocks > 1").isEmpty():
+                links = links.unionByName(across(written(still_open(member, links), "open")).select("a", "b"))
 
     joined = components(links)
     named = classes.select("rep", "n_shingles", "print_a", "print_b").join(joined, F.col("rep") == F.col("node"), "left")
