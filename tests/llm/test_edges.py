@@ -87,8 +87,8 @@ def test_large_groups_are_sent_in_proportion(spark):
     """Rows sent for the second comparison of one group of many blocks with a few open classes, and all pairs of an open class with another."""
     sent = {}
     for n in (400, 800, 1600):
-        large = spark.range(n).select(F.lit(0).cast("long").alias("hub"), F.col("id").alias("rep"), F.col("id").alias("print_a"), F.lit(10).cast("long").alias("n_shingles"), F.lit(-(-n // 16)).alias("n_blocks"), (F.col("id") % (n // 5) == 0).alias("open"))
-        rows = neardup._across(large, 16, 1000).collect()
+        large = spark.range(n).select(F.lit(0).cast("long").alias("hub"), F.col("id").alias("rep"), F.col("id").alias("print_a"), F.lit(10).cast("long").alias("n_shingles"), F.lit(-(-n // 16)).alias("n_blocks"), (F.col("id") % (n // 5) == 0).alias("open"), F.lit(1).alias("n_open"))
+        rows = neardup._across(large).collect()
         sent[n] = len(rows)
         sides = {}
         for r in rows:
