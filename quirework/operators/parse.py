@@ -1,14 +1,15 @@
 """The one pass over pages that needs a document tree: main text, meta map, links, forms and calls to action.
 
 Everything else about a page is a native column. A page is walked once, in Arrow batches of at most `rules.PAGES_AT_ONCE` pages; a walk keeps the open
-elements only, and a link or button gathers no more text than a call to action may have, so unclosed elements cost no more than closed ones.
+elements only. All text goes to one list, in which an open link or button remembers its beginning, until more follows than a call to action may have: unclosed elements cost no
+more than closed ones, however many there are.
 Defined results: a null page counts as empty; malformed markup is read as far as it goes and never fails.
 Block elements end a line of main text, as layout would; what layout hides is not known.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -32,7 +33,10 @@ class Walk(HTMLParser):
         self.base = base
         self.open: list[tuple[str, int | None, str | None]] = []  # tag, number of what it gathers, place among CONTENT_ORDER
         self.times: Counter[str] = Counter()  # open elements of each tag
-        self.gathering: dict[int, list[str]] = {}
+        self.pieces: list[str] = []
+        self.size = 0  # characters of all pieces
+        self.gathering: dict[int, tuple[int, int]] = {}  # pieces and characters before an open link or button
+        self.oldest: deque[int] = deque()  # what gathers or did, in the order of beginnings
         self.places: list[str] = []  # open places
         self.hidden = 0  # open elements that are pruned
         self.content: dict[str, list[str]] = {}
@@ -40,7 +44,8 @@ class Walk(HTMLParser):
         self.links: dict[str, None] = {}
         self.forms: list[list[str]] = []
         self.form_depth = 0
-        self.actions: list[tuple[list[str], str]] = []
+        self.actions: list[str] = []  # texts of links and buttons, empty where they are too long
+        self.action_classes: list[str] = []
         self.label: list[str] | None = None
         self.label_open: int | None = None
 
@@ -78,7 +83,10 @@ class Walk(HTMLParser):
         gathers: int | None = None
         if tag in ("a", "button"):
             gathers = len(self.actions)
-            self.actions.append((self.gathering.setdefault(gathers, []), " ".join(classes)))
+            self.gathering[gathers] = len(self.pieces), self.size
+            self.oldest.append(gathers)
+            self.actions.append("")
+            self.action_classes.append(" ".join(classes))
         if tag == "label":
             self.label, self.label_open = [], len(self.open)
         place = None
@@ -103,7 +111,8 @@ class Walk(HTMLParser):
         while self.open:
             t, gathers, place = self.open.pop()
             self.times[t] -= 1
-            self.gathering.pop(gathers, None)
+            if gathers in self.gathering:
+                self.actions[gathers] = self._since(self.gathering.pop(gathers)[0])
             if place and place != "-":
                 self.places.remove(place)
             if self.label_open == len(self.open):
@@ -123,15 +132,26 @@ class Walk(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] in ("script", "style"):
             return
-        for k, texts in list(self.gathering.items()):
-            texts.append(data)
-            if sum(map(len, texts)) > rules.LONGEST_ACTION:  # no call to action any more
-                texts.clear()
-                del self.gathering[k]
+        self.pieces.append(data)
+        self.size += len(data)
+        # The oldest have gathered most; those that closed are passed over.
+        while self.oldest and self.size - self.gathering.get(self.oldest[0], (0, self.size - rules.LONGEST_ACTION - 1))[1] > rules.LONGEST_ACTION:
+            self.gathering.pop(self.oldest.popleft(), None)
         if self.label_open is not None:
             self.label.append(data)
         self._text(data)
 
+    def _since(self, piece: int) -> str:
+        return "".join(t.strip() for t in self.pieces[piece:])
+
+    def close(self) -> None:
+        super().close()
+        texts: dict[int, str] = {}
+        for k, (piece, _) in self.gathering.items():
+            if piece not in texts:
+                texts[piece] = self._since(piece)
+            self.actions[k] = texts[piece]
+
     def main_text(self) -> str:
         for place in rules.CONTENT_ORDER:
             text = _laid_out(self.content.get(place, []))
@@ -151,7 +171,7 @@ def walked(html: str | None, url: str | None) -> dict:
     walk.feed(html or "")
     walk.close()
     forms = [{"fields": f, "field_count": len(f), "likely_lead_capture": any(h in x for x in f for h in rules.LEAD_HINTS)} for f in walk.forms if f]
-    actions = [{"text": "".join(t.strip() for t in texts), "classes": classes} for texts, classes in walk.actions]
+    actions = [{"text": text, "classes": classes} for text, classes in zip(walk.actions, walk.action_classes, strict=True)]
     return {"main_text": walk.main_text(), "meta": list(walk.meta.items()), "links": list(walk.links), "forms": forms, "actions": actions}
 
 

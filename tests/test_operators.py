@@ -1,6 +1,7 @@
 """Fixtures for operators: pages, patterns, stores, images."""
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -44,6 +45,18 @@ def test_walk_survives_tag_soup(spark):
     assert df.count() == 3 and df.where("size(links) = 0").count() == 3
 
 
+def test_walk_of_many_unclosed_links():
+    """A hundred thousand open links and buttons take about as long as closed ones; those whose text is too long have none."""
+    began = time.time()
+    w = walked("".join(f"<a class='c{i % 3}'>t{i:06d} " for i in range(100_000)), "")
+    assert time.time() - began < 5 and len(w["actions"]) == 100_000
+    texts = [a["text"] for a in w["actions"]]
+    assert texts[0] == "" and texts[-1] == "t099999" and texts[-2] == "t099998t099999" and sum(t != "" for t in texts) == 62
+    w = walked("<a>" * 50_000 + "Get it" + "</a>" * 10 + "x" * 490 + "y" * 9, "")
+    assert [len(a["text"]) for a in w["actions"][-11:]] == [0] + [6] * 10
+    assert [a["text"] for a in walked("<a>one<button>two</button><script>no</script>three</a>four<a>five", "")["actions"]] == ["onetwothree", "two", "five"]
+
+
 def test_main_text_takes_the_first_long_place():
     long = "word " * 60
     assert walked(f"<article>short</article><main>{long}</main>", "")["main_text"] == long.strip()
