@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text, urls
 from ..operators import breaker, jobs, views
+from ..operators.keyed import KeyedStore
+from ..shared import shared_dir
 from ..streaming import lifecycle
 from ..streaming.replay import Replay, with_end
 from .streams import DELAY, arriving
@@ -149,7 +153,28 @@ def stream_session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lives.select("session_id", "state", "saves", F.unix_micros("expires_at").alias("expires_us"))
 
 
+def store_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as saves of their user's state, errors as deletions, in steps out of order, one of them twice, with a compaction between; of a hundred users at most."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", (F.col("event_type") == "error").alias("deleted"))
+    store = KeyedStore(spark, f"{shared_dir(spark)}/quirework/store-{uuid.uuid4().hex}", e.drop("deleted").schema, "user_id", ["ts", "event_id"], most=100)
+    for step in (2, 0, 3, 2, 1):
+        store.save(e.where(F.col("event_id") % 4 == step))
+        if step == 3:
+            store.compact()
+    return store.state().select("user_id", "event_id", "event_type", _micros("ts").alias("ts_us"))
+
+
+def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders kept by key; the one of the highest key, from its bucket."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey", "o_totalprice")
+    store = KeyedStore(spark, f"{shared_dir(spark)}/quirework/orders-{uuid.uuid4().hex}", o.schema, "o_orderkey", ["o_orderdate"], most=None)
+    store.save(o)
+    store.compact()
+    return store.lookup(o.agg(F.max("o_orderkey")).first()[0]).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 QUERIES = {
+    "store_state": store_state, "store_lookup": store_lookup,
     "circuit_breaker": circuit_breaker, "stream_batch_states": stream_batch_states, "stream_session_states": stream_session_states,
     "batch_status_by_user": batch_status_by_user, "batch_rollup": batch_rollup, "source_lead_union": source_lead_union, "recent_jobs": recent_jobs, "latest_status": latest_status,
     "lru_kept": lru_kept, "ttl_new_sessions": ttl_new_sessions, "unexpired_outputs": unexpired_outputs, "consecutive_failures": consecutive_failures, "orphan_submissions": orphan_submissions,
@@ -159,6 +184,9 @@ QUERIES = {
 _B = "(VALUES ('all', 'completed', ['b@x.y', 'a@x.y'], NULL, ['https://x.com/a'], 1.005), ('all', 'completed', ['a@x.y'], ['1234567'], [], 2.0), ('some', 'completed', ['z@x.y'], [], NULL, 1.0), ('some', 'failed', NULL, NULL, NULL, 0.0), ('some', 'completed', NULL, [], [], 4.25), ('none', 'failed', ['lost@x.y'], NULL, NULL, 0.0)) b(batch_id, status, emails, phones, links, ms)"
 _UNION = "coalesce(array_to_string(list_sort(list_distinct(flatten(list({}) FILTER (status = 'completed' AND {} IS NOT NULL)))), ','), '')"
 SQL = {
+    "store_state": """SELECT user_id, event_id, event_type, epoch_us(ts) AS ts_us FROM (
+        SELECT * FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) ORDER BY ts DESC, event_id DESC, user_id DESC LIMIT 100) WHERE event_type <> 'error'""",
+    "store_lookup": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)",
     "batch_status_by_user": "SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS ok, CASE WHEN count(*) = count(*) FILTER (event_type <> 'error') THEN 'completed' WHEN count(*) FILTER (event_type <> 'error') > 0 THEN 'partial' ELSE 'failed' END AS status FROM events GROUP BY user_id",
     "batch_rollup": f"""SELECT batch_id, count(*) AS total_pages, count(*) FILTER (status = 'completed') AS successful_pages, count(*) FILTER (status <> 'completed') AS failed_pages, round(sum(CAST(ms AS DOUBLE)), 2) AS total_duration_ms,
         CASE WHEN count(*) = count(*) FILTER (status = 'completed') THEN 'completed' WHEN count(*) FILTER (status = 'completed') > 0 THEN 'partial' ELSE 'failed' END AS status,
