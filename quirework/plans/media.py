@@ -1,56 +1,15 @@
-"""Queries over image requests: plans are pure arithmetic, pixels are converted in one pass."""
+"""Queries over image requests: plans are pure arithmetic."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import images
-from ..operators import pixels
 from .tables import table
 
-SIZES = ((1920, 1080, 640, None), (1920, 1080, None, 333), (1920, 1080, 100, 100), (1920, 1080, 1, None), (1920, 1080, None, None), (1920, 1080, 0, 0), (8, 5, 16, None), (8, 5, 8, 5))
 PART_FORMATS = ("jpeg", "JPG", "png", "webp", "avif", "tif", "bmp")
-NAMES = (("my photo (1).JPG", "webp"), ("arch.tar.gz", "webp"), ("héllo.png", "webp"), (".hidden", "webp"), ("plain", "PNG"), ("a.", "png"))
-REQUESTS = ((1, "jpeg", None, 50), (2, "JPG", None, 0), (3, "bmp", None, 50), (4, "png", 100, 50), (5, "png", None, None), (6, "tif", None, 101), (7, "avif", None, -1), (8, "webp", 100, None))
-
-
-def image_quality_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.range(0, 101).select(F.col("id").cast("int").alias("q"), F.explode(F.array(*[F.lit(f) for f, _, _ in rules.QUALITY_RANGES])).alias("fmt"))
-    value = images.mapped_quality(F.col("fmt"), F.col("q"))
-    return q.select("fmt", "q", value.cast("int").alias("quality"))
-
-
-def image_tiff_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = F.explode(F.array(*[F.struct(F.lit(t).alias("transparent"), F.lit(m).alias("method")) for t, m in ((True, "auto"), (False, "auto"), (False, "zstd"))]))
-    q = spark.range(0, 101).select(F.col("id").cast("int").alias("q"), cases.alias("c")).select("q", "c.*")
-    return q.select("q", "transparent", "method", images.tiff_codec(images.mapped_quality(F.lit("TIFF"), F.col("q")), F.col("transparent"), F.col("method")).alias("codec"))
-
-
-def image_target_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.createDataFrame(SIZES, "ow int, oh int, w int, h int")
-    c = [F.col(x) for x in ("ow", "oh", "w", "h")]
-    s = s.select(*c, images.target_width(*c).alias("tw"), images.target_height(*c).alias("th"))
-    return s.select("*", F.coalesce(images.interpolation(c[0], c[1], F.col("tw"), F.col("th")), F.lit("none")).alias("how"))
-
-
-def image_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(NAMES, "filename string, fmt string").select("filename", images.output_name(F.col("filename"), F.col("fmt")).alias("name"))
-
-
-def image_request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = spark.createDataFrame(REQUESTS, "id int, fmt string, max_size int, quality int")
-    error = images.request_error(F.col("fmt"), F.col("max_size"), F.col("quality"))
-    return r.select("id", F.coalesce(error, F.lit("ok")).alias("outcome"))
-
-
-def image_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ramp = np.arange(8 * 5 * 3, dtype=np.uint8).reshape(5, 8, 3)
-    files = [("ramp.png", pixels.encode_png(ramp)), ("broken.png", b"\x89PNG\r\n\x1a\nxx"), ("alpha.png", pixels.encode_png(np.full((4, 4, 4), 128, np.uint8)))]
-    out = pixels.converted(spark.createDataFrame([(n, bytearray(c)) for n, c in files], "filename string, content binary"), "png", quality=50, width=4)
-    return out.select("filename", "name", "width", "height", F.col("error").isNotNull().alias("failed"))
 
 
 def part_image_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,14 +30,9 @@ def part_image_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {
-    "part_image_plans": part_image_plans,
-    "image_quality_map": image_quality_map, "image_tiff_codec": image_tiff_codec, "image_target_dims": image_target_dims, "image_filenames": image_filenames,
-    "image_request_validation": image_request_validation, "image_conversion": image_conversion,
-}
+QUERIES = {"part_image_plans": part_image_plans}
 
 _RANGE = ", ".join(f"('{f}', {a}, {b})" for f, a, b in rules.QUALITY_RANGES)
-_CODEC = "CASE WHEN method <> 'auto' THEN method WHEN transparent THEN 'deflate' WHEN q * 0.95 >= 85 THEN 'deflate' WHEN q * 0.95 >= 75 THEN 'lzw' ELSE 'jpeg' END"
 SQL = {
     "part_image_plans": f"""
         WITH p AS (
@@ -95,12 +49,4 @@ SQL = {
             regexp_replace(file, '[^a-zA-Z0-9_.-]', '_', 'g') || '.' || lower(fmt) AS name, tw, th, CASE WHEN ow = tw AND oh = th THEN 'none' WHEN tw < ow OR th < oh THEN 'area' ELSE 'lanczos4' END AS how,
             CASE WHEN q IS NOT NULL AND lo IS NOT NULL THEN CAST(trunc(v) AS INT) END AS quality,
             CASE WHEN format = 'TIFF' THEN CASE WHEN p_partkey % 2 = 0 OR (q IS NOT NULL AND v >= 85) THEN 'deflate' WHEN q IS NOT NULL AND v >= 75 THEN 'lzw' ELSE 'jpeg' END END AS codec FROM m""",
-    "image_quality_map": f"SELECT fmt, CAST(q AS INT) AS q, CAST(trunc(lo::DOUBLE + (hi - lo)::DOUBLE * q / 100.0::DOUBLE) AS INT) AS quality FROM range(0, 101) r(q), (VALUES {_RANGE}) f(fmt, lo, hi)",
-    "image_tiff_codec": f"SELECT CAST(q AS INT) AS q, transparent, method, {_CODEC} AS codec FROM range(0, 101) r(q), (VALUES (true, 'auto'), (false, 'auto'), (false, 'zstd')) m(transparent, method)",
-    "image_target_dims": """SELECT ow, oh, w, h, tw, th, CASE WHEN ow = tw AND oh = th THEN 'none' WHEN tw < ow OR th < oh THEN 'area' ELSE 'lanczos4' END AS how FROM (SELECT ow, oh, w, h,
-        coalesce(nullif(w, 0), CAST(trunc(nullif(h, 0) * (ow::DOUBLE / oh)) AS INT), ow) AS tw, coalesce(nullif(h, 0), CAST(trunc(nullif(w, 0) / (ow::DOUBLE / oh)) AS INT), oh) AS th
-        FROM (VALUES (1920, 1080, 640, NULL), (1920, 1080, NULL, 333), (1920, 1080, 100, 100), (1920, 1080, 1, NULL), (1920, 1080, NULL, NULL), (1920, 1080, 0, 0), (8, 5, 16, NULL), (8, 5, 8, 5)) s(ow, oh, w, h))""",
-    "image_filenames": "SELECT * FROM (VALUES ('my photo (1).JPG', 'my_photo__1_.webp'), ('arch.tar.gz', 'arch.tar.webp'), ('héllo.png', 'h_llo.webp'), ('.hidden', '.hidden.webp'), ('plain', 'plain.png'), ('a.', 'a.png')) v(filename, name)",
-    "image_request_validation": "SELECT * FROM (VALUES (1, 'ok'), (2, 'ok'), (3, 'format'), (4, 'either quality or size'), (5, 'either quality or size'), (6, 'quality range'), (7, 'quality range'), (8, 'unsupported: target size')) v(id, outcome)",
-    "image_conversion": "SELECT * FROM (VALUES ('ramp.png', 'ramp.png', 4, 2, false), ('broken.png', 'broken.png', NULL, NULL, true), ('alpha.png', 'alpha.png', 4, 4, false)) v(filename, name, width, height, failed)",
 }

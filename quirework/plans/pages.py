@@ -16,23 +16,11 @@ from .tables import table
 YEAR = 2026  # the default of quirework.as_of_year
 HREF = r'(?i)<a\b[^>]*\bhref\s*=\s*"([^"]*)"'
 
-#: Hand-written links, requests and pages: the tables hold no absolute links, forms or buttons.
-LINKS = (
-    ("a", "https://m.facebook.com/a"), ("a", "//twitter.com/x"), ("a", "https://old.www.reddit.com/"), ("a", "https://acme.wordpress.com/post/"),
-    ("a", "HTTPS://WWW.LinkedIn.com/company/acme///"), ("b", "https://facebook.com:443/a"), ("b", "https://u:p@github.com/x"), ("b", "https://notfacebook.com/a"),
-    ("b", "https://netflix.com/"), ("b", "mailto:a@x.com"), ("b", "/rel"), ("b", "https://[bad/x"), ("c", "https://calendly.com/acme"), ("c", "https://Square.site/book/9"),
-    ("c", "https://www.yelp.com/biz/a"), ("c", "https://www.google.com/maps/place/x"), ("c", "https://g.page/r"), ("c", "https://x.com/a/"), ("c", "https://x.com/a"),
-)
+#: Hand-written pages: the tables hold no platform's marks, forms or buttons.
 MARKED = (
     ("wp", '<link href="/wp-content/x.css">'), ("shop", '<script src="https://cdn.shopify.com/s.js"></script>'), ("flow", '<html class="w-webflow">'), ("wix", "<img src=//static.wixstatic.com/a>"),
     ("square", "<a href=https://squarespace.com>"), ("react", "<div data-reactroot>"), ("next", "/_next/static/a.js"), ("nuxt", "window.__NUXT__"), ("plain", "<p>Intercom and crisp</p>"), ("both", "wp-includes cdn.shopify.com tawk.to"), ("none", ""),
 )
-REQUESTS = (
-    (1, ["https://a.test/x"], "  #main ", False, 1.0, 3.0), (2, ["https://a.test/1", "https://www.a.test/2", "http://A.test/3", "https://a.test/4", "https://a.test/5"], " ", False, 0.0, 0.0),
-    (3, ["https://a.test/", "https://b.test/"], None, True, 1.0, 1.0), (4, ["https://a.test/", "https://b.test/"], None, False, 1.0, 1.0), (5, ["ftp://a.test/"], None, False, 1.0, 1.0),
-    (6, ["https://a.test/"], "a<b", False, 1.0, 1.0), (7, ["https://a.test/"], "JavaScript:x", False, 1.0, 1.0), (8, ["https://a.test/"], "x" * 501, False, 1.0, 1.0), (9, ["https://a.test/"], None, False, 3.0, 1.0),
-    (10, ["https://a.test/"], None, False, -1.0, 1.0), (11, ["https://a.test/" + str(i) for i in range(6)], None, False, 1.0, 1.0), (12, ["https://a.test/"], "x onerror=", False, 1.0, 1.0),
-)
 HTML = (
     '<!DOCTYPE html><html><head><title> Acme  Dental </title><meta name="description" content="First"><meta name="description" content="Second"><meta property="og:title" content="OG"><meta name="viewport" content="width=device-width"></head>'
     '<body><header><a href="https://facebook.com/in-header">FB</a></header><nav><a href="/about">Learn more</a></nav><main><h1>Gentle care</h1><a class="btn-primary" href="https://calendly.com/acme">Book now</a>'
@@ -41,10 +29,6 @@ HTML = (
 )
 
 
-def _links(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LINKS, "page string, link string").groupBy("page").agg(F.collect_list("link").alias("links"))
-
-
 def _joined(c) -> F.Column:
     return F.array_join(c, ",")
 
@@ -133,17 +117,6 @@ def page_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("page", signals.platform(F.col("html")).alias("platform"), signals.chat_widget(F.col("html")).alias("has_chat_widget"))
 
 
-def link_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = F.col("links")
-    return _links(spark).select("page", _joined(urls.social_links(links)).alias("social"), _joined(urls.booking_links(links)).alias("booking"), _joined(urls.review_links(links)).alias("review"))
-
-
-def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = spark.createDataFrame(REQUESTS, "id int, urls array<string>, wait_selector string, allow_mixed boolean, delay_min double, delay_max double")
-    error = urls.batch_error(F.col("urls"), F.col("allow_mixed"), F.col("delay_min"), F.col("delay_max"), F.col("wait_selector"))
-    return r.select("id", urls.selector(F.col("wait_selector")).alias("selector"), F.coalesce(error, F.lit("ok")).alias("outcome"))
-
-
 def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of orders as a batch request of none to six addresses: its selector and the first rule that it breaks."""
     k = F.col("o_orderkey")
@@ -162,16 +135,6 @@ def event_status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "error", F.when(urls.retried(F.col("error")), urls.backoff_seconds(F.col("attempt"))).alias("delay"))
 
 
-def status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = spark.range(100, 600).select(F.col("id").cast("int").alias("code")).withColumn("error", urls.status_error(F.col("code")))
-    return codes.select("code", F.coalesce("error", F.lit("ok")).alias("outcome"), F.coalesce(urls.retried(F.col("error")), F.lit(False)).alias("retried"))
-
-
-def retry_backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(1, rules.MOST_ATTEMPTS + 5).select(F.col("id").cast("int").alias("attempt"))
-    return n.select("attempt", urls.backoff_seconds(F.col("attempt")).alias("delay"))
-
-
 def page_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole record of insights as JSON, of the pages of the table and of one hand-written page."""
     own = spark.createDataFrame([(-1, "https://acme.test/", "https://acme.test/", HTML)], "page_id long, url string, final_url string, html string")
@@ -220,7 +183,6 @@ QUERIES = {
     "page_contacts": _contacts("pages", "page_id", lambda: text.clean_text(F.col("html"))), "doc_contacts": _contacts("documents", "doc_id", lambda: F.col("text")),
     "doc_mission_statement": doc_mission_statement, "page_title": page_title, "page_domain_rollup": page_domain_rollup, "page_outdated_copyright": page_outdated_copyright,
     "page_href_counts": page_href_counts, "page_top_hrefs": page_top_hrefs, "page_content_metrics": page_content_metrics, "page_platform": page_platform,
-    "link_detectors": link_detectors, "request_validation": request_validation, "status_classes": status_classes, "retry_backoff_schedule": retry_backoff_schedule,
     "page_insights": page_insights, "page_structure": page_structure, "part_insights": part_insights, "page_main_text": page_main_text,
 }
 
@@ -253,11 +215,6 @@ def _contact_sql(source: str, key: str) -> str:
         SELECT {key}, array_to_string(e, ',') AS emails, array_to_string(p, ',') AS phones FROM f WHERE len(e) > 0 OR len(p) > 0"""
 
 
-def _part_sql(sites: tuple[str, ...]) -> str:
-    return "array_to_string(list_sort(list_distinct(list_filter(links, lambda x: " + " OR ".join(f"contains(lower(x), '{s}')" for s in sites) + "))), ',')"
-
-
-_SOCIAL = "|".join(d.replace(".", r"\.") for d in rules.SOCIAL_DOMAINS)
 SQL = {
     "page_signals": f"""SELECT page_id, {_DOMAIN.format("url")} AS domain, {_TITLE} AS title, length(t) AS text_len, array_to_string({_EMAILS}, ',') AS emails, array_to_string({_PHONES}, ',') AS phones,
         {_PLATFORM} AS platform, {_CHAT} AS has_chat_widget, NOT starts_with(url, 'https') AS missing_ssl, {_OUTDATED} AS outdated_copyright
@@ -291,15 +248,6 @@ SQL = {
         FROM (SELECT *, {_CLEAN} AS t, regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*"([^"]*)"', 1) AS hrefs FROM pages)""",
     "page_platform": f"""SELECT page, {_PLATFORM} AS platform, {_CHAT} AS has_chat_widget FROM
         (SELECT page, lower(html) AS h FROM (VALUES {_values(MARKED)}) v(page, html) UNION ALL SELECT CAST(page_id AS VARCHAR), lower(html) FROM pages)""",
-    "link_detectors": f"""WITH l AS (SELECT page, list(link) AS links FROM (VALUES {_values(LINKS)}) v(page, link) GROUP BY page)
-        SELECT page, array_to_string(list_sort(list_distinct(list_transform(list_filter(links, lambda x: regexp_matches({_DOMAIN.format("x")}, '^(?:.*\\.)?(?:{_SOCIAL})$')), lambda x: regexp_replace(x, '/+$', '')))), ',') AS social,
-        {_part_sql(rules.BOOKING_SITES)} AS booking, {_part_sql(rules.REVIEW_SITES)} AS review FROM l""",
-    "request_validation": f"""SELECT id, nullif(trim(s), '') AS selector, CASE WHEN len(u) NOT BETWEEN 1 AND 5 THEN 'url count' WHEN len(list_filter(u, lambda x: NOT regexp_matches(lower(x), '^https?://[^/?#\\s]+'))) > 0 THEN 'url'
-        WHEN lo < 0 OR hi < 0 THEN 'negative delay' WHEN lo > hi THEN 'delay range' WHEN NOT mixed AND len(list_distinct(list_transform(u, lambda x: {_DOMAIN.format("x")}))) > 1 THEN 'mixed domains'
-        WHEN nullif(trim(s), '') IS NOT NULL AND (regexp_matches(lower(s), '{"|".join(rules.BAD_SELECTOR)}') OR length(trim(s)) > 500) THEN 'selector' ELSE 'ok' END AS outcome
-        FROM (VALUES {_values(REQUESTS)}) v(id, u, s, mixed, lo, hi)""",
-    "status_classes": "SELECT CAST(code AS INT) AS code, CASE code WHEN 403 THEN 'Blocked' WHEN 404 THEN 'NotFound' WHEN 429 THEN 'RateLimit' ELSE 'ok' END AS outcome, code = 429 AS retried FROM range(100, 600) t(code)",
-    "retry_backoff_schedule": "SELECT CAST(n AS INT) AS attempt, least(60.0::DOUBLE, 2.0::DOUBLE * pow(2.0::DOUBLE, n - 1)) AS delay FROM range(1, 10) t(n)",
     "part_insights": f"""SELECT p_partkey, p_name AS title, CASE WHEN p_size % 3 = 0 THEN 'own words' ELSE p_type END AS description,
         '{rules.NO_PLATFORM}' AS platform, mission AS mission_statement, CASE WHEN p_size % 4 = 0 THEN 4 ELSE 2 END AS link_count,
         CAST(length(p_name) * 2 + 2 + 5 + length(p_brand) + CASE WHEN p_size % 4 = 0 THEN 5 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 10 ELSE 0 END + 1 + {len(FILLER) - 1} + 1 + 9 + length(CAST(p_partkey AS VARCHAR)) + 10

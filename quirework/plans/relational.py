@@ -81,8 +81,7 @@ def grouping_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "documents").createOrReplaceTempView("quirework_documents")
-    return spark.sql("SELECT lang, source, count(*) AS n FROM quirework_documents GROUP BY GROUPING SETS ((lang), (source), ())")
+    return table(spark, sf_dir, "documents").groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("n"))
 
 
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,9 +154,8 @@ def udtf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
             for i, part in enumerate((name or "").split()):
                 yield part, i
 
-    spark.udtf.register("quirework_parts", Parts)
-    table(spark, sf_dir, "part").select("p_name").createOrReplaceTempView("quirework_names")
-    return spark.sql("SELECT place, count(*) AS n, count(DISTINCT w.part) AS words FROM quirework_names, LATERAL quirework_parts(p_name) w GROUP BY place")
+    words = table(spark, sf_dir, "part").select("p_name").lateralJoin(Parts(F.col("p_name").outer()))
+    return words.groupBy("place").agg(F.count("*").alias("n"), F.countDistinct("part").alias("words"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -17,12 +17,6 @@ from ..streaming.replay import Replay, with_end
 from .streams import DELAY, arriving
 from .tables import table
 
-BATCHES = (
-    ("all", 0, "completed", ["b@x.y", "a@x.y"], None, ["https://x.com/a"], 1.005), ("all", 1, "completed", ["a@x.y"], ["1234567"], [], 2.0), ("some", 0, "completed", ["z@x.y"], [], None, 1.0),
-    ("some", 1, "failed", None, None, None, 0.0), ("some", 2, "completed", None, [], [], 4.25), ("none", 0, "failed", ["lost@x.y"], None, None, 0.0),
-)
-
-
 def _micros(c: str):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -33,7 +27,12 @@ def batch_status_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.createDataFrame(BATCHES, "batch_id string, page_idx int, status string, emails array<string>, phones array<string>, social_links array<string>, duration_ms double")
+    """Sources and lengths of documents as batches, a page each: those shorter than fifty characters failed; their addresses and telephone numbers are the leads."""
+    t = F.col("text")
+    pages = table(spark, sf_dir, "documents").select(
+        F.concat_ws(":", "source", (F.length(t) % 7).cast("string")).alias("batch_id"), F.when(F.length(t) < 50, "failed").otherwise("completed").alias("status"), text.emails(t).alias("emails"), text.phones(t).alias("phones"),
+        F.when(F.length(t) % 5 == 0, F.array(F.concat(F.lit("https://x.com/"), F.col("lang")))).alias("social_links"), (F.length(t) / 8).alias("duration_ms"),
+    )
     out = jobs.batches(pages)
     return out.select("batch_id", "total_pages", "successful_pages", "failed_pages", "total_duration_ms", "status", *[F.array_join(c, ",").alias(c) for c in ("all_emails", "all_phones", "all_social_links")])
 
@@ -181,7 +180,6 @@ QUERIES = {
     "conversation_roles": conversation_roles, "lean_jobs": lean_jobs, "batch_view": batch_view, "url_parts": url_parts, "stream_daily_counts": stream_daily_counts, "stream_sessions": stream_sessions, "stream_distinct_events": stream_distinct_events, "stream_job_moves": stream_job_moves,
 }
 
-_B = "(VALUES ('all', 'completed', ['b@x.y', 'a@x.y'], NULL, ['https://x.com/a'], 1.005), ('all', 'completed', ['a@x.y'], ['1234567'], [], 2.0), ('some', 'completed', ['z@x.y'], [], NULL, 1.0), ('some', 'failed', NULL, NULL, NULL, 0.0), ('some', 'completed', NULL, [], [], 4.25), ('none', 'failed', ['lost@x.y'], NULL, NULL, 0.0)) b(batch_id, status, emails, phones, links, ms)"
 _UNION = "coalesce(array_to_string(list_sort(list_distinct(flatten(list({}) FILTER (status = 'completed' AND {} IS NOT NULL)))), ','), '')"
 SQL = {
     "store_state": """SELECT user_id, event_id, event_type, epoch_us(ts) AS ts_us FROM (
@@ -190,7 +188,9 @@ SQL = {
     "batch_status_by_user": "SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS ok, CASE WHEN count(*) = count(*) FILTER (event_type <> 'error') THEN 'completed' WHEN count(*) FILTER (event_type <> 'error') > 0 THEN 'partial' ELSE 'failed' END AS status FROM events GROUP BY user_id",
     "batch_rollup": f"""SELECT batch_id, count(*) AS total_pages, count(*) FILTER (status = 'completed') AS successful_pages, count(*) FILTER (status <> 'completed') AS failed_pages, round(sum(CAST(ms AS DOUBLE)), 2) AS total_duration_ms,
         CASE WHEN count(*) = count(*) FILTER (status = 'completed') THEN 'completed' WHEN count(*) FILTER (status = 'completed') > 0 THEN 'partial' ELSE 'failed' END AS status,
-        {_UNION.format("emails", "emails")} AS all_emails, {_UNION.format("phones", "phones")} AS all_phones, {_UNION.format("links", "links")} AS all_social_links FROM {_B} GROUP BY batch_id""",
+        {_UNION.format("emails", "emails")} AS all_emails, {_UNION.format("phones", "phones")} AS all_phones, {_UNION.format("links", "links")} AS all_social_links FROM (
+            SELECT source || ':' || length(text) % 7 AS batch_id, CASE WHEN length(text) < 50 THEN 'failed' ELSE 'completed' END AS status, regexp_extract_all(text, '{rules.EMAIL}') AS emails, regexp_extract_all(text, '{rules.PHONE}') AS phones,
+                CASE WHEN length(text) % 5 = 0 THEN ['https://x.com/' || lang] END AS links, length(text)::DOUBLE / 8 AS ms FROM documents) GROUP BY batch_id""",
     "source_lead_union": f"SELECT source, email, count(DISTINCT k) AS documents FROM (SELECT source, row_number() OVER () AS k, unnest(regexp_extract_all(text, '{rules.EMAIL}')) AS email FROM documents) GROUP BY source, email",
     "recent_jobs": "SELECT event_id, user_id, event_type, epoch_us(ts) AS ts_us FROM events ORDER BY ts DESC, event_id LIMIT 50",
     "latest_status": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
