@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import signals, text, urls
+from ..operators.domains import on_domains
 from ..operators.insights import insights
 from ..operators.parse import calls_to_action, parsed
 from ..settings import settings
@@ -99,6 +100,13 @@ def link_top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.top_domains(links)
 
 
+def link_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages on a domain of a list, or on its subdomains: the hosts of every tenth page and one domain of many."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = p.where("page_id % 10 = 0").select(urls.domain(F.col("url")).alias("domain")).unionByName(spark.createDataFrame([("example.org",)], "domain string"))
+    return on_domains(p, "url", listed).select("page_id")
+
+
 def page_content_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html", text.clean_text(F.col("html")).alias("clean"))
     hrefs = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
@@ -179,7 +187,7 @@ def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "link_top_domains": link_top_domains, "order_requests": order_requests, "event_status_classes": event_status_classes, "page_signals": page_signals, "page_clean_text_len": page_clean_text_len,
+    "link_top_domains": link_top_domains, "link_domains": link_domains, "order_requests": order_requests, "event_status_classes": event_status_classes, "page_signals": page_signals, "page_clean_text_len": page_clean_text_len,
     "page_contacts": _contacts("pages", "page_id", lambda: text.clean_text(F.col("html"))), "doc_contacts": _contacts("documents", "doc_id", lambda: F.col("text")),
     "doc_mission_statement": doc_mission_statement, "page_title": page_title, "page_domain_rollup": page_domain_rollup, "page_outdated_copyright": page_outdated_copyright,
     "page_href_counts": page_href_counts, "page_top_hrefs": page_top_hrefs, "page_content_metrics": page_content_metrics, "page_platform": page_platform,
@@ -236,6 +244,8 @@ SQL = {
         SELECT o_orderkey, CAST(length(s) AS INT) AS selector, CASE WHEN len(u) NOT BETWEEN 1 AND 5 THEN 'url count' WHEN len(list_filter(u, lambda x: NOT starts_with(x, 'http'))) > 0 THEN 'url' WHEN lo < 0 OR hi < 0 THEN 'negative delay' WHEN lo > hi THEN 'delay range'
             WHEN o_orderkey % 3 <> 0 AND len(list_distinct(list_transform(u, lambda x: {_DOMAIN.format("x")}))) > 1 THEN 'mixed domains' WHEN s IS NOT NULL AND (regexp_matches(lower(s), '{"|".join(rules.BAD_SELECTOR)}') OR length(s) > 500) THEN 'selector' ELSE 'ok' END AS outcome FROM r""",
     "event_status_classes": "SELECT event_id, CASE event_id % 40 WHEN 3 THEN 'Blocked' WHEN 4 THEN 'NotFound' WHEN 29 THEN 'RateLimit' END AS error, CASE WHEN event_id % 40 = 29 THEN least(60.0::DOUBLE, 2.0::DOUBLE * pow(2.0::DOUBLE, event_id % 9)) END AS delay FROM events",
+    "link_domains": f"""WITH p AS (SELECT page_id, {_DOMAIN.format("url")} AS host FROM pages), d AS (SELECT host AS d FROM p WHERE page_id % 10 = 0 UNION SELECT 'example.org')
+        SELECT page_id FROM p WHERE EXISTS (SELECT 1 FROM d WHERE d <> '' AND (host = d OR ends_with(host, '.' || d)))""",
     "link_top_domains": """
         SELECT page, domain, links FROM (
             SELECT o_custkey AS page, o_custkey % 10 + 1 AS own, 's' || l_suppkey || '.test' AS domain, l_suppkey, count(*) AS links, min(l_orderkey * 10 + l_linenumber) AS place

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import history
+from ..operators import history, sketches
+from ..shared import written
 from .tables import table
 
 
@@ -92,6 +93,20 @@ def distinct_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median_qty"))
 
 
+def sketch_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of days answered from daily sketches: exact numbers of users, and whether the estimates of users and of the median value keep their bounds."""
+    e = table(spark, sf_dir, "events").select("ts", "event_type", "user_id", "value")
+    kept = written(sketches.daily(e, "ts", ["event_type"], "user_id", "value"), "sketches")
+    day = e.agg(F.to_date(F.min("ts")).alias("low"), F.to_date(F.max("ts")).alias("high"))
+    ranges = written(day.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), first.alias("first"), last.alias("last")) for n, first, last in (
+        ("week", F.col("low"), F.date_add("low", 6)), ("from the tenth", F.date_add("low", 9), F.col("high")), ("all", F.col("low"), F.col("high")))]))), "ranges")
+    told = written(sketches.over(kept, ranges, ["event_type"]).select("name", "event_type", "keys", F.col("values")[0].alias("median")), "told")
+    rows = e.withColumn("day", F.to_date("ts")).join(F.broadcast(ranges), F.col("day").between(F.col("first"), F.col("last"))).join(F.broadcast(told), ["name", "event_type"])
+    exact = rows.groupBy("name", "event_type").agg(F.countDistinct("user_id").alias("users"), F.first("keys").alias("keys"), F.avg((F.col("value") <= F.col("median")).cast("int")).alias("above"), F.avg((F.col("value") < F.col("median")).cast("int")).alias("below"))
+    near = (F.col("below") <= 0.5 + sketches.RANK_BOUND) & (F.col("above") >= 0.5 - sketches.RANK_BOUND)
+    return exact.select("name", "event_type", "users", (F.abs(F.col("keys") - F.col("users")) <= 1 + sketches.DISTINCT_BOUND * F.col("users")).alias("users_within"), near.alias("median_within"))
+
+
 def window_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events")
@@ -160,7 +175,7 @@ def udtf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     join_inner, join_full, join_semi_anti, join_range, join_asof, join_interval, pricing_summary, revenue_by_nation, grouping_cube, grouping_rollup, grouping_sets, distinct_counts,
-    distinct_approximate, window_functions, top_per_group, set_operations, json_fields, array_norms, sliding_windows, pivot_counts, udf_kinds, udtf_words,
+    distinct_approximate, sketch_ranges, window_functions, top_per_group, set_operations, json_fields, array_norms, sliding_windows, pivot_counts, udf_kinds, udtf_words,
 )}
 
 SQL = {
@@ -175,6 +190,11 @@ SQL = {
     "grouping_cube": "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(grouping(lang, source) AS BIGINT) AS gid FROM documents GROUP BY CUBE (lang, source)",
     "grouping_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "grouping_sets": "SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())",
+    "sketch_ranges": """
+        WITH e AS (SELECT *, CAST(ts AS DATE) AS day, CAST((SELECT min(ts) FROM events) AS DATE) AS low FROM events), r AS (
+            SELECT 'week' AS name, * FROM e WHERE day <= low + 6 UNION ALL SELECT 'from the tenth', * FROM e WHERE day >= low + 9 UNION ALL SELECT 'all', * FROM e
+        )
+        SELECT name, event_type, count(DISTINCT user_id) AS users, true AS users_within, true AS median_within FROM r GROUP BY name, event_type""",
     "distinct_counts": "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY event_type",
     "window_functions": "SELECT event_id, row_number() OVER w AS rn, ntile(4) OVER w AS quarter, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS sum3, lag(event_type) OVER w AS before, round(first_value(value) OVER w, 4) AS first_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "top_per_group": "SELECT o_orderpriority, o_orderkey, rn FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3",

@@ -1,8 +1,11 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and tables written there."""
+
+from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -14,3 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
         path = getattr(spark, "_quirework_dir", None) or tempfile.mkdtemp(prefix="quirework-")
         spark._quirework_dir = path
     return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/quirework/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
