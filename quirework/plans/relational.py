@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import history, sketches
+from ..operators import history, intervals, sketches
 from ..shared import written
 from .tables import table
 
@@ -57,6 +57,15 @@ def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["user_id", "bucket"]).where((F.col("s") >= F.col("from")) & (F.col("s") <= F.col("from") + size)).groupBy("user_id").agg(F.count("*").alias("pairs"), F.countDistinct("event_id").alias("clicks"))
 
 
+def join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and purchases of a user as intervals of unequal widths, from moments to two weeks: how many pairs overlap, and how many purchases are in one."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    k = F.col("event_id") % 7
+    a = e.where("event_type = 'error'").select("user_id", F.col("at").alias("a_low"), (F.col("at") + k * k * k * 3600).alias("a_high"))
+    b = e.where("event_type = 'purchase'").select("user_id", "event_id", F.col("at").alias("b_low"), (F.col("at") + F.col("event_id") % 5 * 600).alias("b_high"))
+    return intervals.overlapping(a, b, ("a_low", "a_high"), ("b_low", "b_high"), ["user_id"]).groupBy("user_id").agg(F.count("*").alias("pairs"), F.countDistinct("event_id").alias("purchases"))
+
+
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -174,7 +183,7 @@ def udtf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    join_inner, join_full, join_semi_anti, join_range, join_asof, join_interval, pricing_summary, revenue_by_nation, grouping_cube, grouping_rollup, grouping_sets, distinct_counts,
+    join_inner, join_full, join_semi_anti, join_range, join_asof, join_interval, join_overlap, pricing_summary, revenue_by_nation, grouping_cube, grouping_rollup, grouping_sets, distinct_counts,
     distinct_approximate, sketch_ranges, window_functions, top_per_group, set_operations, json_fields, array_norms, sliding_windows, pivot_counts, udf_kinds, udtf_words,
 )}
 
@@ -184,6 +193,10 @@ SQL = {
     "join_semi_anti": "SELECT lang, count(*) AS n, 'semi' AS how FROM documents SEMI JOIN labels USING (doc_id) GROUP BY lang UNION ALL SELECT lang, count(*), 'anti' FROM documents ANTI JOIN labels USING (doc_id) GROUP BY lang",
     "join_range": "SELECT CAST(k AS INT) AS band, CAST(1 + 10 * k AS INT) AS low, CAST(10 + 10 * k AS INT) AS high, count(*) AS parts FROM part JOIN range(0, 5) b(k) ON p_size BETWEEN 1 + 10 * k AND 10 + 10 * k GROUP BY k",
     "join_asof": "SELECT p.event_id, (SELECT arg_max(s.event_id, (s.ts, s.event_id)) FROM events s WHERE s.event_type = 'signup' AND s.user_id = p.user_id AND s.ts <= p.ts) AS signup_id FROM events p WHERE p.event_type = 'purchase'",
+    "join_overlap": """
+        WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000000 AS t FROM events)
+        SELECT a.user_id, count(*) AS pairs, count(DISTINCT b.event_id) AS purchases FROM e a JOIN e b ON a.user_id = b.user_id AND a.t <= b.t + b.event_id % 5 * 600 AND b.t <= a.t + (a.event_id % 7) ** 3 * 3600
+        WHERE a.event_type = 'error' AND b.event_type = 'purchase' GROUP BY a.user_id""",
     "join_interval": "SELECT a.user_id, count(*) AS pairs, count(DISTINCT b.event_id) AS clicks FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 10 MINUTES WHERE a.event_type = 'error' AND b.event_type = 'click' GROUP BY a.user_id",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     "revenue_by_nation": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
