@@ -8,7 +8,8 @@ private mark, so no text can pose as a turn and every text comes back exactly.
 One row per conversation results, with its segments (text and loss flag) in order; the formatted string is their
 concatenation. A conversation is as long as its turns, so it is gathered as one row. Defined results: a null text is empty; null or unknown roles are formatted
 under their own name and rejected by the machine; turns with equal numbers are ordered by role and text; repeated rows are repeated turns; an empty table
-gives no rows; rows with a null conversation id form one conversation.
+gives no rows; rows with a null conversation id form one conversation, which is as large as they are: give them ids, or leave them out, where there may be many; very long texts are formatted whole, by
+patterns that repeat no group without bound; only conv_id, turn, role and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ them up per text.
 
 The model is fit on a bounded sample: about `per_language` whole documents of each language, chosen by a hash of the
 id among those that may be learned from. Defined results: a text that is null or has no letter is `und` with score 0; without
-training documents everything is `und`; ties go to the language that sorts first; repeated rows get equal results.
+training documents everything is `und`; ties go to the language that sorts first; repeated rows get equal results; very long texts are read whole, in
+parts of bounded size; an empty table gives no rows. Columns of documents pass through identify(), whatever they are called; those named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -115,7 +116,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                     scores.append(float(score[i]) if ok else 0.0)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn("_language", predict("text")).select(*docs.columns, "_language.lang_pred", "_language.score")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), predict("text").alias("found"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "found.lang_pred", "found.score")
 
 
 def identified(docs: DataFrame, per_language: int = 3000) -> DataFrame:

@@ -9,7 +9,8 @@ that depends on the capacity and not on the data. Pieces then take their places
 which is counted in two steps so that no length is ranked in one task.
 
 Defined results: a null text is empty and gives one piece of the separator alone; repeated rows are packed as often as they
-occur; an empty table gives no rows; only the id and the text are read.
+occur; an empty table gives no rows; very long texts are encoded in parts and cut; pieces of equal length (ties) take their places in any order; only the id and the text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations

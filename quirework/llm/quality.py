@@ -5,7 +5,8 @@ a shrunken, shallow tree over that feature's bins to its lookup table; then it d
 of features. A score is the sigmoid of a sum of table entries, so scoring a batch is a few vectorised look-ups.
 
 Defined results: a null text counts as empty; an empty text has the features of no words and gets a score; repeated rows
-get equal scores; an empty table gives no rows; without usable labels every score is 0.5.
+get equal scores; an empty table gives no rows; without usable labels every score is 0.5; very long texts are worked through whole, in batches of
+bounded size; of features and cuts with equal gains the first is taken. Only the id and the text of documents are read, so other columns may have any name.
 """
 
 from __future__ import annotations

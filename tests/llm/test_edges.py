@@ -144,6 +144,13 @@ def test_embeddings(spark):
     assert embdedup.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_language_columns_that_clash(spark):
+    rows = spark.createDataFrame([(1, "hello there", "en", "old", 9.0, "mine"), (2, None, "en", "old", 9.0, "mine")], "doc_id long, text string, lang string, lang_pred string, score double, _language string")
+    out = langid.identify(rows, langid.train(rows))
+    assert out.columns == ["doc_id", "text", "lang", "_language", "lang_pred", "score"] and [r._language for r in out.collect()] == ["mine", "mine"]
+    assert {r.doc_id: r.lang_pred for r in out.collect()} == {1: "en", 2: "und"}
+
+
 def test_licenses(odd, none, spark):
     for r in licenses.digest(odd).collect():
         assert r.n_base == 0 and r.labels == "" and r.score == 0 and r.first_word is None
