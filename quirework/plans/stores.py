@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text, urls
-from ..operators import breaker, jobs, views
+from ..operators import breaker, jobs, records, views
 from ..operators.keyed import KeyedStore
 from ..shared import shared_dir
 from ..streaming import lifecycle
@@ -172,8 +172,16 @@ def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.lookup(o.agg(F.max("o_orderkey")).first()[0]).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON log records: errors at their level, users as requests, sign-ups with a context."""
+    kind = F.col("event_type")
+    message = F.concat(F.lit("event "), kind)
+    record = records.log_record(F.col("ts"), F.when(kind == "error", "ERROR").otherwise("INFO"), message, F.when(F.col("event_id") % 5 != 0, F.col("user_id").cast("string")), None, F.when(kind == "signup", F.struct("event_id")))
+    return table(spark, sf_dir, "events").select("event_id", record.alias("record"))
+
+
 QUERIES = {
-    "store_state": store_state, "store_lookup": store_lookup,
+    "log_records": log_records, "store_state": store_state, "store_lookup": store_lookup,
     "circuit_breaker": circuit_breaker, "stream_batch_states": stream_batch_states, "stream_session_states": stream_session_states,
     "batch_status_by_user": batch_status_by_user, "batch_rollup": batch_rollup, "source_lead_union": source_lead_union, "recent_jobs": recent_jobs, "latest_status": latest_status,
     "lru_kept": lru_kept, "ttl_new_sessions": ttl_new_sessions, "unexpired_outputs": unexpired_outputs, "consecutive_failures": consecutive_failures, "orphan_submissions": orphan_submissions,
@@ -182,6 +190,8 @@ QUERIES = {
 
 _UNION = "coalesce(array_to_string(list_sort(list_distinct(flatten(list({}) FILTER (status = 'completed' AND {} IS NOT NULL)))), ','), '')"
 SQL = {
+    "log_records": """SELECT event_id, '{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || 'Z","level":"' || CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END
+        || '","service":"quirework","message":"event ' || event_type || '"' || CASE WHEN event_id % 5 <> 0 THEN ',"request_id":"' || user_id || '"' ELSE '' END || CASE event_type WHEN 'signup' THEN ',"context":{"event_id":' || event_id || '}' ELSE '' END || '}' AS record FROM events""",
     "store_state": """SELECT user_id, event_id, event_type, epoch_us(ts) AS ts_us FROM (
         SELECT * FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) ORDER BY ts DESC, event_id DESC, user_id DESC LIMIT 100) WHERE event_type <> 'error'""",
     "store_lookup": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)",
