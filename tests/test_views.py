@@ -59,3 +59,28 @@ def test_capture_source(spark, tmp_path):
     spark.dataSource.register(CaptureSource)
     got = {r.url: r.html for r in spark.read.format("capture").load(str(tmp_path)).collect()}
     assert got["https://a.test/"] == "<title>x</title>" and got["b"].endswith("<p>")
+
+
+def test_capture_writer_and_stream(spark, tmp_path):
+    """What is written comes back, as a batch and as a stream of steps; a failed write leaves nothing; groups of files are tasks."""
+    spark.dataSource.register(CaptureSource)
+    path = str(tmp_path / "pages")
+    rows = [("https://a.test/@x?q=1", "<p>é</p>"), ("https://a.test/@x?q=1", "again"), ("b", None), (None, "lost")]
+    spark.createDataFrame(rows, "url string, html string").repartition(2).write.format("capture").mode("append").save(path)
+    want = sorted([("https://a.test/@x?q=1", "<p>é</p>"), ("https://a.test/@x?q=1", "again"), ("b", "")])
+    assert sorted(map(tuple, spark.read.format("capture").load(path).collect())) == want
+    assert spark.read.format("capture").option("files_per_task", "2").load(path).rdd.getNumPartitions() == 2
+
+    def followed():
+        out = spark.readStream.format("capture").load(path).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        out.awaitTermination()
+        return sorted(map(tuple, spark.read.schema("url string, html string").parquet(str(tmp_path / "out")).collect()))
+
+    assert followed() == want
+    spark.createDataFrame([("c", "new")], "url string, html string").write.format("capture").mode("append").save(path)
+    assert followed() == sorted([*want, ("c", "new")]) == followed()
+    bad = spark.range(4).select(F.col("id").cast("string").alias("url"), F.when(F.col("id") == 3, F.raise_error(F.lit("no"))).otherwise("x").alias("html"))
+    with pytest.raises(Exception, match="no"):
+        bad.write.format("capture").mode("append").save(path)
+    assert sorted(map(tuple, spark.read.format("capture").load(path).collect())) == sorted([*want, ("c", "new")]) and not [p for p in (tmp_path / "pages").iterdir() if p.is_dir()]
+    assert spark.read.format("capture").load(str(tmp_path / "nothing")).count() == 0
