@@ -70,7 +70,7 @@ def repeating(docs: DataFrame) -> DataFrame:
     """doc_id and text, with a periodic end in the texts that the hash of their id chooses: g chooses its begin, period and number of periods."""
     h = id_crc()
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
-    some = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w"))
+    some = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.nullif(F.size("w"), F.lit(0)))  # without words: null, as nothing is divided by it
     some = some.withColumn("a", (F.col("g") % F.col("n")).cast("int")).withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
     end = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), F.col("n") - F.col("a"))
     text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), end), " ")

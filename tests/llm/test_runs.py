@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quirework.llm import runs
+from quirework.llm import queries, runs
 
 
 def plain(words, least=6, power=4):
@@ -95,3 +95,12 @@ def test_steps_grow_slowly():
         return total
 
     assert touched(4000) < 3 * touched(2000) and touched(4000) < 4000 * 13
+
+
+def test_texts_without_words_that_the_hash_chooses(spark, tmp_path):
+    """Ids 29, 37, 40 and 48 get a periodic end (crc32 % 10 = 0); without words there is none, and nothing is divided by their number."""
+    rows = [(29, ""), (37, " \n"), (40, None), (48, "a"), (1, ""), (2, "a " * 6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.doc_id, r.text) for r in queries.repeating(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()} == set(rows)
+    got = {r.doc_id: (r.n_runs, r.period, r.collapsed_sha256[:4]) for r in queries.op13_periodic_runs(spark, str(tmp_path)).collect()}
+    assert got == {29: (0, None, "e3b0"), 37: (0, None, "e3b0"), 40: (0, None, "e3b0"), 48: (0, None, "ca97"), 1: (0, None, "e3b0"), 2: (1, 1, "ca97")}
