@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quirework.streaming import joins, replay, sessions
@@ -59,6 +60,35 @@ def test_session_store_in_any_steps(spark):
     assert store(spark, rows, 600, 900)[0] == want
 
 
+def test_calls_of_the_store_do_not_grow_with_requests():
+    """Every call of the state's interface goes to another process: a bucket of three hundred requests of forty sessions takes a handful of them."""
+    calls = []
+
+    class State:
+        value = None
+        exists = lambda self: calls.append("exists") or self.value is not None
+        get = lambda self: calls.append("get") or self.value
+        update = lambda self, value: calls.append("update") or setattr(self, "value", value)
+        clear = lambda self: calls.append("clear") or setattr(self, "value", None)
+        __getattr__ = lambda self, name: lambda *_: calls.append(name)
+
+    class Handle:
+        getValueState = getMapState = lambda self, *_: State()
+        registerTimer = lambda self, _: calls.append("registerTimer")
+
+    class Watermark:
+        getCurrentWatermarkInMs = lambda self: 10**9
+
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(40)}", i, rng.randrange(400_000), rng.random() < 0.4, f"v{i}", 0) for i in range(300)]
+    processor = sessions.SessionStore(3_600, 3_600, 60)
+    processor.init(Handle())
+    list(processor.handleInputRows((1,), iter([Row(session_id=s, request_id=i, ts_us=t * 10**6, saves=saves, state=state) for s, i, t, saves, state, _ in rows]), Watermark()))
+    told = [list(processor.handleExpiredTimer((1,), Watermark(), None)) for _ in range(2)]
+    assert {r.request_id: (r.outcome, r.state) for r in told[0]} == plain_store(rows, 3_600, 3_600) and told[1] == []
+    assert len(calls) < 12
+
+
 def test_live_sessions(spark):
     """By the clock: a session is found in the next step as long as its lifetime runs."""
     rows = [("a", 1, 0, True, "x", 0), ("a", 2, 1, False, None, 0), ("a", 3, 2, False, None, 1), ("b", 4, 2, False, None, 1)]
