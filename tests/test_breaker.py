@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -71,3 +72,20 @@ def test_no_task_holds_more_than_a_part(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert out.count() == len(rows) and len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 0.5 * len(rows)
+
+
+def test_small_parts_are_handed_over_together():
+    """Parts run over batches, and the functions of many parts are one array: nothing is built for each of them alone."""
+    names, batches = [f'{{"key":{k // 7}}}' for k in range(60)], []
+    for low in range(0, 60, 11):
+        own = range(low, min(low + 11, 60))
+        batches.append(pa.RecordBatch.from_pydict({"_name": [names[i] for i in own], "_place": [{"key": i // 7} for i in own], "_at": list(own), "_failed": [i % 2 == 0 for i in own]}))
+    parts = list(breaker._parts(iter([batches[0].slice(0, 0), *batches])))
+    assert [(n, p.to_pylist(), at, bad) for n, p, at, bad in parts] == [
+        (f'{{"key":{k}}}', [{"key": k}], list(range(7 * k, min(7 * k + 7, 60))), [i % 2 == 0 for i in range(7 * k, min(7 * k + 7, 60))]) for k in range(9)
+    ]
+    kinds = {"at": pa.int64(), "failures": pa.int32(), "opened": pa.int64()}
+    for lists in ([breaker.exits(at, bad, 2, 3)[1] for *_, at, bad in parts], [[]], []):
+        rows = [[(t, *s) for t, s in x] for x in lists]
+        flat, at = breaker._tuples(breaker._lists(rows, kinds))
+        assert [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)] == rows
