@@ -30,8 +30,9 @@ def stream_session_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_unstarted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-ups that no purchase of their user follows within a day."""
-    replay = Replay(arriving(spark, sf_dir).select(F.col("user_id").alias("job_id"), "event_id", "event_type", "ts", "step"), "unstarted")
-    kind = lambda stream, name: stream.where(F.col("event_type") == name)
+    e = arriving(spark, sf_dir).where("event_type IN ('signup', 'purchase')")
+    replay = Replay(e.select(F.col("user_id").alias("job_id"), "event_id", "event_type", "ts", "step"), "unstarted")
+    kind = lambda stream, name: stream.where(F.col("event_type") == name).drop("event_type")
     out = replay.all_steps(lambda stream, _: joins.unstarted(kind(stream, "signup"), kind(replay.arrived(), "purchase"), "1 DAY", f"{DELAY} seconds"))
     return out.select("job_id", "event_id", F.unix_micros("ts").alias("ts_us"))
 

@@ -25,6 +25,7 @@ def with_rocksdb(spark: SparkSession) -> SparkSession:
         if (value := spark.conf.get(key, None)) is not None:
             session.conf.set(key, value)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return session
 
 

@@ -3,9 +3,11 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from quirework.plans import streams
 from quirework.streaming import joins, replay, sessions
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
@@ -140,3 +142,18 @@ def test_arrival(spark):
     df = spark.createDataFrame([(at(0), 0), (at(9), 1), (at(9), 0), (None, 5)], "ts timestamp, d long")
     step = replay.arrival_step(F.col("ts"), F.col("d"), int(START.timestamp()) * 1_000_000, 10_000_000)
     assert [r[0] for r in df.select(step).collect()] == [0, 1, 0, None]
+
+
+def test_what_a_stream_never_uses_is_not_staged(spark, sf_dir, monkeypatch):
+    """Sign-ups and purchases alone are written for the steps of stream_unstarted, and states are saved as changes."""
+    class Staged(Exception):
+        pass
+
+    def caught(rows, name):
+        raise Staged({r.event_type for r in rows.select("event_type").distinct().collect()})
+
+    monkeypatch.setattr(streams, "Replay", caught)
+    with pytest.raises(Staged) as told:
+        streams.stream_unstarted(spark, sf_dir)
+    assert told.value.args[0] == {"signup", "purchase"}
+    assert replay.with_rocksdb(spark).conf.get("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled") == "true"
