@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,10 @@ class WordEncoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if _LETTERS(w)]
+        plain: list[bytes] = []
+        for i in range(0, len(words), 64):  # most groups are letters throughout, which one look tells
+            group = words[i : i + 64]
+            plain += group if _LETTERS(b"".join(group)) else filter(_LETTERS, group)
         rows = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         for row, ids in zip(rows, self._whole([b" ".join(r).decode() for r in rows]), strict=True):
             ids = np.array(ids, "<u4")
@@ -112,15 +116,12 @@ class WordEncoder:
         words = [[] if i in special else _STOP.sub(rb" \g<0>", x.lower()).split() for i, x in enumerate(raw)]
         if len(self.known) > self.most:
             self.known, self.before = {}, self.known
-        new: set[bytes] = set()
-        for w in words:
-            new.update(w)
-        new = new.difference(self.known)
+        new = set().union(*words).difference(self.known)
         again = new & self.before.keys()
         self.known.update((w, self.before[w]) for w in again)
         self._learn(list(new - again))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
+        known = self.known
+        out = [b"".join(itemgetter(*w)(known)) if len(w) > 1 else b"".join(known[x] for x in w) for w in words]
         for i in special:
             out[i] = np.array(self._whole([texts[i]])[0], "<u4").tobytes()
         return out

@@ -488,3 +488,12 @@ def test_pii_against_plain_checks(spark):
             assert kind != "card" or brute.luhn(new)
             assert kind != "iban" or ok_iban(new)
     assert all(vs[0] not in got[-1][0] and to[vs[0]] in got[-1][0] for vs in values.values()) and got[-1][1] == len(values)
+
+
+def test_words_of_groups_that_are_not_letters_throughout():
+    """Groups of words are looked at as one for letters; whatever stands among them, ids are those of whole texts. One word and none are texts too."""
+    from quirework.llm.packing import WordEncoder
+
+    encode = WordEncoder(None, 1000)
+    texts = [" ".join(f"wort{'abcdefgh'[i % 8] * (i % 5)}{'é' if i % 7 == 0 else ''}{i if i % 50 == 49 else ''}" for i in range(400)), "alone", "", None, "a-b it's 3.5 x!"]
+    assert encode(texts) == [np.array(encode.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
